@@ -46,7 +46,7 @@ def assessments(t):
 @query(
     "F3_assessment_lookup",
     uses=["feedback"],
-    sql="SELECT feedback_id, comment, NULL AS other, rating FROM feedback",
+    sql="SELECT feedback_id, comment, CAST(NULL AS VARCHAR) AS other, rating FROM feedback",
 )
 def assessment_lookup(t):
     entry = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))

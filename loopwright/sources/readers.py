@@ -33,6 +33,8 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFram
         .option("enforceSchema", False)
         .option("multiLine", True)
         .option("escape", '"')
+        # A quoted empty cell is an empty text; only a bare one is NULL.
+        .option("nullValue", "\u0000")
         .csv(path)
     )
 
