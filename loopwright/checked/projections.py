@@ -257,8 +257,7 @@ def keep_last(t):
          (SELECT count(*) AS n FROM ({MERGED})) m""",
 )
 def merge_statistics(t):
-    merged = recycle.merge_datasets(t.dataset_original, t.dataset_new, "ord")
-    return recycle.merge_statistics(t.dataset_original, t.dataset_new, merged)
+    return recycle.merge_statistics(t.dataset_original, t.dataset_new, "ord")
 
 
 @query(

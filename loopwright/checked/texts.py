@@ -187,8 +187,8 @@ def parse_response(t):
 @query(
     "T9_conversation_text",
     sql="""
-    SELECT conv_id, turn // 4096 AS segment, string_agg(text, chr(10) ORDER BY turn) AS text
-    FROM conversations GROUP BY conv_id, turn // 4096""",
+    SELECT conv_id, turn // 1024 AS segment, string_agg(text, chr(10) ORDER BY turn) AS text
+    FROM conversations GROUP BY conv_id, turn // 1024""",
 )
 def conversation(t):
     return conversation_text(t.table("conversations"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 LANES = 4
 LANE_DIGITS = 15
+PARTS = 3
+PART_BITS = 20
 
 
 def row_digest(columns: Sequence[str]) -> Column:
@@ -22,31 +24,51 @@ def row_digest(columns: Sequence[str]) -> Column:
     return F.sha2(F.concat(*cells), 256)
 
 
-def lane_sums(digest: Column) -> list[Column]:
-    """Four sums that together stand for the multiset of row digests."""
+def lanes(digest: Column) -> list[Column]:
+    """The first 60 hex digits of a digest as four numbers of 60 bits."""
     return [
-        F.sum(
-            F.conv(F.substring(digest, 1 + i * LANE_DIGITS, LANE_DIGITS), 16, 10).cast(
-                "decimal(20,0)"
-            )
-        ).alias(f"lane{i}")
+        F.conv(F.substring(digest, 1 + i * LANE_DIGITS, LANE_DIGITS), 16, 10)
+        .cast("long")
+        .alias(f"lane{i}")
         for i in range(LANES)
     ]
 
 
+def lane_sums() -> list[Column]:
+    """Sums of the lanes that together stand for the multiset of row digests.
+
+    Each lane is summed in three 20-bit parts: plain long sums, which hold for 2^43 rows, are
+    several times faster than decimal ones.
+    """
+    mask = F.lit((1 << PART_BITS) - 1)
+    return [
+        F.sum(F.shiftright(f"lane{i}", j * PART_BITS).bitwiseAND(mask)).alias(f"lane{i}_{j}")
+        for i in range(LANES)
+        for j in range(PARTS)
+    ]
+
+
+def lane_digest() -> Column:
+    """The fingerprint from ``row_count`` and the sums of ``lane_sums``."""
+    totals = []
+    for i in range(LANES):
+        parts = [
+            F.coalesce(F.col(f"lane{i}_{j}"), F.lit(0)).cast("decimal(20,0)")
+            * F.lit(1 << (j * PART_BITS)).cast("decimal(14,0)")
+            for j in range(PARTS)
+        ]
+        totals.append((parts[0] + parts[1] + parts[2]).cast("decimal(38,0)").cast("string"))
+    return F.sha2(F.concat_ws("|", F.col("row_count").cast("string"), *totals), 256)
+
+
 def dataset_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: row count and 64 hex digits that ignore row and column order.
 
     Add an ordinal column to ``columns`` to make the result depend on row order.
     """
     names = list(columns or df.columns)
-    sums = df.select(row_digest(names).alias("digest")).agg(
-        F.count(F.lit(1)).alias("row_count"), *lane_sums(F.col("digest"))
-    )
-    lanes = [F.coalesce(F.col(f"lane{i}"), F.lit(0)).cast("string") for i in range(LANES)]
-    return sums.select(
-        "row_count",
-        F.sha2(F.concat_ws("|", F.col("row_count").cast("string"), *lanes), 256).alias(
-            "fingerprint"
-        ),
+    digests = df.select(row_digest(names).alias("digest"))
+    sums = digests.select(*lanes(F.col("digest"))).agg(
+        F.count(F.lit(1)).alias("row_count"), *lane_sums()
     )
+    return sums.select("row_count", lane_digest().alias("fingerprint"))

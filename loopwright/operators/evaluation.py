@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.functions.fingerprint import lane_sums, row_digest
+from loopwright.functions.fingerprint import dataset_fingerprint
 from loopwright.functions.text import value_text
 from loopwright.session import broadcast_if_small
 
@@ -135,16 +135,10 @@ def evaluation_table(results: DataFrame, metric_name: str | None = None) -> Data
 def dataset_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Row count, column list and content hash in one pass over the data."""
     names = list(columns or df.columns)
-    lanes = [F.coalesce(F.col(f"lane{i}"), F.lit(0)).cast("string") for i in range(4)]
-    sums = df.select(row_digest(names).alias("digest")).agg(
-        F.count(F.lit(1)).alias("row_count"), *lane_sums(F.col("digest"))
-    )
-    return sums.select(
+    return dataset_fingerprint(df, names).select(
         "row_count",
         F.lit(",".join(names)).alias("column_names"),
-        F.sha2(F.concat_ws("|", F.col("row_count").cast("string"), *lanes), 256).alias(
-            "file_hash"
-        ),
+        F.col("fingerprint").alias("file_hash"),
     )
 
 

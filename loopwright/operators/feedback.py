@@ -55,10 +55,16 @@ def reject_feedback(feedback: DataFrame, traces: DataFrame) -> DataFrame:
     return feedback.filter(~degraded).join(traces.select("trace_id"), "trace_id", "left_anti")
 
 
+def valid_feedback(feedback: DataFrame) -> DataFrame:
+    """Feedback with an allowed rating, as text, and with an id."""
+    dtype = feedback.schema["rating"].dataType.simpleString()
+    rated = feedback.withColumn("rating", rating_text(F.col("rating"), dtype))
+    return with_feedback_id(rated).filter(rating_is_valid(F.col("rating")))
+
+
 def ingest_feedback(feedback: DataFrame, traces: DataFrame) -> DataFrame:
     """Checked feedback, one row per feedback id, ready to append."""
-    valid = with_feedback_id(feedback).filter(rating_is_valid(F.col("rating")))
-    return accept_feedback(valid, traces).dropDuplicates(["feedback_id"])
+    return accept_feedback(valid_feedback(feedback), traces).dropDuplicates(["feedback_id"])
 
 
 def assessments(feedback: DataFrame) -> DataFrame:

@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 from loopwright.session import checkpoint
 
+# A rank is looked up directly among this many keys; more are narrowed down first.
+_GATHER_ROWS = 100_000
+_PIVOTS = 10_000
+_MAX_ROUNDS = 24
+
 # monotonically_increasing_id keeps the partition in the bits above 33.
 _LOCAL_BITS = 33
 
@@ -89,32 +94,60 @@ def with_group_ordinal(
     )
 
 
+def _key_struct(keys: Sequence[str]) -> Column:
+    return F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+
+
+def _key_literal(df: DataFrame, keys: Sequence[str], row: Row) -> Column:
+    parts = [F.lit(row[k]).cast(df.schema[k].dataType).alias(k) for k in keys]
+    return parts[0] if len(keys) == 1 else F.struct(*parts)
+
+
 def key_at_rank(
     df: DataFrame, keys: Sequence[str], rank: int | None = None, fraction: float | None = None
 ) -> tuple[int, Row | None]:
     """Row count, and the key of the row at a 0-based rank (or at ``int(fraction * n)``).
 
-    Only the key columns are shuffled.
+    Nothing is shuffled: each round samples pivots, counts the keys between them in one
+    scan of the key columns, and goes on inside the interval that holds the rank.
     """
-    ranged = _ranged(df.select(*keys), keys, None)
-    offsets = _offsets(ranged)
-    total = offsets[-1]
+    key, found = _key_struct(keys), df.select(*keys)
+    total = inside = found.count()
     if rank is None:
         rank = int(fraction * total)
     if not 0 <= rank < total:
         return total, None
-    part = max(i for i in range(len(offsets) - 1) if offsets[i] <= rank)
-    found = ranged.filter((_partition() == part) & (_local() == rank - offsets[part]))
-    return total, found.select(*keys).first()
-
-
-def _key_struct(keys: Sequence[str]) -> Column:
-    return F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
-
-
-def _key_literal(df: DataFrame, keys: Sequence[str], row: Row) -> Column:
-    parts = [F.lit(row[k]).cast(df.schema[k].dataType).alias(k) for k in keys]
-    return parts[0] if len(keys) == 1 else F.struct(*parts)
+    for attempt in range(_MAX_ROUNDS):
+        if inside <= _GATHER_ROWS:
+            return total, found.orderBy(*keys).offset(rank).first()
+        pivots = found.sample(min(1.0, _PIVOTS / inside), seed=attempt).orderBy(*keys).collect()
+        if not pivots:
+            continue
+        place, margin = rank * len(pivots) // inside, 2 * int(len(pivots) ** 0.5)
+        low = _key_literal(df, keys, pivots[max(0, place - margin)])
+        high = _key_literal(df, keys, pivots[min(len(pivots) - 1, place + margin)])
+        below, between = found.agg(
+            F.count_if(key < low), F.count_if((key >= low) & (key < high))
+        ).first()
+        if rank < below:
+            found, inside = found.filter(key < low), below
+        elif rank < below + between:
+            found, inside = found.filter((key >= low) & (key < high)), between
+            rank -= below
+        else:
+            found, inside = found.filter(key >= high), inside - below - between
+            rank -= below + between
+    raise ValueError(f"the keys {list(keys)} are not unique")
+
+
+def mark_split(
+    df: DataFrame, keys: Sequence[str], first_dev: Row | None, name: str = "split"
+) -> DataFrame:
+    """Rows before the key ``first_dev`` are ``train``, the others ``dev``; no key, no dev."""
+    if first_dev is None:
+        return df.withColumn(name, F.lit("train"))
+    before = _key_struct(keys) < _key_literal(df, keys, first_dev)
+    return df.withColumn(name, F.when(before, F.lit("train")).otherwise(F.lit("dev")))
 
 
 def with_split(
@@ -124,22 +157,26 @@ def with_split(
 
     The cut is found on the keys alone; the rows themselves only pass a filter.
     """
-    total, first_dev = key_at_rank(df, keys, fraction=ratio)
-    if first_dev is None:
-        return df.withColumn(name, F.lit("train" if int(ratio * total) >= total else "dev"))
-    before = _key_struct(keys) < _key_literal(df, keys, first_dev)
-    return df.withColumn(name, F.when(before, F.lit("train")).otherwise(F.lit("dev")))
+    _, first_dev = key_at_rank(df, keys, fraction=ratio)
+    return mark_split(df, keys, first_dev, name)
 
 
-def split_train_dev(
-    df: DataFrame, keys: Sequence[str], ratio: float = 0.8
+def split_at(
+    df: DataFrame, keys: Sequence[str], first_dev: Row | None
 ) -> tuple[DataFrame, DataFrame]:
-    marked = with_split(df, keys, ratio, "_split")
+    marked = mark_split(df, keys, first_dev, "_split")
     return tuple(
         marked.filter(F.col("_split") == part).drop("_split") for part in ("train", "dev")
     )
 
 
+def split_train_dev(
+    df: DataFrame, keys: Sequence[str], ratio: float = 0.8
+) -> tuple[DataFrame, DataFrame]:
+    """The two parts of ``with_split`` as DataFrames."""
+    return split_at(df, keys, key_at_rank(df, keys, fraction=ratio)[1])
+
+
 def row_at(df: DataFrame, keys: Sequence[str], position: int) -> DataFrame:
     """The row at a 0-based position in key order; empty when there is none."""
     _, row = key_at_rank(df, keys, rank=position)
@@ -167,11 +204,27 @@ def random_rows(df: DataFrame, key: str, seed: str, count: int = 1) -> DataFrame
 def sample_per_seed(df: DataFrame, key: str, seeds: Sequence[str], count: int) -> DataFrame:
     """For every seed an own sample of ``count`` rows, with ``seed`` and 1-based ``draw``.
 
-    Each task keeps only its ``count`` best rows per seed before the shuffle.
+    Draws are uniform, so nearly all rows can be ruled out by their draw alone; what is left
+    is ranked.  Should too few rows pass, all are ranked.
     """
+    total = df.count()
+    wanted = 4 * count + 64
+    if total > 4 * wanted:
+        limit = f"{int(wanted / total * (1 << 64)):016x}"
+        found = checkpoint(_ranked_draws(df, key, seeds, count, limit))
+        if found.count() == count * len(set(seeds)):
+            return found
+    return _ranked_draws(df, key, seeds, count, None)
+
+
+def _ranked_draws(
+    df: DataFrame, key: str, seeds: Sequence[str], count: int, limit: str | None
+) -> DataFrame:
     drawn = df.withColumn("seed", F.explode(F.lit(list(seeds)))).withColumn(
         "_draw", seeded_rank(F.col("seed"), F.col(key))
     )
+    if limit is not None:
+        drawn = drawn.filter(F.col("_draw") < limit)
     order = Window.partitionBy("seed").orderBy("_draw", key)
     return (
         drawn.withColumn("draw", F.row_number().over(order))

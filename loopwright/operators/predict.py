@@ -19,7 +19,11 @@ SUCCESS = "success"
 
 
 class Predictor(Protocol):
-    """Answers one row: input texts by name to a mapping, an object or a plain value."""
+    """Answers one row: input texts by name to a mapping, an object or a plain value.
+
+    A predictor may also have ``batch(rows) -> answers`` to answer many rows in one call.  If
+    that call fails, its rows are asked one by one, so that each gets its own status.
+    """
 
     def __call__(self, inputs: Mapping[str, str]) -> Any: ...
 
@@ -61,20 +65,31 @@ def batch_predict(
         + [T.StructField(c, T.StringType()) for c in [*outputs, STATUS]]
     )
 
+    def success(result: Any) -> list[str]:
+        found = result_fields(result)
+        return ["" if found.get(n) is None else str(found[n]) for n in outputs] + [SUCCESS]
+
     def answer(predictor: Predictor, inputs: Mapping[str, str]) -> list[str]:
         try:
-            found = result_fields(predictor(inputs))
+            return success(predictor(inputs))
         except Exception as error:  # noqa: BLE001 - one bad row must not fail the job
             return ["" for _ in outputs] + [f"error: {error}"]
-        return [
-            "" if found.get(name) is None else str(found[name]) for name in outputs
-        ] + [SUCCESS]
+
+    def answer_all(predictor: Predictor, rows: list[dict[str, str]]) -> list[list[str]]:
+        at_once = getattr(predictor, "batch", None)
+        if at_once is not None:
+            try:
+                results = list(at_once(rows))
+                if len(results) == len(rows):
+                    return [success(result) for result in results]
+            except Exception:  # noqa: BLE001 - each row is asked again below
+                pass
+        return [answer(predictor, row) for row in rows]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor = make_predictor()
         for batch in batches:
-            inputs = batch[list(spec.inputs)].to_dict("records")
-            answers = [answer(predictor, row) for row in inputs]
+            answers = answer_all(predictor, batch[list(spec.inputs)].to_dict("records"))
             for position, name in enumerate([*outputs, STATUS]):
                 batch[name] = pd.Series(
                     [a[position] for a in answers], index=batch.index, dtype="object"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopwright.operators.contracts import column_differences
@@ -116,19 +116,29 @@ def merge_datasets(
 
 
 def merge_statistics(
-    original: DataFrame, new: DataFrame, merged: DataFrame, max_new_ratio: float = MAX_NEW_RATIO
+    original: DataFrame,
+    new: DataFrame,
+    order_key: str,
+    keys: Sequence[str] | None = None,
+    max_new_ratio: float = MAX_NEW_RATIO,
 ) -> DataFrame:
-    """One row of counts and shares for a merge."""
+    """One row of counts and shares for a deduplicating merge.
+
+    Both sides are read once: rows are counted per key and side, and a key is one merged row.
+    """
+    both = union_common(original, new, order_key)
+    per_key = both.groupBy(*(keys or dedupe_keys(both.columns))).agg(
+        F.count_if(F.col("_source") == 0).alias("old_rows"),
+        F.count_if(F.col("_source") == 1).alias("new_rows"),
+    )
 
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0))
 
-    counts = count(original, "original").union(count(new, "new")).union(count(merged, "merged"))
-    totals = counts.agg(
-        *[
-            F.sum(F.when(F.col("part") == part, F.col("n"))).alias(f"{part}_count")
-            for part in ("original", "new", "merged")
-        ]
+    totals = per_key.agg(
+        total("old_rows").alias("original_count"),
+        total("new_rows").alias("new_count"),
+        F.count(F.lit(1)).alias("merged_count"),
     )
     before = F.col("original_count") + F.col("new_count")
     ratio = F.try_divide(F.col("new_count"), before)

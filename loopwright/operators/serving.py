@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Turns per text segment: bounds what one group gathers, whatever a conversation holds.
-SEGMENT_TURNS = 4096
+SEGMENT_TURNS = 1024
 
 
 def serving_counts() -> list[Column]:

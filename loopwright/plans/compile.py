@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loopwright.functions.prompts import DEMO_TYPE
 from loopwright.operators.contracts import examples
 from loopwright.operators.evaluation import MIN_EXAMPLES, dataset_profile, dataset_score
-from loopwright.operators.ordinal import key_at_rank, split_train_dev
+from loopwright.operators.ordinal import key_at_rank, split_at
 from loopwright.plans import search
 from loopwright.session import checkpoint, new_shared_path
 from loopwright.sources.writers import append_log, write_csv
@@ -21,6 +21,7 @@ BOOTSTRAP = "BootstrapFewShot"
 RANDOM_SEARCH = "BootstrapFewShotWithRandomSearch"
 INSTRUCTIONS = "COPRO"
 JOINT = "MIPROv2"
+TRAIN_RATIO = 0.8
 OPTIMIZERS = (BOOTSTRAP, RANDOM_SEARCH, INSTRUCTIONS, JOINT)
 
 
@@ -56,10 +57,10 @@ def compile_program(
         raise ValueError(f"{optimizer} needs a table of instructions")
     spark = data.sparkSession
     rows = examples(data, spec, keep=[key])
-    total, _ = key_at_rank(rows, [key], rank=0)
+    total, first_dev = key_at_rank(rows, [key], fraction=TRAIN_RATIO)
     if total < MIN_EXAMPLES:
         raise ValueError("at least two examples are required")
-    train, dev = split_train_dev(rows, [key])
+    train, dev = split_at(rows, [key], first_dev)
 
     no_demos = F.array().cast(f"array<{DEMO_TYPE}>")
     base = checkpoint(
@@ -104,7 +105,6 @@ def compile_program(
             dev, candidates, candidates.count(), key, student, num_batches
         )
     if scores is not None:
-        scores = checkpoint(scores)
         program = candidates.join(scores.filter("best").select("candidate_id"), "candidate_id").select(
             F.lit(0).alias("candidate_id"), "instructions", "demos"
         )

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopwright.operators.feedback import (
-    ingest_feedback,
     rated_traces,
     trace_rows,
     training_records,
+    valid_feedback,
 )
 from loopwright.operators.predict import STATUS, SUCCESS, column_predict
 from loopwright.operators.recycle import (
@@ -59,11 +59,14 @@ def flywheel(
     predict: Callable[[Mapping[str, Column]], Mapping[str, Column]],
     limit: int | None = None,
 ) -> DataFrame:
-    """Predict, take in feedback, export: one lazy plan."""
+    """Predict, take in feedback, export: one lazy plan with one shuffle, on the trace id.
+
+    Feedback on unknown traces finds no partner in that join, and an event that came twice is
+    still the same first value, so ingest comes down to the rating check here.
+    """
     keep = ("trace_id", "model_name", "timestamp_ms")
     traces = predicted_traces(column_predict(requests, spec, predict, keep), spec)
-    accepted = ingest_feedback(feedback, traces)
-    return training_export(traces, accepted, limit=limit)
+    return training_export(traces, valid_feedback(feedback), limit=limit)
 
 
 def recycle(

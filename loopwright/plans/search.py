@@ -92,7 +92,7 @@ def first_passing_per_seed(
     )
     full = found.groupBy("seed").count().filter(F.col("count") >= count).count()
     if full < len(set(seeds)):
-        passing = _passing(teacher(train), spec, key, threshold)
+        passing = checkpoint(_passing(teacher(train), spec, key, threshold))
         found = checkpoint(sample_per_seed(passing, key, seeds, count))
     return found
 
@@ -239,7 +239,8 @@ def joint_search(
 
 
 def mark_best(scores: DataFrame) -> DataFrame:
-    """Flag the best candidate; the score table has one row per candidate."""
+    """Flag the best candidate.  The scores, one row per candidate, are computed once."""
+    scores = checkpoint(scores)
     best = best_candidate(scores).select("candidate_id", F.lit(True).alias("best"))
     return scores.join(best, "candidate_id", "left").withColumn(
         "best", F.coalesce(F.col("best"), F.lit(False))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from loopwright.session import checkpoint
+
 
 def write_csv(df: DataFrame, path: str, max_records: int = 0) -> None:
     """Any flat table as CSV with a header; quotes and line breaks survive."""
@@ -56,8 +58,12 @@ def export_records(
 ) -> Observation:
     """Write training records as CSV or JSON lines, in files of at most ``chunk_rows``.
 
-    The returned observation holds ``total_records``, counted by the write itself.
+    The returned observation holds ``total_records``, counted by the write itself.  Without
+    ``fields`` the records are stored once, so that finding their names and writing them do
+    not both run the plan behind them.
     """
+    if fields is None:
+        records = checkpoint(records)
     counted = Observation()
     wide = records_wide(records, fields).observe(
         counted, F.count(F.lit(1)).alias("total_records")

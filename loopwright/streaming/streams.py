@@ -12,13 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loopwright.operators.contracts import rating_is_valid
 from loopwright.operators.feedback import (
     DEGRADED_PREFIX,
     feedback_counts,
     training_records,
     up_rate,
-    with_feedback_id,
+    valid_feedback,
 )
 from loopwright.operators.serving import serving_counts
 from loopwright.sources.writers import records_wide
@@ -37,8 +36,7 @@ def accepted_feedback_stream(
     bounds the join state together with the watermarks.  Degraded ids pass unjoined.
     """
     events = (
-        with_feedback_id(feedback)
-        .filter(rating_is_valid(F.col("rating")))
+        valid_feedback(feedback)
         .withColumn("event_time", F.timestamp_millis("ts_ms"))
         .withWatermark("event_time", lateness)
         .dropDuplicatesWithinWatermark(["feedback_id"])

@@ -50,6 +50,18 @@ def test_ingest(given_feedback, given_traces):
     assert [r["feedback_id"] for r in lost] == ["f4"]
 
 
+def test_ratings_in_other_forms(spark):
+    flags = spark.createDataFrame(
+        [("t1", True, 1, "u"), ("t2", False, 2, "u"), ("t3", None, 3, "u")],
+        "trace_id string, rating boolean, ts_ms long, user_id string",
+    )
+    rows = {r["trace_id"]: r["rating"] for r in feedback.valid_feedback(flags).collect()}
+    assert rows == {"t1": "thumbs_up", "t2": "thumbs_down"}
+    texts = flags.withColumn("rating", flags["rating"].cast("string"))
+    assert {r["trace_id"]: r["rating"] for r in feedback.valid_feedback(texts).collect()} == rows
+    assert all(r["feedback_id"].startswith("fb-") for r in feedback.valid_feedback(flags).collect())
+
+
 def test_assessments(given_feedback):
     rows = feedback.assessments(given_feedback.filter("trace_id = 'tr-1'")).collect()
     found = sorted((r["feedback_id"], r["name"], r["value"], r["source_id"]) for r in rows)
@@ -156,13 +168,13 @@ def test_keep_last_prefers_new_rows_and_is_idempotent(spark):
     assert set(map(tuple, plain.collect())) == expected
     again = recycle.keep_last(merged, ["original_q"], ["_source", "_ord"])
     assert set(map(tuple, recycle.drop_bookkeeping(again).collect())) == expected
-    stats = recycle.merge_statistics(old, new, merged).first()
+    stats = recycle.merge_statistics(old, new, "ord").first()
     assert (stats["merged_count"], stats["removed_count"], stats["over_ratio"]) == (3, 3, False)
 
 
 def test_merge_of_nothing(spark):
     none = spark.createDataFrame([], "ord long, a string, b string")
-    stats = recycle.merge_statistics(none, none, recycle.merge_datasets(none, none, "ord")).first()
+    stats = recycle.merge_statistics(none, none, "ord").first()
     assert stats["new_ratio"] is None and stats["over_ratio"] is False
 
 

@@ -42,6 +42,32 @@ def test_split_sizes(spark, keys):
     assert sorted(r["k"] for r in dev.collect()) == expected[cut:]
 
 
+def test_rank_by_narrowing(spark, skewed, monkeypatch):
+    """With small limits the pivot rounds are taken, for one key column and for two."""
+    monkeypatch.setattr(ordinal, "_GATHER_ROWS", 5)
+    monkeypatch.setattr(ordinal, "_PIVOTS", 60)
+    keys = sorted(r["k"] for r in skewed.select("k").collect())
+    for rank in (0, 1, 299, 400, 608, 609):
+        assert ordinal.key_at_rank(skewed, ["k"], rank)[1]["k"] == keys[rank]
+    pairs = [(f"f{i // 10}", i % 10) for i in range(300)]
+    df = spark.createDataFrame(pairs, "file string, line int").repartition(4)
+    assert tuple(ordinal.key_at_rank(df, ["file", "line"], 123)[1]) == sorted(pairs)[123]
+    same = spark.createDataFrame([(1,)] * 50, "k int")
+    with pytest.raises(ValueError):
+        ordinal.key_at_rank(same, ["k"], 20)
+
+
+def test_draws_fall_back_to_all_rows(skewed, monkeypatch):
+    """A limit that lets too few rows pass changes nothing in the result."""
+    usual = ordinal.sample_per_seed(skewed, "k", ["a", "b"], 20).collect()
+    ranked = ordinal._ranked_draws
+    monkeypatch.setattr(
+        ordinal, "_ranked_draws", lambda *a: ranked(*a[:4], "0001" if a[4] else None)
+    )
+    again = ordinal.sample_per_seed(skewed, "k", ["a", "b"], 20).collect()
+    assert sorted(map(str, usual)) == sorted(map(str, again))
+
+
 def test_split_on_two_keys(spark):
     rows = [(f"f{i // 10}", i % 10) for i in range(35)]
     df = spark.createDataFrame(rows, "file string, line int").repartition(4)

@@ -36,6 +36,27 @@ def test_batch_predict_isolates_failures(spark):
     }
 
 
+def test_batch_predictor(spark):
+    class Many:
+        def __call__(self, inputs):
+            if inputs["question"] == "boom":
+                raise RuntimeError("alone")
+            return "one"
+
+        def batch(self, rows):
+            if any(row["question"] == "boom" for row in rows):
+                raise RuntimeError("together")
+            return [{"answer": "many"} for _ in rows]
+
+    def statuses(questions):
+        df = spark.createDataFrame([(q,) for q in questions], "question string").coalesce(1)
+        rows = predict.batch_predict(df, QA, Many).collect()
+        return [(r["answer"], r["_status"]) for r in rows]
+
+    assert statuses(["a", "b"]) == [("many", "success")] * 2
+    assert statuses(["a", "boom"]) == [("", "success"), ("", "error: alone")]
+
+
 def test_batch_predict_checks_the_header(spark):
     df = spark.createDataFrame([("a",)], "wrong_field string")
     with pytest.raises(ValueError):
