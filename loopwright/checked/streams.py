@@ -20,6 +20,11 @@ def events_stream(t):
     return stream_of(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def cores(t):
+    """One state partition per core."""
+    return t.spark.sparkContext.defaultParallelism
+
+
 def run(started):
     try:
         started.awaitTermination()
@@ -51,7 +56,7 @@ def feedback_stream(t):
     )
     path, state = new_shared_path(t.spark, "n1"), new_shared_path(t.spark, "n1-state")
     columns = ["feedback_id", "trace_id", "rating", "ts_ms"]
-    run(streams.append_stream(accepted.select(*columns), path, state))
+    run(streams.append_stream(accepted.select(*columns), path, state, partitions=cores(t)))
     return t.spark.read.schema(
         "feedback_id string, trace_id string, rating string, ts_ms long"
     ).parquet(path)
@@ -71,7 +76,7 @@ def feedback_stats_stream(t):
     named = feedback.withColumn("user_id", F.coalesce("user_id", F.lit("anonymous")))
     stats = streams.feedback_stats_stream(named, "user_id")
     path, state = new_shared_path(t.spark, "n2"), new_shared_path(t.spark, "n2-state")
-    run(streams.land_updates(stats, path, state))
+    run(streams.land_updates(stats, path, state, cores(t)))
     return streams.latest_values(t.spark, path, ["user_id"])
 
 
@@ -88,7 +93,7 @@ def serving_stream(t):
     requests = t.request_log(events_stream(t))
     metrics = streams.serving_metrics_stream(requests, "1 hour", by=["model_name"])
     path, state = new_shared_path(t.spark, "n3"), new_shared_path(t.spark, "n3-state")
-    run(streams.land_updates(metrics, path, state))
+    run(streams.land_updates(metrics, path, state, cores(t)))
     found = streams.latest_values(t.spark, path, ["window_start", "model_name"])
     return found.withColumn("window_us", F.unix_micros("window_start")).drop("window_start")
 

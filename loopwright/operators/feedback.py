@@ -124,9 +124,28 @@ def first_assessments(assessed: DataFrame, keep: str = "first") -> DataFrame:
     )
 
 
+def first_values(feedback: DataFrame, keep: str = "first") -> DataFrame:
+    """``first_assessments`` straight from the feedback rows.
+
+    The same result without making up to three rows of each before the aggregation.
+    """
+    pick = {"first": F.min_by, "latest": F.max_by}[keep]
+    order = F.struct("ts_ms", "feedback_id")
+
+    def value(name: str, column: Column, given: Column) -> Column:
+        return pick(F.when(given, column), F.when(given, order)).alias(name)
+
+    rating, correction, comment = F.col("rating"), F.col("corrected_output"), F.col("comment")
+    return feedback.groupBy("trace_id").agg(
+        value(RATING_NAME, (rating == "thumbs_up").cast("string"), rating.isNotNull()),
+        value(CORRECTION_NAME, correction, ~correction.isin("", "{}")),
+        value(COMMENT_NAME, comment, comment != ""),
+    )
+
+
 def traces_with_feedback(traces: DataFrame, feedback: DataFrame, keep: str = "first") -> DataFrame:
     """Every trace, with the values its users gave it."""
-    return traces.join(first_assessments(assessments(feedback), keep), "trace_id", "left")
+    return traces.join(first_values(feedback, keep), "trace_id", "left")
 
 
 def _millis(moment: datetime) -> int:
@@ -159,7 +178,7 @@ def rated_traces(
         wanted = wanted.filter(F.col("timestamp_ms") >= _millis(start))
     if end:
         wanted = wanted.filter(F.col("timestamp_ms") <= _millis(end))
-    rated = first_assessments(assessments(feedback), keep).filter(
+    rated = first_values(feedback, keep).filter(
         F.col(RATING_NAME) == ("true" if rating == "thumbs_up" else "false")
     )
     found = wanted.join(rated, "trace_id")

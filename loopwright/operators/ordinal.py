@@ -13,7 +13,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from loopwright.session import checkpoint
+from loopwright.session import checkpoint, lookup_side
 
 # A rank is looked up directly among this many keys; more are narrowed down first.
 _GATHER_ROWS = 100_000
@@ -81,8 +81,10 @@ def with_group_ordinal(
     the group's first, so a hot group is never gathered.
     """
     ordered = with_ordinal(df, [*groups, *keys], "_position", partitions)
-    starts = ordered.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups]).agg(
-        F.min("_position").alias("_start")
+    starts = lookup_side(
+        ordered.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups]).agg(
+            F.min("_position").alias("_start")
+        )
     )
     same = reduce(
         lambda a, b: a & b, [ordered[g].eqNullSafe(starts[f"_g_{g}"]) for g in groups]

@@ -17,6 +17,7 @@ from loopwright.functions.text import (
 )
 from loopwright.operators.contracts import clean_name, name_error
 from loopwright.operators.ordinal import with_group_ordinal
+from loopwright.session import lookup_side
 
 # Stages and the aliases that stand for them.
 STAGE_ALIASES = {"Production": "champion", "Staging": "challenger"}
@@ -210,12 +211,18 @@ def resolve_versions(requests: DataFrame, versions: DataFrame, aliases: DataFram
 
     The three lookup tables hold one row per model (and alias or stage).
     """
-    by_alias = aliases.select("model_name", "alias", F.col("version").alias("_by_alias"))
-    by_stage = latest_versions(versions.select("model_name", "stage", "version"), "stage").select(
-        "model_name", "stage", F.col("version").alias("_by_stage")
+    by_alias = lookup_side(
+        aliases.select("model_name", "alias", F.col("version").alias("_by_alias"))
     )
-    latest = latest_versions(versions.select("model_name", "version")).select(
-        "model_name", F.col("version").alias("_latest")
+    by_stage = lookup_side(
+        latest_versions(versions.select("model_name", "stage", "version"), "stage").select(
+            "model_name", "stage", F.col("version").alias("_by_stage")
+        )
+    )
+    # The latest version of a model is the highest of its stages: no second pass is needed.
+    number = F.col("_by_stage").cast("long")
+    latest = lookup_side(
+        by_stage.groupBy("model_name").agg(F.max_by("_by_stage", number).alias("_latest"))
     )
     resolved = (
         F.when(F.col("version").isNotNull(), F.col("version"))
@@ -233,7 +240,9 @@ def resolve_versions(requests: DataFrame, versions: DataFrame, aliases: DataFram
 
 def next_versions(requests: DataFrame, versions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Give each request the next free version number of its model, in key order."""
-    highest = versions.groupBy("model_name").agg(F.max(version_number()).alias("_highest"))
+    highest = lookup_side(
+        versions.groupBy("model_name").agg(F.max(version_number()).alias("_highest"))
+    )
     numbered = with_group_ordinal(requests, ["model_name"], keys, "_place")
     return numbered.join(highest, "model_name", "left").select(
         *requests.columns,

@@ -71,3 +71,12 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")
     ).first()["bytes"]
     return F.broadcast(df) if size <= limit else df
+
+
+def lookup_side(df: DataFrame) -> DataFrame:
+    """The small side of a lookup join, computed once and broadcast if its size allows.
+
+    Without this the large side is shuffled before AQE can see that the result of an
+    aggregation is small.  Beyond the limit it stays an equi join with AQE's skew split.
+    """
+    return broadcast_if_small(checkpoint(df))

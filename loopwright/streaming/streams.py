@@ -6,7 +6,8 @@ comes in time order (or the watermark delay covers its span).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,14 +40,18 @@ def accepted_feedback_stream(
         valid_feedback(feedback)
         .withColumn("event_time", F.timestamp_millis("ts_ms"))
         .withWatermark("event_time", lateness)
-        .dropDuplicatesWithinWatermark(["feedback_id"])
     )
+
+    def once(rows: DataFrame) -> DataFrame:
+        # After the filter of its branch: an event is in the state of one branch only.
+        return rows.dropDuplicatesWithinWatermark(["feedback_id"])
+
     known = traces.select(
         F.col("trace_id").alias("known_id"),
         F.timestamp_millis("timestamp_ms").alias("trace_time"),
     ).withWatermark("trace_time", lateness)
     degraded = F.startswith(F.col("trace_id"), F.lit(DEGRADED_PREFIX))
-    matched = events.filter(~degraded).join(
+    matched = once(events.filter(~degraded)).join(
         known,
         (F.col("trace_id") == F.col("known_id"))
         & (F.col("event_time") >= F.col("trace_time") - F.expr(f"INTERVAL {earliest}"))
@@ -55,7 +60,7 @@ def accepted_feedback_stream(
     columns = [*feedback.columns]
     if "feedback_id" not in columns:
         columns.append("feedback_id")
-    return matched.select(*columns).unionByName(events.filter(degraded).select(*columns))
+    return matched.select(*columns).unionByName(once(events.filter(degraded)).select(*columns))
 
 
 def feedback_stats_stream(feedback: DataFrame, *by: str) -> DataFrame:
@@ -76,7 +81,32 @@ def serving_metrics_stream(
     )
 
 
-def land_updates(stream: DataFrame, path: str, checkpoint_path: str) -> StreamingQuery:
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Start streams with state on disk, in ``partitions`` parts.
+
+    A stream keeps the number it is first started with, so it is chosen for the state it will
+    hold and not left to the batch setting of the session.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    if partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    usual = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in usual.items():
+            spark.conf.set(name, value)
+
+
+def land_updates(
+    stream: DataFrame, path: str, checkpoint_path: str, partitions: int | None = None
+) -> StreamingQuery:
     """Write every batch of an update-mode stream to its own folder and stop at the end.
 
     A batch that is run again replaces its own folder, so the landing is idempotent.
@@ -87,13 +117,14 @@ def land_updates(stream: DataFrame, path: str, checkpoint_path: str) -> Streamin
             f"{path}/batch={batch_id}"
         )
 
-    return (
+    writer = (
         stream.writeStream.outputMode("update")
         .foreachBatch(land)
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
-        .start()
     )
+    with state_settings(stream.sparkSession, partitions):
+        return writer.start()
 
 
 def latest_values(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
@@ -104,17 +135,24 @@ def latest_values(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFr
     return rows.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
 
 
-def append_stream(stream: DataFrame, path: str, checkpoint_path: str, form: str = "parquet") -> StreamingQuery:
+def append_stream(
+    stream: DataFrame,
+    path: str,
+    checkpoint_path: str,
+    form: str = "parquet",
+    partitions: int | None = None,
+) -> StreamingQuery:
     """Append a stream to files, exactly once, and stop at the end of the input."""
-    return (
+    writer = (
         stream.writeStream.outputMode("append")
         .format(form)
         .option("path", path)
         .option("checkpointLocation", checkpoint_path)
         .option("header", True)
         .trigger(availableNow=True)
-        .start()
     )
+    with state_settings(stream.sparkSession, partitions):
+        return writer.start()
 
 
 def export_stream(rows: DataFrame, fields: Sequence[str], use_corrected: bool = True) -> DataFrame:

@@ -79,6 +79,16 @@ def test_first_and_latest(given_feedback):
     assert feedback.first_assessments(long, keep="latest").first()["user_rating"] == "false"
 
 
+@pytest.mark.parametrize("keep", ["first", "latest"])
+def test_both_ways_to_the_values_agree(spark, given_feedback, keep):
+    unrated = spark.createDataFrame([("f0", "tr-2", None, None, "c", None, 1)], FEEDBACK)
+    rows = given_feedback.unionByName(unrated)
+    long = feedback.first_assessments(feedback.assessments(rows), keep)
+    assert sorted(map(str, feedback.first_values(rows, keep).collect())) == sorted(
+        map(str, long.collect())
+    )
+
+
 def test_stats(given_feedback):
     row = feedback.feedback_stats(given_feedback).first()
     assert (row["total"], row["thumbs_up"], row["thumbs_down"]) == (6, 3, 2)
