@@ -79,16 +79,15 @@ def export_records(
     return counted
 
 
-def write_traces(traces: DataFrame, path: str, files_per_day: int = 16) -> None:
+def write_traces(traces: DataFrame, path: str) -> None:
     """Append to the trace table, foldered by model and day.
 
-    The hash of the trace id spreads a busy folder over ``files_per_day`` tasks and bounds
-    the files each folder gets.
+    The rebalance gathers each folder's rows into few files; AQE splits a busy folder over
+    several tasks and puts small ones together.
     """
     dated = traces.withColumn("date", F.to_date(F.timestamp_millis("timestamp_ms")))
-    spread = F.pmod(F.xxhash64("trace_id"), F.lit(files_per_day))
     (
-        dated.repartition("model_name", "date", spread)
+        dated.hint("rebalance", "model_name", "date")
         .write.mode("append")
         .partitionBy("model_name", "date")
         .parquet(path)
