@@ -36,11 +36,11 @@ def run(started):
     "N1_feedback_stream",
     uses=["traces", "feedback"],
     sql="""
-    SELECT f.feedback_id, f.trace_id, f.rating, f.ts_ms FROM feedback f
+    SELECT f.feedback_id, f.trace_id, f.rating, f.ts_ms
+    FROM feedback f LEFT JOIN traces t ON f.trace_id = t.trace_id
     WHERE f.rating IN ('thumbs_up', 'thumbs_down')
-      AND (starts_with(f.trace_id, 'degraded-') OR f.trace_id IN (
-           SELECT trace_id FROM traces t
-           WHERE f.ts_ms BETWEEN t.timestamp_ms - 172800000 AND t.timestamp_ms + 3456000000))""",
+      AND (starts_with(f.trace_id, 'degraded-')
+           OR f.ts_ms BETWEEN t.timestamp_ms - 172800000 AND t.timestamp_ms + 3456000000)""",
 )
 def feedback_stream(t):
     feedback = t.label_feedback(stream_of(t, "labels")).unionByName(
