@@ -30,8 +30,8 @@ JOINT_MAX_LABELED = 16
 NUM_CANDIDATES = 10
 NUM_BATCHES = 30
 
-# Rows tried before the teacher is run over the whole train split.
-PROBE_ROWS = 256
+# Rows tried, round by round, before the teacher is run over the whole train split.
+PROBE_ROWS = (256, 4096)
 
 
 def demo_of(spec: TaskSpec, predicted: bool, has_reasoning: bool) -> Column:
@@ -58,14 +58,26 @@ def first_passing(
 ) -> DataFrame:
     """The first ``count`` rows in key order that the teacher gets right.
 
-    Teacher calls are dear, so a small head of the split is tried first; only when that
-    does not give enough does the teacher see every row.
+    Teacher calls are dear, so growing heads of the split are tried first, each row once; what
+    is left is answered in one distributed pass, only when the heads do not give enough.
     """
-    head = train.orderBy(key).limit(PROBE_ROWS)
-    passed = checkpoint(_passing(teacher(head), spec, key, threshold).orderBy(key).limit(count))
-    if passed.count() < count:
-        passed = checkpoint(_passing(teacher(train), spec, key, threshold).orderBy(key).limit(count))
-    return passed
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.orderBy(key).limit(count)
+
+    found, missing, rest = None, count, train
+    for size in (*PROBE_ROWS, None):
+        part = rest if size is None else checkpoint(rest.orderBy(key).limit(size))
+        passed = checkpoint(best(_passing(teacher(part), spec, key, threshold)))
+        found = passed if found is None else found.unionByName(passed)
+        missing -= passed.count()
+        if missing <= 0 or size is None:
+            break
+        tried = part.agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("last")).first()
+        if tried["n"] < size:
+            break
+        rest = rest.filter(F.col(key) > F.lit(tried["last"]))
+    return checkpoint(best(found))
 
 
 def first_passing_per_seed(
@@ -79,22 +91,26 @@ def first_passing_per_seed(
 ) -> DataFrame:
     """The same for several seeds at once, each with its own row order.
 
-    The teacher sees a row once, however many seeds drew it.
+    The teacher sees a row once, however many seeds and rounds drew it.
     """
-    drawn = checkpoint(sample_per_seed(train.select(key), key, seeds, PROBE_ROWS))
-    tried = train.join(drawn.select(key).distinct(), key, "left_semi")
-    passing = _passing(teacher(tried), spec, key, threshold)
+    total, passing, rest = train.count(), None, train
     order = Window.partitionBy("seed").orderBy("draw")
-    found = checkpoint(
-        drawn.join(passing, key)
-        .withColumn("draw", F.row_number().over(order))
-        .filter(F.col("draw") <= count)
-    )
-    full = found.groupBy("seed").count().filter(F.col("count") >= count).count()
-    if full < len(set(seeds)):
-        passing = checkpoint(_passing(teacher(train), spec, key, threshold))
-        found = checkpoint(sample_per_seed(passing, key, seeds, count))
-    return found
+    for size in PROBE_ROWS:
+        drawn = checkpoint(sample_per_seed(train.select(key), key, seeds, size))
+        part = rest.join(drawn.select(key).distinct(), key, "left_semi")
+        passed = checkpoint(_passing(teacher(part), spec, key, threshold))
+        passing = passed if passing is None else passing.unionByName(passed)
+        found = checkpoint(
+            drawn.join(passing, key)
+            .withColumn("draw", F.row_number().over(order))
+            .filter(F.col("draw") <= count)
+        )
+        full = found.groupBy("seed").count().filter(F.col("count") >= count).count()
+        if full == len(set(seeds)) or total <= size:
+            return found
+        rest = rest.join(drawn.select(key).distinct(), key, "left_anti")
+    passing = passing.unionByName(checkpoint(_passing(teacher(rest), spec, key, threshold)))
+    return checkpoint(sample_per_seed(passing, key, seeds, count))
 
 
 def bootstrap_demos(
@@ -141,6 +157,8 @@ def candidate_programs(
     Candidate 0 has no demos, candidate 1 only labelled ones, the others are bootstrapped
     from row orders of their own.
     """
+    if count < 3:
+        raise ValueError("a random search needs at least three candidates")
     seeds = [str(i) for i in range(1, count)]
     made = first_passing_per_seed(
         train, spec, key, teacher, seeds[1:], max_bootstrapped, threshold

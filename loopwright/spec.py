@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
-
 MODULES = ("Predict", "ChainOfThought", "ChainOfThoughtWithHint")
 
 
@@ -44,6 +42,3 @@ class TaskSpec:
                 if position < len(texts) and texts[position]:
                     return texts[position]
         return "${" + field + "}"
-
-    def example_schema(self) -> T.StructType:
-        return T.StructType([T.StructField(f, T.StringType()) for f in self.fields])

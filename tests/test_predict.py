@@ -175,17 +175,42 @@ def test_bootstrap_takes_the_first_passing_rows(labelled):
 
 
 def test_bootstrap_goes_on_past_the_probe(spark):
-    rows = [(i, "q", "yes") for i in range(1500)]
+    rows = [(i, "q", "yes") for i in range(6000)]
     df = spark.createDataFrame(rows, "key long, question string, answer string")
 
+    asked = []
+
     def late(found):
-        right = F.col("key") >= 1400
+        asked.append(found)
+        right = F.col("key") >= 5400
         return found.withColumns({"pred_answer": F.col("answer"), "score": right.cast("int")})
 
     found = search.bootstrap_demos(df, QA, "key", late).orderBy("position").collect()
-    assert [r["key"] for r in found] == [1400, 1401, 1402, 1403]
+    assert [r["key"] for r in found] == [5400, 5401, 5402, 5403]
+    # Three rounds, and no row was asked twice.
+    assert [part.count() for part in asked] == [256, 4096, 6000 - 256 - 4096]
+    asked.clear()
     seeded = search.first_passing_per_seed(df, QA, "key", late, ["1", "2"], 4, 1.0)
-    assert seeded.count() == 8 and seeded.filter("key < 1400").count() == 0
+    assert seeded.count() == 8 and seeded.filter("key < 5400").count() == 0
+    assert sum(part.count() for part in asked) <= 6000
+
+
+def test_seeded_rounds_equal_one_pass(spark, monkeypatch):
+    """The rounds pick what ranking all passing rows would pick."""
+    df = spark.createDataFrame([(i, "q", "yes") for i in range(3000)], "key long, question string, answer string")
+
+    def rare(rows):
+        right = F.col("key") % 97 == 0
+        return rows.withColumns({"pred_answer": F.col("answer"), "score": right.cast("int")})
+
+    def picked(rounds):
+        monkeypatch.setattr(search, "PROBE_ROWS", rounds)
+        rows = search.first_passing_per_seed(df, QA, "key", rare, ["a", "b", "c"], 5, 1.0)
+        return sorted((r["seed"], r["draw"], r["key"]) for r in rows.collect())
+
+    assert picked((8, 64)) == picked((1000,)) == picked((5000,))
+    ordered = search.first_passing(df, QA, "key", rare, 5, 1.0).collect()
+    assert sorted(r["key"] for r in ordered) == [0, 97, 194, 291, 388]
 
 
 @pytest.mark.parametrize("optimizer", compiling.OPTIMIZERS)
