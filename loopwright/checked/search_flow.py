@@ -248,7 +248,7 @@ def digest_teacher(rows):
         FROM placed p LEFT JOIN answers a ON a.gold_status = p.gold_status WHERE NOT train)
     SELECT 'k5' AS run_id, 'BootstrapFewShot' AS optimizer, 'gold_status -> gold_flag' AS signature,
            row_count, 'gold_status,gold_flag' AS column_names, digest AS file_hash,
-           row_count - n AS trainset_size, n AS devset_size, 0.0 AS baseline_score,
+           row_count - n AS trainset_size, n AS devset_size, CAST(0 AS DOUBLE) AS baseline_score,
            score AS evaluation_score, score AS score_improvement
     FROM final, ({fingerprint_sql('predictions', ['gold_status', 'gold_flag'])})""",
 )

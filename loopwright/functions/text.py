@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +90,13 @@ def score_or_null(text: Column) -> Column:
     return F.when(text != "", text.try_cast("double"))
 
 
+def utc(moment: datetime) -> datetime:
+    """A moment in UTC; one without a zone is taken to be in UTC already."""
+    if moment.tzinfo is None:
+        return moment.replace(tzinfo=timezone.utc)
+    return moment.astimezone(timezone.utc)
+
+
 def millis_to_timestamp(millis: Column) -> Column:
     return F.timestamp_millis(millis)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+import operator
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopwright.functions.jsonmap import parse_map, training_fields, unwrap_json
-from loopwright.functions.text import feedback_id, iso_text, millis_to_timestamp
+from loopwright.functions.text import feedback_id, iso_text, millis_to_timestamp, utc
 from loopwright.operators.contracts import rating_is_valid
 
 # Assessment names, the bypass prefix and the stand-in for no user.
@@ -148,10 +149,16 @@ def traces_with_feedback(traces: DataFrame, feedback: DataFrame, keep: str = "fi
     return traces.join(first_values(feedback, keep), "trace_id", "left")
 
 
-def _millis(moment: datetime) -> int:
-    if moment.tzinfo is None:
-        moment = moment.replace(tzinfo=timezone.utc)
-    return int(moment.timestamp() * 1000)
+def in_time_range(traces: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
+    """Traces from ``start`` to ``end``, both included; a ``date`` folder column is used too."""
+    for moment, within in ((start, operator.ge), (end, operator.le)):
+        if moment is None:
+            continue
+        moment = utc(moment)
+        traces = traces.filter(within(F.col("timestamp_ms"), int(moment.timestamp() * 1000)))
+        if "date" in traces.columns:
+            traces = traces.filter(within(F.col("date"), F.lit(moment.date())))
+    return traces
 
 
 def rated_traces(
@@ -174,10 +181,7 @@ def rated_traces(
     wanted = traces
     if model_name:
         wanted = wanted.filter(F.col("model_name") == model_name)
-    if start:
-        wanted = wanted.filter(F.col("timestamp_ms") >= _millis(start))
-    if end:
-        wanted = wanted.filter(F.col("timestamp_ms") <= _millis(end))
+    wanted = in_time_range(wanted, start, end)
     rated = first_values(feedback, keep).filter(
         F.col(RATING_NAME) == ("true" if rating == "thumbs_up" else "false")
     )

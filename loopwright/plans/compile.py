@@ -123,7 +123,7 @@ def compile_program(
         F.lit(run_id).alias("run_id"),
         F.lit(optimizer).alias("optimizer"),
         F.lit(spec.signature).alias("signature"),
-        F.lit(profile["row_count"]).alias("row_count"),
+        F.lit(profile["row_count"]).cast("long").alias("row_count"),
         F.lit(profile["column_names"]).alias("column_names"),
         F.lit(profile["file_hash"]).alias("file_hash"),
         (F.lit(profile["row_count"]) - of(0, "examples")).alias("trainset_size"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loopwright.functions.jsonmap import MAP_TYPE
+from loopwright.functions.text import utc
 
 # Keys of a prompt document, by type.
 PROMPT_LISTS = ("input_fields", "input_descriptions", "input_descs", "output_fields",
@@ -129,12 +130,15 @@ def read_traces(
     start: datetime | None = None,
     end: datetime | None = None,
 ) -> DataFrame:
-    """A trace table partitioned by model and day; the filters skip whole folders."""
+    """A trace table foldered by model and day; the filters skip whole folders.
+
+    Whole days are read; ``rated_traces`` cuts to the moment.
+    """
     traces = spark.read.parquet(path)
     if model_name:
         traces = traces.filter(F.col("model_name") == model_name)
     if start:
-        traces = traces.filter(F.col("date") >= F.lit(start.date()))
+        traces = traces.filter(F.col("date") >= F.lit(utc(start).date()))
     if end:
-        traces = traces.filter(F.col("date") <= F.lit(end.date()))
+        traces = traces.filter(F.col("date") <= F.lit(utc(end).date()))
     return traces

@@ -1,6 +1,6 @@
 """Feedback, export and recycling on literal cases."""
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
@@ -132,6 +132,24 @@ def test_export_range_is_inclusive(given_traces, given_feedback):
         ids(limit=10001)
 
 
+def test_trace_folders_are_pruned(spark, given_traces, given_feedback, tmp_path):
+    path = str(tmp_path / "traces")
+    late = given_traces.limit(1).selectExpr(
+        "'tr-7' AS trace_id", "model_name", "timestamp_ms + 2 * 86400000 AS timestamp_ms", "inputs", "outputs"
+    )
+    writers.write_traces(given_traces.unionByName(late), path)
+    stored = readers.read_traces(spark, path)
+    zone = timezone(timedelta(hours=5))
+    found = feedback.rated_traces(
+        stored, given_feedback, start=datetime(2024, 1, 1, 5, 0, 1, tzinfo=zone), limit=None
+    )
+    assert [r["trace_id"] for r in found.collect()] == ["tr-2"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "(date#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    days = readers.read_traces(spark, path, "m", end=datetime(2024, 1, 1))
+    assert sorted(r["trace_id"] for r in days.collect()) == ["tr-1", "tr-2"]
+
+
 def test_empty_export_keeps_a_header(spark, given_traces, given_feedback, tmp_path):
     records = training_export(given_traces, given_feedback, model_name="none")
     path = str(tmp_path / "empty")
