@@ -53,3 +53,10 @@ def resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "old_shard",
         "moved",
     )
+
+
+@query("op3_cost_balanced_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopwright.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))

@@ -131,8 +131,8 @@ def plan_shards(
 
     ``old_shard`` holds 0-based shard numbers (NULL counts as 0), ``size`` the bytes of a row
     (NULL: 0).  Capacities default to equal ones; they must add up to all bytes.  Rows of a
-    shard are taken in an order drawn from the ``order`` columns, large ones first; a row goes where its first byte goes, so each shard is off its capacity
-    by less than a row at each of its cuts.  Rows that stay fit the capacity wholly.  Slots are
+    shard are taken in an order drawn from the ``order`` columns, large ones first; a row goes where its middle goes, so each shard is off its capacity
+    by half a row at most at each of its cuts.  Rows that stay fit the capacity wholly.  Slots are
     gapless from 0 in each shard.
 
     Rows with equal ``order`` values and sizes are interchangeable; an empty table stays empty.
@@ -196,7 +196,7 @@ def plan_shards(
     room = [c - (kept[j] if j < old else 0) for j, c in enumerate(capacities)]
     flow = least_cost_flow(rest, room, costs)
     shard = F.when(stays & (F.col("_old") < new), F.col("_old")).otherwise(
-        _target(_ranges(flow), F.col("_at") - _by_old(kept))
+        _target(_ranges(flow), F.col("_at") + F.col("_size") / 2 - _by_old(kept))
     )
     placed = placed.withColumn("shard", shard.cast("int"))
 
