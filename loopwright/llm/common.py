@@ -54,3 +54,11 @@ def worker_state(name: str, make: Callable[[], object]) -> object:
     if not hasattr(holder, name):
         setattr(holder, name, make())
     return getattr(holder, name)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -60,3 +60,13 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loopwright.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_adaptive_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopwright.llm.quality_rules import judge_counted, with_counts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    counted = with_counts(docs, "counts", keep_text=False)
+    judged = judge_counted(counted, "counts")
+    return judged.select("doc_id", "counts.*")
