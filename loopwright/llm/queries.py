@@ -70,3 +70,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = with_counts(docs, "counts", keep_text=False)
     judged = judge_counted(counted, "counts")
     return judged.select("doc_id", "counts.*")
+
+
+@query("op6_bayesian_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopwright.llm.near_dedup import find_groups
+
+    return find_groups(table(spark, sf_dir, "documents"))
