@@ -77,3 +77,12 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loopwright.llm.near_dedup import find_groups
 
     return find_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sentence_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopwright.llm.toxicity import train_and_score
+
+    return train_and_score(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
