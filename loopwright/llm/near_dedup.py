@@ -7,8 +7,9 @@ it is dropped once the posterior chance of a similarity of 0.75 falls below the
 probability.  The others are confirmed on their full sets.
 
 Buckets are not expanded into pairs at once: first each bucket's members are compared with its
-hub, the class that shares most bands overall; then, in what is left, only pairs of members that
-are not connected yet are compared.  All such pairs are, so no link between components is lost.
+hub, the class that shares most bands overall.  In what is left, a class's shingles that no other
+class there has bound its similarity to any of them.  Pairs of members that are not connected
+yet, and that this bound allows, are compared; so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -208,24 +209,70 @@ def hub_pairs(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     return _pairs(met.filter("x <> y").filter(_alike_in_size("n", "n_y", percent)))
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of a bucket's members that no chain of links connects yet."""
-    known = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
-        "band", "node", "n", F.coalesce("component", "node").alias("component")
-    )
+def _in_mixed_buckets(rows: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold more than one component."""
     mixed_buckets = (
-        known.groupBy("band")
+        rows.groupBy("band")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         .filter("lo < hi")
         .select("band")
     )
-    left = stored(known.join(mixed_buckets, "band", "left_semi"), "open-members")
+    return rows.join(mixed_buckets, "band", "left_semi")
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that links have not connected wholly, with their components."""
+    known = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
+        "band", "node", "n", F.coalesce("component", "node").alias("component")
+    )
+    return _in_mixed_buckets(known)
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """``node`` and ``own``: how many of its shingles no other of these sets has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, items in zip(batch.column(0), batch.column(1)):
+                values = np.frombuffer(items.as_buffer(), dtype=np.int64)
+                nodes = np.full(len(values), node.as_py(), dtype=np.int64)
+                yield pa.record_batch([pa.array(values), pa.array(nodes)], names=["item", "node"])
+
+    single = (
+        sets.mapInArrow(run, "item long, node long")
+        .groupBy("item")
+        .agg(F.min("node").alias("node"), F.count("*").alias("n"))
+        .filter("n = 1")
+    )
+    return single.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def open_pairs(open_rows: DataFrame, own: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs of a bucket's members in different components that may still be similar enough.
+
+    A pair has at most as many common shingles as the one with fewer that are not its own.
+    """
+    left = open_rows.join(own, "node", "left").select(
+        "band", "node", "n", "component",
+        (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"),
+    )
+    left = stored(
+        _in_mixed_buckets(left.filter(100 * F.col("common") >= percent * F.col("n"))),
+        "open-members",
+    )
     right = left.select(
-        "band", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y")
+        "band",
+        F.col("node").alias("y"),
+        F.col("n").alias("n_y"),
+        F.col("component").alias("c_y"),
+        F.col("common").alias("common_y"),
     )
+    most = F.least("common", "common_y")
     met = left.withColumnRenamed("node", "x").join(right, "band")
     return _pairs(
-        met.filter("x < y and component <> c_y").filter(_alike_in_size("n", "n_y", percent))
+        met.filter("x < y and component <> c_y").filter(
+            100 * most >= percent * (F.col("n") + F.col("n_y") - most)
+        )
     )
 
 
@@ -259,18 +306,20 @@ def find_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     members = stored(bands.join(shared, "band", "left_semi"), "bucket-members")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets_of(nodes: DataFrame) -> DataFrame:
         reps = classes.select("node", "rep").join(nodes, "node", "left_semi").select("rep")
-        return stored(full_sets(docs, stored(reps, "pair-documents")), "full-sets")
+        return stored(full_sets(docs, stored(reps, "set-documents")), "full-sets")
 
     near = stored(likely(hub_pairs(members, percent), classes, percent=percent), "hub-pairs")
-    links = stored(confirmed(near, sets_of(near), percent), "hub-links")
+    both = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "node")
+    links = stored(confirmed(near, sets_of(both), percent), "hub-links")
     labels = components(links)
-    more = open_pairs(members, labels, percent).join(near, ["a", "b"], "left_anti")
-    near = stored(likely(more, classes, percent=percent), "open-pairs")
-    if near.limit(1).count():
-        found = confirmed(near, sets_of(near), percent)
+
+    rest = stored(open_members(members, labels), "open-members")
+    sets = sets_of(rest.select("node").distinct())
+    more = open_pairs(rest, own_shingles(sets), percent).join(near, ["a", "b"], "left_anti")
+    found = stored(confirmed(likely(more, classes, percent=percent), sets, percent), "open-links")
+    if found.limit(1).count():
         labels = components(stored(links.union(found), "all-links"))
 
     # A group's name is the smallest document in it; classes without links name themselves.
