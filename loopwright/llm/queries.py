@@ -86,3 +86,10 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     )
+
+
+@query("op10_personal_data_crf")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopwright.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
