@@ -93,3 +93,11 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loopwright.llm.pii import find_personal_data
 
     return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op1_seed_align_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopwright.llm.decontamination import find_leaks
+
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.drop("text_key")
