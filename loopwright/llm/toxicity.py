@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -59,26 +60,25 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _association(
-    piece: np.ndarray, owner: np.ndarray, document: np.ndarray, word: np.ndarray, y: np.ndarray
+    piece: np.ndarray, sizes: np.ndarray, document: np.ndarray, word: np.ndarray, y: np.ndarray
 ) -> np.ndarray:
     """For every piece the standard errors between its shares in toxic and other documents.
 
-    ``piece`` and ``owner`` list the words' pieces, ``document`` and ``word`` who holds which word.
+    ``piece`` lists the words' pieces, ``sizes`` how many each word has; ``document`` (ascending)
+    and ``word`` say who holds which word.
     """
-    order = np.argsort(owner, kind="stable")
-    sizes = np.bincount(owner, minlength=int(owner.max()) + 1)
     first = np.cumsum(sizes) - sizes
-    counts = np.zeros((2, PIECES))
-    for at in range(0, len(document), 1 << 18):
-        # Pieces of the documents in this stretch, each once a document.
-        d, w = document[at : at + (1 << 18)], word[at : at + (1 << 18)]
-        spread = np.repeat(first[w] - (np.cumsum(sizes[w]) - sizes[w]), sizes[w])
-        p = piece[order[np.arange(len(spread)) + spread]]
-        both = np.unique(np.repeat(d, sizes[w]) * PIECES + p)
+    counts = np.zeros((2, PIECES), dtype=np.float32)
+    cuts = np.searchsorted(document, np.arange(0, len(y) + 32, 32))
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        # The pieces of 32 documents, each once a document.
+        d, w = document[low:high], word[low:high]
+        many = sizes[w]
+        spread = np.repeat(first[w] - (np.cumsum(many) - many), many)
+        p = piece[np.arange(len(spread)) + spread]
+        both = np.unique(np.repeat(d, many) * PIECES + p)
         for label in (0, 1):
-            counts[label] += np.bincount(
-                both[y[both // PIECES] == label] % PIECES, minlength=PIECES
-            )
+            np.add.at(counts[label], both[y[both // PIECES] == label] % PIECES, 1)
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     share = counts.sum(axis=0) / n.sum()
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
@@ -109,48 +109,53 @@ class SentenceModel:
         Without both classes the model says the base rate, whatever the text.
         """
         number: dict[str, int] = {}
-        pairs = dict.fromkeys(zip(texts, labels))  # a text counts once
-        word_ids, sentence_sizes, document_sizes, kept = [], [], [], []
-        for text, label in pairs:
-            found = sentences(text or "")
+        words, sentence_sizes = array("i"), array("i")
+        document_sizes, document_words, kept = array("i"), array("i"), array("i")
+        for text, label in dict.fromkeys(zip(texts, labels)):  # a text counts once
+            found, before = sentences(text or ""), len(words)
             if not found:
                 continue
+            for sentence in found:
+                sentence_sizes.append(len(sentence))
+                words.extend([number.setdefault(w, len(number)) for w in sentence])
             kept.append(label)
             document_sizes.append(len(found))
-            for words in found:
-                sentence_sizes.append(len(words))
-                word_ids.extend([number.setdefault(w, len(number)) for w in words])
+            document_words.append(len(words) - before)
         y = np.array(kept)
         if not len(y) or y.min() == y.max():
             rate_of = (sum(labels) + 0.5) / (len(labels) + 1.0) if labels else 0.01
             return cls(np.zeros(PIECES), math.log(rate_of / (1 - rate_of)))
-        lists = [pieces(w) for w in number]
-        piece = np.fromiter((p for x in lists for p in x), dtype=np.int64)
-        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        word_ids = np.array(word_ids)
-        in_document = np.repeat(
-            np.arange(len(y)), np.add.reduceat(sentence_sizes, np.cumsum([0, *document_sizes])[:-1])
-        )
-        held = np.unique(in_document * len(lists) + word_ids)
-        z = _association(piece, owner, held // len(lists), held % len(lists), y)
-        kept_pieces = np.abs(z)[piece] >= SCREEN
-        piece, owner = piece[kept_pieces], owner[kept_pieces]
+        pieces_of, sizes = array("i"), array("i")
+        for word in number:
+            own = pieces(word)
+            pieces_of.extend(own)
+            sizes.append(len(own))
+        count = len(number)
+        del number
+        word_ids, sizes = np.array(words), np.array(sizes)
+        held = np.unique(np.repeat(np.arange(len(y)), document_words) * count + word_ids)
+        piece = np.array(pieces_of)
+        z = _association(piece, sizes, held // count, held % count, y)
+        told = np.abs(z)[piece] >= SCREEN
+        owner = np.repeat(np.arange(count, dtype=np.int32), sizes)[told]
+        piece = piece[told]
+        del held, told, pieces_of
         word_at = np.cumsum([0, *sentence_sizes])[:-1]
-        in_sentence = np.repeat(np.arange(len(sentence_sizes)), sentence_sizes)
+        in_sentence = np.repeat(np.arange(len(sentence_sizes), dtype=np.int32), sentence_sizes)
         at = np.cumsum([0, *document_sizes])[:-1]
-        in_document = np.repeat(np.arange(len(y)), document_sizes)
+        in_document = np.repeat(np.arange(len(y), dtype=np.int32), document_sizes)
         weight = np.where(y == 1, class_weights[1], class_weights[0])
         weight = weight / weight.sum()
 
         theta, bias = np.zeros(PIECES), -4.0
         seen, seen_bias = np.full(PIECES, 1e-8), 1e-8
         for _ in range(steps):
-            values = np.bincount(owner, weights=theta[piece], minlength=len(lists))
+            values = np.bincount(owner, weights=theta[piece], minlength=count)
             z = np.add.reduceat(values[word_ids], word_at) + bias
             total = np.add.reduceat(_softplus(z), at)
             pull = np.where(y == 1, 1.0 / np.expm1(np.clip(total, 1e-9, 50)), -1.0) * weight
             slope = _sigmoid(z) * pull[in_document]
-            by_word = np.bincount(word_ids, weights=slope[in_sentence], minlength=len(lists))
+            by_word = np.bincount(word_ids, weights=slope[in_sentence], minlength=count)
             grad = np.bincount(piece, weights=by_word[owner], minlength=PIECES)
             grad -= penalty * theta
             seen += grad * grad
