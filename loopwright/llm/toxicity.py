@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from loopwright.llm.common import in_batches, stored, worker_state
 
 # Bounds of the training sample: labelled documents of each class, and the longest one's length.
-TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 1500, 3000, 50_000
+TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 1000, 2000, 50_000
 PIECES = 1 << 20
 GRAMS = (3, 4, 5)
 # A piece is learnt only if its share among toxic and other documents differs by so many
