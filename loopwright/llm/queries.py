@@ -101,3 +101,11 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.drop("text_key")
+
+
+@query("op8_importance_resampling")
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopwright.llm.quality_classifier import resample
+
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return resample(table(spark, sf_dir, "documents"), good)
