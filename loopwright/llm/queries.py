@@ -109,3 +109,94 @@ def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return resample(table(spark, sf_dir, "documents"), good)
+
+
+# Captures made of ``pages``: each page is a full response, and a revisit follows it later; every
+# fifth revisit names another version, every seventh sends no entity tag.
+REVISIT_SQL = """
+WITH parts AS (
+  SELECT page_id, url, octet_length(encode(html)) AS bytes, md5(html) AS tag,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''),
+                        '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS rest
+  FROM pages),
+split AS (
+  SELECT page_id, bytes, tag,
+         regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)),
+                                       ':(80|443)$', ''), '^www[.]', '')
+         || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+         array_to_string(list_sort(list_filter(
+           string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))),
+           '&') AS query
+  FROM parts),
+named AS (
+  SELECT page_id, bytes, tag, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS page
+  FROM split),
+responses AS (
+  SELECT page_id * 2 AS record_id, page, page_id * 60 AS ts, bytes, tag, page_id FROM named),
+revisits AS (
+  SELECT page_id * 2 + 1 AS record_id, page, page_id * 60 + 30 + (page_id % 11) * 600 AS ts,
+         CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN md5(tag) ELSE tag END AS tag,
+         page_id
+  FROM named),
+ranked AS (
+  SELECT v.record_id, v.page, v.ts, v.tag, v.page_id, r.record_id AS response_id,
+         r.ts AS response_ts, r.tag AS full_tag, r.bytes, r.page_id AS full_page,
+         row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC, r.record_id DESC) AS place
+  FROM revisits v LEFT JOIN responses r ON r.page = v.page AND r.ts < v.ts),
+judged AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'no_response' WHEN tag IS NULL THEN 'unverified'
+                 WHEN tag = full_tag THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM ranked WHERE place = 1)
+SELECT record_id, page AS canonical_url, ts, response_id, response_ts, outcome,
+       CASE WHEN outcome IN ('resolved', 'unverified') THEN
+         'cache-control: max-age=' || (page_id % 100) || '; content-length: ' || bytes
+         || '; content-type: text/html; date: ' || ts || '; etag: "'
+         || coalesce(tag, full_tag) || '"; last-modified: ' || (full_page * 60) END AS headers
+FROM judged
+"""
+
+
+@query("op9_revisit_resolution", REVISIT_SQL)
+def revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopwright.llm.warc import resolve_revisits
+
+    page, text = F.col("page_id"), lambda c: c.cast("string")
+    tag = F.md5(F.encode("html", "UTF-8"))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.octet_length("html").alias("bytes"), tag.alias("tag")
+    )
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    full = pages.select(
+        (page * 2).alias("record_id"),
+        "url",
+        (page * 60).alias("ts"),
+        F.lit("response").alias("kind"),
+        F.create_map(
+            F.lit("content-type"), F.lit("text/html"),
+            F.lit("content-length"), text(F.col("bytes")),
+            F.lit("etag"), quoted(F.col("tag")),
+            F.lit("last-modified"), text(page * 60),
+        ).alias("headers"),
+    )
+    at = page * 60 + 30 + page % 11 * 600
+    again = pages.select(
+        (page * 2 + 1).alias("record_id"),
+        "url",
+        at.alias("ts"),
+        F.lit("revisit").alias("kind"),
+        F.create_map(
+            F.lit("cache-control"), F.concat(F.lit("max-age="), text(page % 100)),
+            F.lit("content-length"), F.lit("0"),
+            F.lit("date"), text(at),
+            F.lit("etag"),
+            F.when(page % 7 == 0, F.lit(None)).otherwise(
+                quoted(F.when(page % 5 == 0, F.md5("tag")).otherwise(F.col("tag")))
+            ),
+        ).alias("headers"),
+    )
+    found = resolve_revisits(full.union(again))
+    lines = F.transform(
+        F.array_sort(F.map_entries("headers")), lambda e: F.concat(e.key, F.lit(": "), e.value)
+    )
+    return found.withColumn("headers", F.array_join(lines, "; "))
