@@ -7,9 +7,10 @@ it is dropped once the posterior chance of a similarity of 0.75 falls below the
 probability.  The others are confirmed on their full sets.
 
 Buckets are not expanded into pairs at once: first each bucket's members are compared with its
-hub, the class that shares most bands overall.  In what is left, a class's shingles that no other
-class there has bound its similarity to any of them.  Pairs of members that are not connected
-yet, and that this bound allows, are compared; so no link between components is lost.
+hub, the class that shares most bands overall.  In what is left, shingles that few classes have
+are told apart: pairs that share such a shingle are listed by it, and for all others only the
+frequent shingles count, which bounds their similarity.  Pairs that are not connected yet, and
+that the bound allows, are compared; so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 BATCH = 16
 MISS = 1e-7
+# Shingles that so many open classes have at most are listed class by class.
+SCARCE = 16
 
 _SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, signature binary"
 
@@ -228,8 +231,8 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return _in_mixed_buckets(known)
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """``node`` and ``own``: how many of its shingles no other of these sets has."""
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """One row for each shingle (``item``) of each set (``node``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,42 +241,72 @@ def own_shingles(sets: DataFrame) -> DataFrame:
                 nodes = np.full(len(values), node.as_py(), dtype=np.int64)
                 yield pa.record_batch([pa.array(values), pa.array(nodes)], names=["item", "node"])
 
-    single = (
-        sets.mapInArrow(run, "item long, node long")
-        .groupBy("item")
-        .agg(F.min("node").alias("node"), F.count("*").alias("n"))
-        .filter("n = 1")
-    )
-    return single.groupBy("node").agg(F.count("*").alias("own"))
+    return sets.mapInArrow(run, "item long, node long")
 
 
-def open_pairs(open_rows: DataFrame, own: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of a bucket's members in different components that may still be similar enough.
+def scarce_shingles(sets: DataFrame, most: int = SCARCE) -> tuple[DataFrame, DataFrame]:
+    """The rows (``item``, ``node``) of shingles of 2 to ``most`` sets, and each node's own count.
 
-    A pair has at most as many common shingles as the one with fewer that are not its own.
+    The second table has ``node`` and ``own``: how many of its shingles no other set has.
     """
-    left = open_rows.join(own, "node", "left").select(
-        "band", "node", "n", "component",
-        (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"),
-    )
+    rows = shingle_rows(sets)
+    counted = rows.groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    counted = stored(counted.filter(F.col("n") <= most), "scarce-items")
+    shared = counted.filter("n > 1").select("item")
+    own = counted.filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return stored(rows.join(shared, "item", "left_semi").distinct(), "scarce-rows"), own
+
+
+def _possible(most: F.Column, n_x: str, n_y: str, percent: int) -> F.Column:
+    """Whether sets of these sizes with so many common items at most can be similar enough."""
+    return 100 * most >= percent * (F.col(n_x) + F.col(n_y) - most)
+
+
+def open_pairs(
+    open_rows: DataFrame, scarce: DataFrame, own: DataFrame, percent: int = PERCENT
+) -> DataFrame:
+    """Pairs of open classes in different components that may still be similar enough."""
+    counts = scarce.groupBy("node").agg(F.count("*").alias("scarce"))
     left = stored(
-        _in_mixed_buckets(left.filter(100 * F.col("common") >= percent * F.col("n"))),
+        open_rows.join(own, "node", "left").join(counts, "node", "left").select(
+            "band", "node", "n", "component",
+            (F.col("n") - F.coalesce("own", F.lit(0)) - F.coalesce("scarce", F.lit(0))).alias(
+                "frequent"
+            ),
+        ),
         "open-members",
     )
-    right = left.select(
-        "band",
-        F.col("node").alias("y"),
-        F.col("n").alias("n_y"),
-        F.col("component").alias("c_y"),
-        F.col("common").alias("common_y"),
+
+    def side(rows: DataFrame, key: str, mark: str) -> DataFrame:
+        return rows.select(
+            key, *[F.col(c).alias(f"{c}_{mark}") for c in ("node", "n", "component", "frequent")]
+        )
+
+    apart = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y"))
+    frequent = F.least("frequent_x", "frequent_y")
+
+    # Pairs without a scarce shingle in common share frequent ones at most; they meet in a band.
+    able = _in_mixed_buckets(left.filter(100 * F.col("frequent") >= percent * F.col("n")))
+    able = stored(able, "able-members")
+    met = side(able, "band", "x").join(side(able, "band", "y"), "band").filter(
+        apart & _possible(frequent, "n_x", "n_y", percent)
     )
-    most = F.least("common", "common_y")
-    met = left.withColumnRenamed("node", "x").join(right, "band")
-    return _pairs(
-        met.filter("x < y and component <> c_y").filter(
-            100 * most >= percent * (F.col("n") + F.col("n_y") - most)
+    # Pairs with scarce shingles in common, however few bands they share.
+    nodes = left.select("node", "n", "component", "frequent").distinct()
+    held = stored(scarce.join(nodes, "node"), "scarce-members")
+    listed = (
+        side(held, "item", "x").join(side(held, "item", "y"), "item").filter(apart)
+        .groupBy("node_x", "node_y")
+        .agg(
+            F.first("n_x").alias("n_x"),
+            F.first("n_y").alias("n_y"),
+            F.first(frequent).alias("frequent"),
+            F.count("*").alias("met"),
         )
+        .filter(_possible(F.col("frequent") + F.col("met"), "n_x", "n_y", percent))
     )
+    names = [F.col("node_x").alias("x"), F.col("node_y").alias("y")]
+    return _pairs(met.select(*names).union(listed.select(*names)))
 
 
 def find_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -317,7 +350,7 @@ def find_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     rest = stored(open_members(members, labels), "open-members")
     sets = sets_of(rest.select("node").distinct())
-    more = open_pairs(rest, own_shingles(sets), percent).join(near, ["a", "b"], "left_anti")
+    more = open_pairs(rest, *scarce_shingles(sets), percent).join(near, ["a", "b"], "left_anti")
     found = stored(confirmed(likely(more, classes, percent=percent), sets, percent), "open-links")
     if found.limit(1).count():
         labels = components(stored(links.union(found), "all-links"))
