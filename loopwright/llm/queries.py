@@ -200,3 +200,10 @@ def revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.map_entries("headers")), lambda e: F.concat(e.key, F.lit(": "), e.value)
     )
     return found.withColumn("headers", F.array_join(lines, "; "))
+
+
+@query("op4_masked_pseudo_likelihood")
+def masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopwright.llm.lm_scoring import train_and_score
+
+    return train_and_score(table(spark, sf_dir, "documents"))
