@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import in_batches, stored
+from loopwright.llm.common import fresh, in_batches, stored
 from loopwright.llm.graphs import components
 from loopwright.llm.shingles import MinHasher, constants, mixed, set_key, shingle_sets
 from loopwright.session import broadcast_if_small
@@ -36,7 +36,7 @@ MISS = 1e-7
 # Shingles that so many open classes have at most are listed class by class.
 SCARCE = 16
 
-_SIGNED = "doc_id long, n_shingles long, c1 long, c2 long, signature binary"
+_SIGNED = "doc_id long, text_key long, n_shingles long, c1 long, c2 long, signature binary"
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -46,24 +46,26 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
         hasher = MinHasher(bands * rows)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [None if t is None else t.encode() for t in batch.column(1).to_pylist()]
+            texts = [None if t is None else t.encode() for t in batch.column(2).to_pylist()]
             sets = shingle_sets(texts)
             keys = [set_key(s) for s in sets]
             signatures = [hasher.signature(s).tobytes() if len(s) else None for s in sets]
             return pa.record_batch(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(s) for s in sets], type=pa.int64()),
                     pa.array([k[0] for k in keys], type=pa.int64()),
                     pa.array([k[1] for k in keys], type=pa.int64()),
                     pa.array(signatures, type=pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "c1", "c2", "signature"],
+                names=[c.split()[0] for c in _SIGNED.split(", ")],
             )
 
         return each
 
-    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, _SIGNED)
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
+    return in_batches(keyed, make, _SIGNED)
 
 
 def banded(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -310,7 +312,7 @@ def open_pairs(
 
 
 def find_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
+    """Per document: ``doc_id``, ``text_key`` (hash of its text), ``n_shingles``, ``component_id``, ``kept``.
 
     ``component_id`` is the smallest doc_id that links reach; a document alone, or without words,
     has its own and is kept.  Rows with NULL ids are never a group's name: they get their
@@ -362,10 +364,37 @@ def find_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     names = grouped.groupBy("component").agg(F.min("rep").alias("name"))
     named = grouped.join(names, "component").select(F.col("node").alias("c1"), "name")
     has_words = F.col("n_shingles") > 0
-    joined = rows.select("doc_id", "n_shingles", "c1").join(named, "c1", "left")
+    joined = rows.select("doc_id", "text_key", "n_shingles", "c1").join(named, "c1", "left")
     component = F.when(has_words, F.col("name")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    found = joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
+    return found.withColumn(
         "kept",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()),
     )
 
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents without near-duplicates of others: of each group the one with the smallest id.
+
+    Of rows that repeat an id and its text one stays; rows without words all stay.  The columns
+    are those of ``docs``.
+    """
+    key = fresh(docs, "_text_key")
+    groups = stored(find_groups(docs), "groups")
+    names = [F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text")]
+    again = groups.filter("kept and n_shingles > 0").groupBy("doc_id", "text_key").count()
+    again = stored(again.filter("count > 1").select(*names), "repeated-rows")
+    gone = stored(groups.filter("not kept").select(*names).distinct(), "dropped-rows")
+    rows = docs.withColumn(key, F.xxhash64("text"))
+
+    def meet(table: DataFrame, how: str) -> DataFrame:
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col(key) == F.col("_text"))
+        return kept.join(broadcast_if_small(table), same, how)
+
+    kept = rows
+    kept = meet(gone, "left_anti")
+    if again.limit(1).count():
+        kept = meet(again, "left_anti").union(
+            meet(again, "left_semi").dropDuplicates(["doc_id", key])
+        )
+    return kept.drop(key)

@@ -76,7 +76,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loopwright.llm.near_dedup import find_groups
 
-    return find_groups(table(spark, sf_dir, "documents"))
+    return find_groups(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 @query("op7_sentence_toxicity")
