@@ -146,6 +146,9 @@ LABELLED = [
     "meet me at 5 dot and bring 3",
     "isbn 978-3-16-148410-0 on the back",
     "zip 90210-1234 in the west",
+    "w0x0 w1x1 w22x22 ab12cd34 x9 are names",
+    "In 2019 we had 3 cats and 14 dogs in room 101",
+    "flight LH 1234 at gate B22 and RTX 4090 24GB",
     "from 100-200 to 300-400 units",
     "http://example.com/a/17?page=2 shows it",
     "https://m.example.net/en/25#top there",
@@ -286,8 +289,26 @@ def trained(labelled: tuple[str, ...] = tuple(LABELLED), copies: int = 12) -> Ch
     return ChainModel.train(features, marks, allowed_steps(), DIMENSIONS)
 
 
+_FORMS = [
+    re.compile(r"[^@\s]+@[^@\s]+|\S+ ?[(\[]? ?at ?[)\]]? ?\S+(?: ?[(\[]? ?dot ?[)\]]? ?\S+)*", re.I),
+    re.compile(r"[0-9]+(?:\.[0-9]+){3}(?::[0-9]+)?|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}"),
+    re.compile(r"[0-9](?:[ _./-]?[0-9])+"),
+    re.compile(r"\+?[0-9(](?:[ ().-]?[0-9)])+"),
+]
+_DIGITS = [(0, 1 << 30), (1, 32), (13, 19), (7, 15)]
+
+
+def plausible(kind: int, shown: str) -> bool:
+    """Whether words that the field labels have the form of their kind at all."""
+    digits = [c for c in shown if c in "0123456789"]
+    least, most = _DIGITS[kind]
+    if not (_FORMS[kind].fullmatch(shown) and least <= len(digits) <= most):
+        return False
+    return kind != 2 or luhn("".join(digits))
+
+
 def _read(labels: list[int], words: list[tuple[int, int]], text: str) -> list[Span]:
-    """The spans that a chain's labels stand for, without outer punctuation."""
+    """The spans that a chain's labels stand for, without outer punctuation, if their form fits."""
     out: list[Span] = []
     for label, (a, b) in zip(labels, words):
         if label and label % 2:
@@ -300,7 +321,7 @@ def _read(labels: list[int], words: list[tuple[int, int]], text: str) -> list[Sp
             a += 1
         while a < b and text[b - 1] in _EDGES and text[b - 1] not in ")]":
             b -= 1
-        if any(c.isdigit() or c == "@" for c in text[a:b]):
+        if plausible(kind, text[a:b]):
             found.append((kind, a, b))
     return found
 
