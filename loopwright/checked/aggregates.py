@@ -291,17 +291,15 @@ def judge_score(t):
     sql="""
     SELECT example_id, '' AS input, coalesce(gold_flag, '') AS expected_output,
            coalesce(pred_flag, '') AS actual_output,
-           coalesce(TRY_CAST(nullif(judge_score, 'n/a') AS DOUBLE), 0.0) AS score,
+           coalesce(TRY_CAST(nullif(nullif(judge_score, 'n/a'), 'NaN') AS DOUBLE), 0.0) AS score,
            'unknown' AS metric_name
-    FROM (SELECT * REPLACE (CASE WHEN judge_score = 'NaN' THEN '0.5' ELSE judge_score END
-                            AS judge_score) FROM predictions)""",
+    FROM predictions""",
 )
 def evaluation_table(t):
-    score = F.when(F.col("judge_score") == "NaN", "0.5").otherwise(F.col("judge_score"))
     rows = t.predictions.select(
         "example_id",
         F.col("gold_flag").alias("expected_output"),
         F.col("pred_flag").alias("actual_output"),
-        score.alias("score"),
+        F.col("judge_score").alias("score"),
     )
     return evaluation.evaluation_table(rows)

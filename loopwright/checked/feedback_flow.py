@@ -25,6 +25,25 @@ def feedback_ingest(t):
     return found.select("feedback_id", "trace_id", "rating", "ts_ms")
 
 
+@query(
+    "F1_ids_from_content",
+    uses=["traces", "feedback"],
+    sql="""
+    SELECT DISTINCT trace_id, ts_ms // 86400000 * 86400000 AS ts_ms, user_id, rating,
+           corrected_output, comment
+    FROM feedback
+    WHERE rating IN ('thumbs_up', 'thumbs_down')
+      AND (starts_with(trace_id, 'degraded-') OR trace_id IN (SELECT trace_id FROM traces))""",
+)
+def ids_from_content(t):
+    # Feedback without ids that shares trace and time; retries arrive twice.
+    rows = t.feedback.drop("feedback_id").withColumn(
+        "ts_ms", F.floor(F.col("ts_ms") / 86400000) * 86400000
+    )
+    found = feedback.ingest_feedback(rows.unionByName(rows), t.traces)
+    return found.drop("feedback_id")
+
+
 @query(
     "F2_assessments",
     uses=["feedback"],
@@ -90,10 +109,10 @@ def latest_assessments(t):
     SELECT t.trace_id, t.model_name, t.inputs, t.outputs, r.corrected AS corrected_output,
            r.comment AS user_comment
     FROM traces t JOIN first_rated r ON t.trace_id = r.trace_id
-    WHERE NOT r.up ORDER BY t.timestamp_ms DESC, t.trace_id LIMIT 10000""",
+    WHERE NOT r.up""",
 )
 def rated_traces(t):
-    found = feedback.rated_traces(t.traces, t.feedback, rating="thumbs_down", limit=10000)
+    found = feedback.rated_traces(t.traces, t.feedback, rating="thumbs_down")
     return found.select(
         "trace_id", "model_name", "inputs", "outputs", "corrected_output", "user_comment"
     )

@@ -124,7 +124,7 @@ def version_sort(t):
     ORDER BY ts_ms DESC, feedback_id DESC LIMIT 100""",
 )
 def feedback_history(t):
-    return feedback.feedback_history(t.feedback).select("feedback_id", "trace_id", "rating", "ts_ms")
+    return feedback.feedback_history(t.feedback, limit=100).select("feedback_id", "trace_id", "rating", "ts_ms")
 
 
 @query(
@@ -135,7 +135,7 @@ def feedback_history(t):
     ORDER BY ts_ms DESC, feedback_id DESC LIMIT 100""",
 )
 def trace_history(t):
-    found = feedback.feedback_history(t.feedback, trace_id="tr-4")
+    found = feedback.feedback_history(t.feedback, trace_id="tr-4", limit=100)
     return found.select("feedback_id", "trace_id", "rating", "ts_ms")
 
 
@@ -148,7 +148,7 @@ def trace_history(t):
     WHERE r.up ORDER BY t.timestamp_ms DESC, t.trace_id LIMIT 1000""",
 )
 def export_limit(t):
-    return feedback.rated_traces(t.traces, t.feedback).select("trace_id", "timestamp_ms")
+    return feedback.rated_traces(t.traces, t.feedback, limit=1000).select("trace_id", "timestamp_ms")
 
 
 @query(

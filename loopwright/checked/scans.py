@@ -162,7 +162,7 @@ def training_csv_sink(t):
 )
 def training_json_sink(t):
     path = new_shared_path(t.spark, "s6")
-    writers.export_records(up_rated_records(t), path, "json", fields=RECORD_COLUMNS)
+    writers.export_records(up_rated_records(t), path, "json")
     return t.spark.read.schema(", ".join(f"{c} string" for c in RECORD_COLUMNS)).json(path)
 
 
@@ -206,6 +206,41 @@ def trace_scan(t):
     return found.select("trace_id", "model_name", "timestamp_ms", "inputs", "outputs")
 
 
+@query(
+    "S9_model_folders",
+    uses=["traces"],
+    sql="""
+    SELECT trace_id, CASE source WHEN 'src1' THEN '007' WHEN 'src2' THEN '12' WHEN 'src3' THEN ''
+                     WHEN 'src4' THEN '~x' WHEN 'src5' THEN NULL ELSE source END AS model_name
+    FROM (SELECT *, model_name AS source FROM traces)""",
+)
+def model_folders(t):
+    path = new_shared_path(t.spark, "s9")
+    names = {"src1": "007", "src2": "12", "src3": "", "src4": "~x"}
+    name = F.col("model_name")
+    for source, shown in names.items():
+        name = F.when(F.col("model_name") == source, shown).otherwise(name)
+    name = F.when(F.col("model_name") == "src5", F.lit(None)).otherwise(name)
+    writers.write_traces(t.traces.withColumn("model_name", name), path)
+    return readers.read_traces(t.spark, path).select("trace_id", "model_name")
+
+
+@query(
+    "S8_empty_export",
+    uses=["feedback"],
+    sql="SELECT 'inputs' AS name, count(*) FILTER (rating = 'nobody') AS rows FROM feedback"
+    " UNION ALL SELECT 'outputs', count(*) FILTER (rating = 'nobody') FROM feedback",
+)
+def empty_export(t):
+    path = new_shared_path(t.spark, "s8")
+    nobody = t.feedback.filter(F.col("rating") == "nobody")
+    record = F.create_map(F.lit("n"), "comment").cast("map<string,string>").alias("record")
+    writers.export_records(nobody.select(record), path, "csv")
+    header = readers.csv_header(t.spark, path)
+    rows = readers.read_csv(t.spark, path, header).agg(F.count("*").alias("rows"))
+    return rows.select(F.explode(F.lit(header)).alias("name"), "rows")
+
+
 @query(
     "S10_log_append",
     uses=["predictions"],

@@ -187,13 +187,29 @@ def parse_response(t):
 @query(
     "T9_conversation_text",
     sql="""
-    SELECT conv_id, turn // 1024 AS segment, string_agg(text, chr(10) ORDER BY turn) AS text
-    FROM conversations GROUP BY conv_id, turn // 1024""",
+    SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn, text), '') AS text
+    FROM conversations GROUP BY conv_id""",
 )
 def conversation(t):
     return conversation_text(t.table("conversations"))
 
 
+@query(
+    "T9_long_conversation",
+    sql="""
+    SELECT role, coalesce(string_agg(text, chr(10) ORDER BY conv_id * 1000 + turn, text), '') AS text
+    FROM conversations GROUP BY role""",
+)
+def long_conversation(t):
+    # All that a role ever said as one conversation, far longer than a segment.
+    said = t.table("conversations").select(
+        F.col("role").alias("conv_id"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn"),
+        "text",
+    )
+    return conversation_text(said).withColumnRenamed("conv_id", "role")
+
+
 @query(
     "T10_field_lists",
     uses=["model_versions"],
@@ -263,13 +279,19 @@ def version_description(t):
     uses=["feedback"],
     sql="""
     SELECT feedback_id AS source_id,
-           'fb-' || left(sha256(concat_ws('-', trace_id, ts_ms, user_id)), 16) AS made_id,
+           'fb-' || left(sha256(
+               coalesce(length(trace_id) || ':' || trace_id, '-')
+               || coalesce(length(CAST(ts_ms AS VARCHAR)) || ':' || ts_ms, '-')
+               || coalesce(length(user_id) || ':' || user_id, '-')
+               || coalesce(length(comment) || ':' || comment, '-')), 16) AS made_id,
            'degraded-' || left(sha256(feedback_id), 16) AS degraded_id
     FROM feedback""",
 )
 def feedback_ids(t):
     return t.feedback.select(
         F.col("feedback_id").alias("source_id"),
-        text.feedback_id(F.col("trace_id"), F.col("ts_ms"), F.col("user_id")).alias("made_id"),
+        text.feedback_id(*[F.col(c) for c in ("trace_id", "ts_ms", "user_id", "comment")]).alias(
+            "made_id"
+        ),
         text.degraded_trace_id(F.col("feedback_id")).alias("degraded_id"),
     )

@@ -110,9 +110,20 @@ def iso_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS")
 
 
-def feedback_id(trace_id: Column, ts_ms: Column, user_id: Column) -> Column:
-    """``fb-`` and 16 hex digits; the same event always gets the same id."""
-    seed = F.concat_ws("-", trace_id, ts_ms.cast("string"), user_id)
+def digest_text(*parts: Column) -> Column:
+    """The parts as one text that no other parts give: each with its length, ``-`` for NULL."""
+    texts = [part.cast("string") for part in parts]
+    return F.concat(
+        *[
+            F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-"))
+            for t in texts
+        ]
+    )
+
+
+def feedback_id(*parts: Column) -> Column:
+    """``fb-`` and 16 hex digits; the same event, content included, always gets the same id."""
+    seed = digest_text(*parts)
     return F.concat(F.lit("fb-"), F.substring(F.sha2(seed, 256), 1, 16))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopwright.functions.fingerprint import dataset_fingerprint
+from loopwright.functions.metrics import judge_score
 from loopwright.functions.text import value_text
 from loopwright.session import broadcast_if_small
 
@@ -116,7 +117,7 @@ def evaluation_table(results: DataFrame, metric_name: str | None = None) -> Data
         return value_text(results, name) if name in present else F.lit("")
 
     score = (
-        F.coalesce(F.col("score").try_cast("double"), F.lit(0.0))
+        judge_score(F.col("score"))
         if "score" in present
         else F.lit(0.0)
     )

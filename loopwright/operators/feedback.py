@@ -5,11 +5,17 @@ from __future__ import annotations
 import operator
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopwright.functions.jsonmap import parse_map, training_fields, unwrap_json
-from loopwright.functions.text import feedback_id, iso_text, millis_to_timestamp, utc
+from loopwright.functions.text import (
+    digest_text,
+    feedback_id,
+    iso_text,
+    millis_to_timestamp,
+    utc,
+)
 from loopwright.operators.contracts import rating_is_valid
 
 # Assessment names, the bypass prefix and the stand-in for no user.
@@ -19,9 +25,8 @@ COMMENT_NAME = "user_comment"
 DEGRADED_PREFIX = "degraded-"
 ANONYMOUS = "anonymous"
 
-HISTORY_LIMIT = 100
-EXPORT_LIMIT = 1000
-EXPORT_MAX = 10000
+# What tells one feedback event from another.
+EVENT_PARTS = ("trace_id", "ts_ms", "user_id", "rating", "corrected_output", "comment")
 
 
 def rating_text(rating: Column, dtype: str) -> Column:
@@ -37,7 +42,7 @@ def rating_text(rating: Column, dtype: str) -> Column:
 
 def with_feedback_id(feedback: DataFrame) -> DataFrame:
     """Fill missing feedback ids from the event itself, so that retries are equal."""
-    made = feedback_id(F.col("trace_id"), F.col("ts_ms"), F.col("user_id"))
+    made = feedback_id(*[F.col(c) for c in EVENT_PARTS if c in feedback.columns])
     if "feedback_id" in feedback.columns:
         made = F.coalesce(F.col("feedback_id"), made)
     return feedback.withColumn("feedback_id", made)
@@ -64,8 +69,16 @@ def valid_feedback(feedback: DataFrame) -> DataFrame:
 
 
 def ingest_feedback(feedback: DataFrame, traces: DataFrame) -> DataFrame:
-    """Checked feedback, one row per feedback id, ready to append."""
-    return accept_feedback(valid_feedback(feedback), traces).dropDuplicates(["feedback_id"])
+    """Checked feedback, one row per feedback id, ready to append.
+
+    Of events that were given the same id the first stays; of several at one time, the one
+    whose content comes first.
+    """
+    accepted = accept_feedback(valid_feedback(feedback), traces)
+    content = [F.col(c) for c in EVENT_PARTS if c in accepted.columns]
+    order = Window.partitionBy("feedback_id").orderBy("ts_ms", digest_text(*content))
+    first = accepted.withColumn("_place", F.row_number().over(order))
+    return first.filter("_place = 1").drop("_place")
 
 
 def assessments(feedback: DataFrame) -> DataFrame:
@@ -168,20 +181,22 @@ def rated_traces(
     model_name: str | None = None,
     start: datetime | None = None,
     end: datetime | None = None,
-    limit: int | None = EXPORT_LIMIT,
+    limit: int | None = None,
     keep: str = "first",
 ) -> DataFrame:
     """Traces of one rating, optionally of one model and time range, newest first.
 
-    The trace filters reach the scan.  ``limit=None`` keeps every row, which is
-    what a table export wants.
+    The trace filters reach the scan.  Every row is kept unless the caller sets a ``limit``.
     """
-    if limit is not None and not 0 < limit <= EXPORT_MAX:
-        raise ValueError(f"limit must be between 1 and {EXPORT_MAX}, or None")
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive, or None for all rows")
     wanted = traces
     if model_name:
         wanted = wanted.filter(F.col("model_name") == model_name)
     wanted = in_time_range(wanted, start, end)
+    if model_name or start or end:
+        # Only the feedback of the wanted traces is aggregated.
+        feedback = feedback.join(wanted.select("trace_id"), "trace_id", "left_semi")
     rated = first_values(feedback, keep).filter(
         F.col(RATING_NAME) == ("true" if rating == "thumbs_up" else "false")
     )
@@ -227,12 +242,13 @@ def training_records(rows: DataFrame, use_corrected: bool = True) -> DataFrame:
 
 
 def feedback_history(
-    feedback: DataFrame, trace_id: str | None = None, limit: int = HISTORY_LIMIT
+    feedback: DataFrame, trace_id: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Latest feedback first, of one trace or of all."""
+    """Latest feedback first, of one trace or of all; all of it unless the caller sets a limit."""
     if trace_id:
         feedback = feedback.filter(F.col("trace_id") == trace_id)
-    return feedback.orderBy(F.desc("ts_ms"), F.desc("feedback_id")).limit(limit)
+    ordered = feedback.orderBy(F.desc("ts_ms"), F.desc("feedback_id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def feedback_counts() -> list[Column]:

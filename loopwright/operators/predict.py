@@ -47,12 +47,14 @@ def batch_predict(
     make_predictor: Callable[[], Predictor],
     keep: Sequence[str] = (),
     partitions: int | None = None,
+    batch_rows: int = 64,
 ) -> DataFrame:
     """Call the predictor on every row: inputs, outputs and ``_status``, in that order.
 
     The predictor (and its client) is made once per task, and a row that fails
     gets empty outputs and its error as status.  ``keep`` columns come first.
-    ``partitions`` sets how many calls run at once.
+    ``partitions`` sets how many calls run at once, ``batch_rows`` how many rows a predictor
+    with a ``batch`` method gets in one call.
     """
     check_header_subset(df.columns, spec.inputs).require()
     rows = program_inputs(df, spec, keep)
@@ -89,7 +91,10 @@ def batch_predict(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor = make_predictor()
         for batch in batches:
-            answers = answer_all(predictor, batch[list(spec.inputs)].to_dict("records"))
+            asked = batch[list(spec.inputs)].to_dict("records")
+            answers = []
+            for at in range(0, len(asked), batch_rows):
+                answers += answer_all(predictor, asked[at : at + batch_rows])
             for position, name in enumerate([*outputs, STATUS]):
                 batch[name] = pd.Series(
                     [a[position] for a in answers], index=batch.index, dtype="object"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopwright.functions.text import (
@@ -33,8 +33,10 @@ def latest_versions(versions: DataFrame, *by: str) -> DataFrame:
     """The row with the highest numeric version per model (and per ``by``)."""
     groups = ["model_name", *by]
     rest = [c for c in versions.columns if c not in groups]
-    newest = F.max_by(F.struct(*rest), version_number())
-    return versions.groupBy(*groups).agg(newest.alias("_latest")).select(*groups, "_latest.*")
+    # A rank of one is pruned to a row per model and task before the shuffle.
+    order = Window.partitionBy(*groups).orderBy(version_number().desc_nulls_last())
+    newest = versions.withColumn("_place", F.row_number().over(order)).filter("_place = 1")
+    return newest.select(*groups, *rest)
 
 
 def with_run_score(versions: DataFrame, runs: DataFrame) -> DataFrame:

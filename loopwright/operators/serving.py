@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Turns per text segment: bounds what one group gathers, whatever a conversation holds.
+# Turns that a task joins at a time; their texts are joined in a second step.
 SEGMENT_TURNS = 1024
 
 
@@ -31,13 +31,22 @@ def models_by_first_use(requests: DataFrame) -> DataFrame:
 
 
 def conversation_text(messages: DataFrame) -> DataFrame:
-    """Message texts joined by newlines in turn order.
+    """One row a conversation: its message texts joined by newlines in turn order.
 
-    A conversation within ``SEGMENT_TURNS`` turns is one row, segment 0.  A longer one
-    continues in further segments, so no group grows with the data.
+    The turns of a long conversation are first joined in segments, by many tasks; one task then
+    joins the segments' texts.  Messages without text are left out; messages of one turn come
+    in the order of their texts.
     """
-    segment = F.floor(F.col("turn") / SEGMENT_TURNS).cast("long").alias("segment")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return messages.groupBy("conv_id", segment).agg(
-        F.array_join(F.transform(ordered, lambda m: m["text"]), "\n").alias("text")
-    )
+    segment = F.floor(F.col("turn") / SEGMENT_TURNS).alias("segment")
+
+    def joined(order: str) -> Column:
+        ordered = F.array_sort(F.collect_list(F.struct(order, "text")))
+        return F.array_join(F.transform(ordered, lambda m: m["text"]), "\n").alias("text")
+
+    said = messages.filter(F.col("text").isNotNull())
+    parts = said.groupBy("conv_id", segment).agg(joined("turn"))
+    texts = parts.groupBy("conv_id").agg(joined("segment"))
+    if messages.schema["text"].nullable:
+        silent = messages.groupBy("conv_id").agg(F.count("text").alias("n")).filter("n = 0")
+        texts = texts.union(silent.select("conv_id", F.lit("")))
+    return texts

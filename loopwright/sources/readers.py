@@ -22,17 +22,21 @@ PROMPT_TEXTS = ("dspy_module", "llm_model", "teacher_model", "optimizer", "instr
 DEMO_MARKS = ("augmented", "reasoning", "rationale")
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = True
+) -> DataFrame:
     """A CSV dataset, all text.  The file's header must name ``columns``, in order.
 
-    An explicit schema saves the inference pass, and text keeps values as written.
+    An explicit schema saves the inference pass, and text keeps values as written.  With
+    ``multi_line`` a cell may hold line breaks and each file is one task; set it to False for
+    large files without such cells, which are then read by many tasks.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         # A quoted empty cell is an empty text; only a bare one is NULL.
         .option("nullValue", "\u0000")
@@ -123,6 +127,20 @@ def read_programs(spark: SparkSession, path: str, whole_files: bool = True) -> D
     )
 
 
+# Folder names cannot be empty: a mark stands before the names that need it.
+FOLDER_MARK = "~"
+
+
+def folder_of_model(name: Column) -> Column:
+    marked = (name == "") | F.startswith(name, F.lit(FOLDER_MARK))
+    return F.when(marked, F.concat(F.lit(FOLDER_MARK), name)).otherwise(name)
+
+
+def model_of_folder(folder: Column) -> Column:
+    marked = F.startswith(folder, F.lit(FOLDER_MARK))
+    return F.when(marked, F.substring(folder, 2, 1 << 30)).otherwise(folder)
+
+
 def read_traces(
     spark: SparkSession,
     path: str,
@@ -134,8 +152,13 @@ def read_traces(
 
     Whole days are read; ``rated_traces`` cuts to the moment.
     """
-    traces = spark.read.parquet(path)
-    if model_name:
+    # The folder names are read as they are: no guess turns model 007 into a number.
+    stored = spark.read.parquet(path).schema
+    kinds = {"model_name": T.StringType(), "date": T.DateType()}
+    schema = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in stored])
+    traces = spark.read.schema(schema).parquet(path)
+    traces = traces.withColumn("model_name", model_of_folder(F.col("model_name")))
+    if model_name is not None:
         traces = traces.filter(F.col("model_name") == model_name)
     if start:
         traces = traces.filter(F.col("date") >= F.lit(utc(start).date()))

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loopwright.session import checkpoint
+from loopwright.sources.readers import folder_of_model
+
+
+# A table of more columns is refused, never cut.
+MAX_COLUMNS = 10_000
 
 
 def write_csv(df: DataFrame, path: str, max_records: int = 0) -> None:
@@ -27,13 +32,13 @@ def record_fields(records: DataFrame, column: str = "record") -> list[str]:
     """The distinct field names over all records: content sorted first, then bookkeeping.
 
     Only the distinct names, found by partial aggregation, come to the driver; there are
-    as many as the export has columns.  Pass the declared names to ``records_wide``
-    where they are known, and this pass is not needed.
+    as many as the export has columns, and more than ``MAX_COLUMNS`` are refused.  Pass the
+    declared names to ``records_wide`` where they are known, and this pass is not needed.
     """
-    names = [
-        row["name"]
-        for row in records.select(F.explode(F.map_keys(column)).alias("name")).distinct().collect()
-    ]
+    distinct = records.select(F.explode(F.map_keys(column)).alias("name")).distinct()
+    names = [row["name"] for row in distinct.limit(MAX_COLUMNS + 1).collect()]
+    if len(names) > MAX_COLUMNS:
+        raise ValueError(f"the records have over {MAX_COLUMNS} field names; name those to export")
     return sorted(n for n in names if not n.startswith("_")) + sorted(
         n for n in names if n.startswith("_")
     )
@@ -59,23 +64,27 @@ def export_records(
     """Write training records as CSV or JSON lines, in files of at most ``chunk_rows``.
 
     The returned observation holds ``total_records``, counted by the write itself.  Without
-    ``fields`` the records are stored once, so that finding their names and writing them do
-    not both run the plan behind them.
+    ``fields`` a CSV export stores the records once, so that finding their names and writing
+    them do not both run the plan behind them.  JSON lines need no common columns: each record is
+    written as it is, its fields sorted, in one pass.
     """
-    if fields is None:
-        records = checkpoint(records)
+    if form not in ("csv", "json"):
+        raise ValueError(f"unknown export format: {form}")
     counted = Observation()
-    wide = records_wide(records, fields).observe(
-        counted, F.count(F.lit(1)).alias("total_records")
-    )
-    if form == "csv":
-        write_csv(wide, path, chunk_rows)
-    elif form == "json":
-        wide.write.mode("errorifexists").option("ignoreNullFields", True).option(
+    total = F.count(F.lit(1)).alias("total_records")
+    if form == "json":
+        given = F.map_filter("record", lambda _, v: v.isNotNull())
+        if fields is not None:
+            given = F.map_filter(given, lambda k, _: k.isin(*fields))
+        line = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(given))))
+        lines = records.select(F.coalesce(line, F.lit("{}")).alias("value"))
+        lines.observe(counted, total).write.mode("errorifexists").option(
             "maxRecordsPerFile", chunk_rows
-        ).json(path)
-    else:
-        raise ValueError(f"unknown export format: {form}")
+        ).text(path)
+        return counted
+    if fields is None:
+        records = checkpoint(records.select("record"))
+    write_csv(records_wide(records, fields).observe(counted, total), path, chunk_rows)
     return counted
 
 
@@ -85,7 +94,9 @@ def write_traces(traces: DataFrame, path: str) -> None:
     The rebalance gathers each folder's rows into few files; AQE splits a busy folder over
     several tasks and puts small ones together.
     """
-    dated = traces.withColumn("date", F.to_date(F.timestamp_millis("timestamp_ms")))
+    dated = traces.withColumn("date", F.to_date(F.timestamp_millis("timestamp_ms"))).withColumn(
+        "model_name", folder_of_model(F.col("model_name"))
+    )
     (
         dated.hint("rebalance", "model_name", "date")
         .write.mode("append")
