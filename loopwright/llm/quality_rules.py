@@ -222,7 +222,9 @@ def fences(sketch: DataFrame, rules: list[Rule], min_group: int = MIN_GROUP) ->
             )
         )
     own, lang, every = limits
-    return own.join(lang, "_lang").join(F.broadcast(every)).select(
+    # All documents are one group: its one row is looked up by a constant.
+    own, every = own.withColumn("_all", F.lit(0)), every.withColumn("_all", F.lit(0))
+    return own.join(lang, "_lang").join(F.broadcast(every), "_all").select(
         "_lang",
         "_source",
         F.when(F.col("total_2") >= min_group, F.col("limits_2"))
