@@ -74,6 +74,35 @@ def alias_actions(t):
     return registry.alias_state(log)
 
 
+@query(
+    "W5_alias_history",
+    uses=["alias_events"],
+    sql="""
+    WITH log AS (
+        SELECT *, CASE event_id % 3 WHEN 0 THEN 'stage' WHEN 1 THEN 'set' ELSE 'delete' END AS action,
+               'pick' || (event_id % 4) AS picked FROM alias_events),
+    named AS (
+        SELECT *, CASE WHEN action <> 'stage' THEN picked WHEN stage = 'Production' THEN 'champion'
+                       WHEN stage = 'Staging' THEN 'challenger' END AS alias FROM log)
+    SELECT model_name, alias, version FROM named s
+    WHERE alias IS NOT NULL AND action <> 'delete'
+      AND NOT EXISTS (SELECT 1 FROM named l WHERE l.model_name = s.model_name
+                      AND l.alias = s.alias AND (l.ts, l.event_id) > (s.ts, s.event_id))
+      AND NOT EXISTS (SELECT 1 FROM log c WHERE c.model_name = s.model_name
+                      AND c.version = s.version AND c.action = 'stage' AND c.stage = 'Archived'
+                      AND (c.ts, c.event_id) > (s.ts, s.event_id))""",
+)
+def alias_history(t):
+    kind = F.col("event_id") % 3
+    log = t.alias_events.withColumns(
+        {
+            "action": F.when(kind == 0, "stage").when(kind == 1, "set").otherwise("delete"),
+            "alias": F.concat(F.lit("pick"), (F.col("event_id") % 4).cast("string")),
+        }
+    )
+    return registry.alias_history(log)
+
+
 @query(
     "W6_first_assessment",
     uses=["feedback"],

@@ -8,6 +8,7 @@ from loopwright.functions.metrics import exact_match
 from loopwright.operators.ordinal import split_train_dev
 from loopwright.plans import compile as compiling
 from loopwright.plans import search
+from loopwright.sources.readers import read_programs, read_prompts
 from loopwright.spec import TaskSpec
 
 FLAGS = TaskSpec(("gold_status",), ("gold_flag",), "Give the flag of the line")
@@ -33,7 +34,9 @@ def lookup(demos, status):
 def lookup_student(rows):
     """Answers as the demos do; without a fitting demo there is no answer."""
     answer = lookup(F.col("demos"), F.col("gold_status"))
-    return rows.withColumn("score", exact_match([F.col("gold_flag")], [answer]))
+    return rows.withColumns(
+        {"pred_gold_flag": answer, "score": exact_match([F.col("gold_flag")], [answer])}
+    )
 
 
 def instruction_student(rows):
@@ -253,7 +256,11 @@ def digest_teacher(rows):
     FROM final, ({fingerprint_sql('predictions', ['gold_status', 'gold_flag'])})""",
 )
 def compiled(t):
-    done = compiling.compile_program(
+    return compiled_flags(t).summary
+
+
+def compiled_flags(t):
+    return compiling.compile_program(
         t.predictions,
         FLAGS,
         "example_id",
@@ -261,5 +268,74 @@ def compiled(t):
         digest_teacher,
         lookup_student,
         run_id="k5",
+        model="gpt-4o-mini",
+    )
+
+
+MADE = f"""
+    WITH {SPLIT},
+    made AS (
+        SELECT gold_status, gold_flag, row_number() OVER (ORDER BY example_id) AS position
+        FROM placed WHERE train AND left(sha256(example_id), 1) < '8'
+        ORDER BY example_id LIMIT 4),
+    answers AS (SELECT gold_status, arg_min(gold_flag, position) AS answer FROM made
+                GROUP BY gold_status)"""
+
+
+@query(
+    "K5_program_reload",
+    uses=["predictions"],
+    sql=MADE + """
+    SELECT CAST(position AS INTEGER) AS position, gold_status, gold_flag, true AS augmented
+    FROM made""",
+)
+def program_reload(t):
+    read = read_programs(t.spark, f"{compiled_flags(t).path}/program")
+    demos = read.select(F.posexplode("demos").alias("place", "demo"))
+    return demos.select(
+        (F.col("place") + 1).alias("position"),
+        F.col("demo.fields")["gold_status"].alias("gold_status"),
+        F.col("demo.fields")["gold_flag"].alias("gold_flag"),
+        "demo.augmented",
+    )
+
+
+@query(
+    "K5_metadata",
+    uses=["predictions"],
+    sql=MADE + """
+    SELECT 'gold_status' AS inputs, 'gold_flag' AS outputs, 'Predict' AS dspy_module,
+           'gpt-4o-mini' AS llm_model, 'BootstrapFewShot' AS optimizer,
+           'gold_status -> gold_flag' AS signature, 'k5' AS run_id,
+           'GoldStatus:GoldFlag-Gpt4oMini_Predict_Bootstrapfewshot-19700101' AS human_readable_id,
+           round(100 * avg(CASE WHEN a.answer = p.gold_flag THEN 1 ELSE 0 END), 2) AS score
+    FROM placed p LEFT JOIN answers a ON a.gold_status = p.gold_status WHERE NOT train""",
+)
+def program_metadata(t):
+    read = read_prompts(t.spark, f"{compiled_flags(t).path}/prompt")
+    return read.select(
+        F.array_join("input_fields", ",").alias("inputs"),
+        F.array_join("output_fields", ",").alias("outputs"),
+        "dspy_module",
+        "llm_model",
+        "optimizer",
+        "signature",
+        "run_id",
+        "human_readable_id",
+        F.col("evaluation_score").cast("double").alias("score"),
     )
-    return done.summary
+
+
+@query(
+    "K5_evaluation_rows",
+    uses=["predictions"],
+    sql=MADE + """
+    SELECT example_id, '{"gold_status":"' || p.gold_status || '"}' AS input,
+           '{"gold_flag":"' || p.gold_flag || '"}' AS expected_output,
+           CASE WHEN a.answer IS NULL THEN '{}' ELSE '{"gold_flag":"' || a.answer || '"}' END
+             AS actual_output,
+           CAST(coalesce(a.answer = p.gold_flag, false) AS DOUBLE) AS score, 'unknown' AS metric_name
+    FROM placed p LEFT JOIN answers a ON a.gold_status = p.gold_status WHERE NOT train""",
+)
+def program_evaluation(t):
+    return compiled_flags(t).evaluation

@@ -10,6 +10,24 @@ REASONING_KEYS = ("reasoning", "rationale")
 BOOKKEEPING_KEYS = ("augmented", "reasoning")
 
 
+def program_document(demos: Column, instructions: Column) -> Column:
+    """A program as the JSON text that ``read_programs`` reads: one module with its demos."""
+    none = F.create_map().cast("map<string,string>")
+
+    def shown(demo: Column) -> Column:
+        marks = F.create_map(
+            F.lit("augmented"), demo["augmented"].cast("string"),
+            F.lit(REASONING_KEYS[1]), demo["reasoning"],
+        )
+        both = F.map_concat(F.coalesce(demo["fields"], none), marks)
+        return F.map_filter(both, lambda _, v: v.isNotNull())
+
+    module = F.struct(
+        F.transform(demos, shown).alias("demos"), instructions.alias("signature_instructions")
+    )
+    return F.to_json(F.struct(module.alias("predict")))
+
+
 def demo_stats(programs: DataFrame, demos: str = "demos", key: str = "program_id") -> DataFrame:
     """Counts over each program's demo array, without a shuffle.
 

@@ -197,6 +197,44 @@ def current_aliases(events: DataFrame) -> DataFrame:
     return held.join(cleared, gone, "left_anti").select("model_name", "alias", "version")
 
 
+def alias_history(events: DataFrame) -> DataFrame:
+    """Who holds each alias now, from one log of stage moves, settings and deletions.
+
+    ``action`` is ``stage`` (with ``stage``), ``set`` or ``delete`` (with ``alias``).  Moving a
+    version to a stage sets that stage's alias; taking it out of all stages clears every alias it
+    holds then, also hand-set ones; deleting an alias clears it, whoever holds it.  An alias
+    belongs to its last setting unless a later event clears it.
+    """
+    moved = F.col("action") == "stage"
+    alias = F.when(F.col("action").isin("set", "delete"), F.col("alias"))
+    for stage, name in STAGE_ALIASES.items():
+        alias = F.when(moved & (F.col("stage") == stage), F.lit(name)).otherwise(alias)
+    moment = F.struct("ts", "event_id")
+    named = events.withColumn("alias", alias)
+    # The last event that names an alias decides, map-side pruned: a setting or a deletion.
+    last = (
+        named.filter(F.col("alias").isNotNull())
+        .groupBy("model_name", "alias")
+        .agg(F.max(F.struct("ts", "event_id", "action", "version")).alias("last"))
+        .filter(F.col("last.action") != "delete")
+        .select(
+            "model_name", "alias", "last.version",
+            F.struct("last.ts", "last.event_id").alias("set_at"),
+        )
+    )
+    cleared = (
+        events.filter(moved & F.col("stage").isin(*CLEARING_STAGES))
+        .groupBy("model_name", "version")
+        .agg(F.max(moment).alias("cleared_at"))
+    )
+    gone = (
+        (last["model_name"] == cleared["model_name"])
+        & (last["version"] == cleared["version"])
+        & (cleared["cleared_at"] > last["set_at"])
+    )
+    return last.join(cleared, gone, "left_anti").select("model_name", "alias", "version")
+
+
 def alias_state(events: DataFrame) -> DataFrame:
     """Who holds each alias now, from a log of ``set`` and ``delete`` actions."""
     moment = F.struct("ts", "event_id")

@@ -8,8 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopwright.functions.prompts import DEMO_TYPE
+from loopwright.functions.text import program_id
 from loopwright.operators.contracts import examples
-from loopwright.operators.evaluation import MIN_EXAMPLES, dataset_profile, dataset_score
+from loopwright.operators.demos import program_document
+from loopwright.operators.evaluation import (
+    MIN_EXAMPLES,
+    dataset_profile,
+    dataset_score,
+    evaluation_table,
+)
 from loopwright.operators.ordinal import key_at_rank, split_at
 from loopwright.plans import search
 from loopwright.session import checkpoint, new_shared_path
@@ -31,6 +38,7 @@ class CompiledProgram:
     program: DataFrame
     scores: DataFrame | None
     path: str
+    evaluation: DataFrame | None = None
 
 
 def compile_program(
@@ -45,18 +53,28 @@ def compile_program(
     num_batches: int = search.NUM_BATCHES,
     run_id: str = "run",
     run_date: str = "1970-01-01",
+    model: str = "N/A",
+    teacher_model: str = "N/A",
+    metric_name: str | None = None,
 ) -> CompiledProgram:
     """Split, score the baseline, optimise, score again, and store the results.
 
     ``instructions`` (``candidate_id, instructions``) is needed by the instruction searches.
-    Dataset, program and run summary are written below the shared folder.
+    Below ``path`` of the result, in the shared folder, are then the dataset (``dataset`` as CSV,
+    ``examples`` with the keys), the program (``program``, for ``read_programs``), its prompt
+    document (``prompt``, for ``read_prompts``), the score of each dev example (``evaluation``) and
+    the run summary (``runs``).  The source is read once; all steps run on ``examples``.  A
+    student that returns its outputs as ``pred_<field>`` has them in the evaluation rows.
     """
     if optimizer not in OPTIMIZERS:
         raise ValueError(f"unsupported optimizer: {optimizer}")
     if optimizer in (INSTRUCTIONS, JOINT) and instructions is None:
         raise ValueError(f"{optimizer} needs a table of instructions")
     spark = data.sparkSession
+    path = new_shared_path(spark, "compiled")
     rows = examples(data, spec, keep=[key])
+    rows.write.parquet(f"{path}/examples")
+    rows = spark.read.schema(rows.schema).parquet(f"{path}/examples")
     total, first_dev = key_at_rank(rows, [key], fraction=TRAIN_RATIO)
     if total < MIN_EXAMPLES:
         raise ValueError("at least two examples are required")
@@ -112,13 +130,27 @@ def compile_program(
 
     # Baseline and result are two candidates of one scoring pass.
     both = base.unionByName(program.withColumn("candidate_id", F.lit(1)))
-    final = dataset_score(student(search.fan_out(dev, checkpoint(both), 2)), "candidate_id")
+    scored = student(search.fan_out(dev, checkpoint(both), 2))
+    answered = [f"pred_{name}" for name in spec.outputs if f"pred_{name}" in scored.columns]
+    scored = scored.select("candidate_id", key, *spec.fields, *answered, "score")
+    scored.write.parquet(f"{path}/scored")
+    scored = spark.read.schema(scored.schema).parquet(f"{path}/scored")
+    final = dataset_score(scored, "candidate_id")
+    actual = F.struct(*[F.col(a).alias(a.removeprefix("pred_")) for a in answered])
+    results = scored.filter("candidate_id = 1").select(
+        F.col(key).alias("example_id"),
+        F.to_json(F.struct(*spec.inputs)).alias("input"),
+        F.to_json(F.struct(*spec.outputs)).alias("expected_output"),
+        *([F.to_json(actual).alias("actual_output")] if answered else []),
+        "score",
+    )
+    evaluation = evaluation_table(results, metric_name)
+    append_log(evaluation.withColumn("run_id", F.lit(run_id)), f"{path}/evaluation", run_date)
     profile = dataset_profile(rows.select(*spec.fields)).first()
 
     def of(candidate: int, value: str) -> Column:
         return F.max(F.when(F.col("candidate_id") == candidate, F.col(value)))
 
-    path = new_shared_path(spark, "compiled")
     summary = final.agg(
         F.lit(run_id).alias("run_id"),
         F.lit(optimizer).alias("optimizer"),
@@ -134,6 +166,35 @@ def compile_program(
     )
     summary = checkpoint(summary)
     write_csv(rows.select(*spec.fields), f"{path}/dataset")
-    program.write.json(f"{path}/program")
+    texts = program.select(
+        program_document(F.col("demos"), F.col("instructions")).alias("program"), "instructions"
+    )
+    texts.select("program").coalesce(1).write.text(f"{path}/program")
+    names, outputs = (F.array(*map(F.lit, n)) for n in (spec.inputs, spec.outputs))
+    described = {
+        "input_fields": names,
+        "input_descriptions": F.array(*[F.lit(spec.description_of(n)) for n in spec.inputs]),
+        "output_fields": outputs,
+        "output_descriptions": F.array(*[F.lit(spec.description_of(n)) for n in spec.outputs]),
+        "dspy_module": F.lit(spec.module),
+        "llm_model": F.lit(model),
+        "teacher_model": F.lit(teacher_model),
+        "optimizer": F.lit(optimizer),
+        "instructions": F.col("instructions"),
+        "signature": F.lit(spec.signature),
+        "evaluation_score": F.lit(scored_by["evaluation_score"]),
+        "baseline_score": F.lit(scored_by["baseline_score"]),
+        "optimized_prompt": F.col("program"),
+        "human_readable_id": program_id(
+            names, outputs, F.lit(model), F.lit(spec.module), F.lit(optimizer),
+            F.lit(run_date).cast("date"),
+        ),
+        "mlflow_run_id": F.lit(run_id),
+    }
+    scored_by = summary.first()  # the one summary row
+    document = texts.select(
+        F.to_json(F.struct(*[c.alias(n) for n, c in described.items()])).alias("document")
+    )
+    document.coalesce(1).write.text(f"{path}/prompt")
     append_log(summary, f"{path}/runs", run_date)
-    return CompiledProgram(summary, program, scores, path)
+    return CompiledProgram(summary, program, scores, path, evaluation)
