@@ -170,6 +170,7 @@ def compile_program(
         program_document(F.col("demos"), F.col("instructions")).alias("program"), "instructions"
     )
     texts.select("program").coalesce(1).write.text(f"{path}/program")
+    found = summary.first()  # the one summary row
     names, outputs = (F.array(*map(F.lit, n)) for n in (spec.inputs, spec.outputs))
     described = {
         "input_fields": names,
@@ -182,8 +183,8 @@ def compile_program(
         "optimizer": F.lit(optimizer),
         "instructions": F.col("instructions"),
         "signature": F.lit(spec.signature),
-        "evaluation_score": F.lit(scored_by["evaluation_score"]),
-        "baseline_score": F.lit(scored_by["baseline_score"]),
+        "evaluation_score": F.lit(found["evaluation_score"]),
+        "baseline_score": F.lit(found["baseline_score"]),
         "optimized_prompt": F.col("program"),
         "human_readable_id": program_id(
             names, outputs, F.lit(model), F.lit(spec.module), F.lit(optimizer),
@@ -191,7 +192,6 @@ def compile_program(
         ),
         "mlflow_run_id": F.lit(run_id),
     }
-    scored_by = summary.first()  # the one summary row
     document = texts.select(
         F.to_json(F.struct(*[c.alias(n) for n, c in described.items()])).alias("document")
     )
