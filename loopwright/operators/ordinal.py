@@ -13,7 +13,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from loopwright.session import checkpoint, lookup_side
+from loopwright.session import broadcast_if_small, checkpoint, lookup_side
 
 # A rank is looked up directly among this many keys; more are narrowed down first.
 _GATHER_ROWS = 100_000
@@ -111,7 +111,8 @@ def key_at_rank(
     """Row count, and the key of the row at a 0-based rank (or at ``int(fraction * n)``).
 
     Nothing is shuffled: each round samples pivots, counts the keys between them in one
-    scan of the key columns, and goes on inside the interval that holds the rank.
+    scan of the key columns, and goes on inside the interval that holds the rank, whose keys
+    are written once.
     """
     key, found = _key_struct(keys), df.select(*keys)
     total = inside = found.count()
@@ -139,6 +140,8 @@ def key_at_rank(
         else:
             found, inside = found.filter(key >= high), inside - below - between
             rank -= below + between
+        # What is left is a few percent of the keys: later rounds read it, not the source.
+        found = checkpoint(found)
     raise ValueError(f"the keys {list(keys)} are not unique")
 
 
@@ -207,26 +210,33 @@ def sample_per_seed(df: DataFrame, key: str, seeds: Sequence[str], count: int) -
     """For every seed an own sample of ``count`` rows, with ``seed`` and 1-based ``draw``.
 
     Draws are uniform, so nearly all rows can be ruled out by their draw alone; what is left
-    is ranked.  Should too few rows pass, all are ranked.
+    is ranked.  Should too few rows pass, all are ranked.  Only keys are drawn and ranked; the
+    picked ones (at most ``count`` a seed) then fetch their rows.
     """
     total = df.count()
     wanted = 4 * count + 64
     if total > 4 * wanted:
         limit = f"{int(wanted / total * (1 << 64)):016x}"
-        found = checkpoint(_ranked_draws(df, key, seeds, count, limit))
+        found = checkpoint(_ranked_draws(df.select(key), key, seeds, count, limit))
         if found.count() == count * len(set(seeds)):
-            return found
-    return _ranked_draws(df, key, seeds, count, None)
+            return _picked_rows(df, key, found)
+    return _picked_rows(df, key, checkpoint(_ranked_draws(df.select(key), key, seeds, count, None)))
+
+
+def _picked_rows(df: DataFrame, key: str, picks: DataFrame) -> DataFrame:
+    return df.join(broadcast_if_small(picks), key).select(*df.columns, "seed", "draw")
 
 
 def _ranked_draws(
     df: DataFrame, key: str, seeds: Sequence[str], count: int, limit: str | None
 ) -> DataFrame:
-    drawn = df.withColumn("seed", F.explode(F.lit(list(seeds)))).withColumn(
+    wanted = F.lit(list(seeds))
+    if limit is not None:
+        # Seeds that rule the row out never become rows.
+        wanted = F.filter(wanted, lambda seed: seeded_rank(seed, F.col(key)) < limit)
+    drawn = df.withColumn("seed", F.explode(wanted)).withColumn(
         "_draw", seeded_rank(F.col("seed"), F.col(key))
     )
-    if limit is not None:
-        drawn = drawn.filter(F.col("_draw") < limit)
     order = Window.partitionBy("seed").orderBy("_draw", key)
     return (
         drawn.withColumn("draw", F.row_number().over(order))

@@ -129,7 +129,7 @@ def test_export_range_is_inclusive(given_traces, given_feedback):
     assert ids(end=datetime(2024, 1, 1)) == ["tr-1"]
     assert ids(limit=1) == ["tr-2"]
     with pytest.raises(ValueError):
-        ids(limit=10001)
+        ids(limit=0)
 
 
 def test_trace_folders_are_pruned(spark, given_traces, given_feedback, tmp_path):
@@ -209,3 +209,22 @@ def test_merge_of_nothing(spark):
 def test_default_dedupe_keys():
     assert recycle.dedupe_keys(["original_a", "b", "original_c"]) == ["original_a", "original_c"]
     assert recycle.dedupe_keys(["_source", "a", "b", "c", "d"]) == ["a", "b"]
+
+
+def test_feedback_without_ids_is_never_merged(spark):
+    rows = [
+        ("tr-1", "thumbs_up", None, "a", None, 5), ("tr-1", "thumbs_up", None, "b", None, 5),
+        ("tr-1", "thumbs_down", None, None, "a", 5), ("tr-1", "thumbs_down", None, None, None, 5),
+        ("tr-1", "thumbs_up", None, "a", None, 5),
+    ]
+    names = "trace_id string, rating string, corrected_output string, comment string, user_id string, ts_ms long"
+    traces = spark.createDataFrame([("tr-1",)], "trace_id string")
+    assert feedback.ingest_feedback(spark.createDataFrame(rows, names), traces).count() == 4
+
+
+def test_first_of_one_given_id_stays(spark):
+    rows = [("x", "tr-1", "thumbs_up", "b", 5), ("x", "tr-1", "thumbs_up", "a", 5), ("x", "tr-1", "thumbs_down", "c", 9)]
+    names = "feedback_id string, trace_id string, rating string, comment string, ts_ms long"
+    traces = spark.createDataFrame([("tr-1",)], "trace_id string")
+    (row,) = feedback.ingest_feedback(spark.createDataFrame(rows, names), traces).collect()
+    assert (row["ts_ms"], row["comment"]) == (5, "a")
