@@ -381,14 +381,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     key = fresh(docs, "_text_key")
     groups = stored(find_groups(docs), "groups")
-    names = [F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text")]
+    doc, text = fresh(docs, "_doc"), fresh(docs, "_text")
+    names = [F.col("doc_id").alias(doc), F.col("text_key").alias(text)]
     again = groups.filter("kept and n_shingles > 0").groupBy("doc_id", "text_key").count()
     again = stored(again.filter("count > 1").select(*names), "repeated-rows")
     gone = stored(groups.filter("not kept").select(*names).distinct(), "dropped-rows")
     rows = docs.withColumn(key, F.xxhash64("text"))
 
     def meet(table: DataFrame, how: str) -> DataFrame:
-        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col(key) == F.col("_text"))
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text))
         return kept.join(broadcast_if_small(table), same, how)
 
     kept = rows

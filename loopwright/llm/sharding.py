@@ -135,15 +135,20 @@ def plan_shards(
     by half a row at most at each of its cuts.  Rows that stay fit the capacity wholly.  Slots are
     gapless from 0 in each shard.
 
-    Rows with equal ``order`` values and sizes are interchangeable; an empty table stays empty.
+    Rows with equal ``order`` values and sizes are interchangeable; an empty table stays empty;
+    columns of ``docs`` with the names of the new ones give way to them.
     Pass narrow rows: everything in ``docs`` is shuffled.  No shard is gathered: running sums go
     over blocks of about 20,000 rows, then over the rows of a block.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("shard", "slot", "moved")]
     rows = stored(
-        docs.withColumn("_old", F.coalesce(F.col(old_shard), F.lit(0)).cast("int"))
-        .withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
-        .withColumn("_draw", F.xxhash64(*order)),
+        docs.select(
+            F.struct(*names).alias("_row"),
+            F.coalesce(F.col(old_shard), F.lit(0)).cast("int").alias("_old"),
+            F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"),
+            F.struct(*order).alias("_key"),
+            F.xxhash64(*order).alias("_draw"),
+        ),
         "shard-rows",
     )
     totals = rows.groupBy("_old").agg(F.sum("_size"), F.count("*")).collect()
@@ -175,7 +180,7 @@ def plan_shards(
     starts = rows.groupBy("_old", "_block").agg(F.sum("_size").alias("_sum")).select(
         "_old", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start")
     )
-    inside = Window.partitionBy("_old", "_block").orderBy("_rank", "_draw", *order, "_size")
+    inside = Window.partitionBy("_old", "_block").orderBy("_rank", "_draw", "_key", "_size")
     placed = stored(
         rows.join(starts, ["_old", "_block"]).withColumn(
             "_at",
@@ -207,12 +212,12 @@ def plan_shards(
     firsts = placed.groupBy("_old", "_block", "shard").agg(F.count("*").alias("_n")).select(
         "_old", "_block", "shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")
     )
-    within = Window.partitionBy("_old", "_block", "shard").orderBy("_at", "_draw", *order)
+    within = Window.partitionBy("_old", "_block", "shard").orderBy("_at", "_draw", "_key")
     return (
         placed.join(firsts, ["_old", "_block", "shard"])
         .withColumn("slot", (F.col("_first") + F.row_number().over(within) - 1).cast("long"))
         .withColumn("moved", F.col("_old") != F.col("shard"))
-        .select(*names, "shard", "slot", "moved")
+        .select("_row.*", "shard", "slot", "moved")
     )
 
 

@@ -74,6 +74,17 @@ def test_odd_rows(llm):
     assert shards(llm, []) == []
 
 
+def test_clashing_names(llm):
+    df = llm.createDataFrame(
+        [(i, 0, 5, "old", 7, 8) for i in range(10)],
+        "doc_id long, old_shard int, size long, shard string, _size int, _draw int",
+    )
+    found = plan_shards(df, "old_shard", "size", ["doc_id"], 2)
+    assert found.columns == ["doc_id", "old_shard", "size", "_size", "_draw", "shard", "slot", "moved"]
+    rows = found.collect()
+    assert {r["_size"] for r in rows} == {7} and sorted(r["shard"] for r in rows) == [0] * 5 + [1] * 5
+
+
 def test_only_affected_shards_are_written(llm, tmp_path):
     rows = llm.createDataFrame([(i, f"t{i}") for i in range(6)], "doc_id long, text string")
     plan = llm.createDataFrame(
