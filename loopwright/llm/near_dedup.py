@@ -279,10 +279,9 @@ def open_pairs(
         "open-members",
     )
 
-    def side(rows: DataFrame, key: str, mark: str) -> DataFrame:
-        return rows.select(
-            key, *[F.col(c).alias(f"{c}_{mark}") for c in ("node", "n", "component", "frequent")]
-        )
+    def side(rows: DataFrame, key: str, mark: str, *more: str) -> DataFrame:
+        names = ("node", "n", "component", "frequent", *more)
+        return rows.select(key, *[F.col(c).alias(f"{c}_{mark}") for c in names])
 
     apart = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y"))
     frequent = F.least("frequent_x", "frequent_y")
@@ -290,8 +289,12 @@ def open_pairs(
     # Pairs without a scarce shingle in common share frequent ones at most; they meet in a band.
     able = _in_mixed_buckets(left.filter(100 * F.col("frequent") >= percent * F.col("n")))
     able = stored(able, "able-members")
-    met = side(able, "band", "x").join(side(able, "band", "y"), "band").filter(
-        apart & _possible(frequent, "n_x", "n_y", percent)
+    # A pair is met in the first band it shares only; a class has a row for each of its bands.
+    bands = able.groupBy("node").agg(F.collect_list("band").alias("bands"))
+    able = stored(able.join(bands, "node"), "able-bands")
+    first = F.array_min(F.array_intersect("bands_x", "bands_y"))
+    met = side(able, "band", "x", "bands").join(side(able, "band", "y", "bands"), "band").filter(
+        apart & _possible(frequent, "n_x", "n_y", percent) & (F.col("band") == first)
     )
     # Pairs with scarce shingles in common, however few bands they share.
     nodes = left.select("node", "n", "component", "frequent").distinct()
