@@ -120,3 +120,34 @@ class ChainModel:
                 path.append(int(back[i, t, path[-1]]))
             out.append(path[::-1])
         return out
+
+    def best_paths(self, emissions: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+        """The best labels of sequences (each of one place at least) whose emissions lie end to end.
+
+        All sequences advance together, the longest first, so that those still running are a prefix.
+        """
+        k = len(self.pairs)
+        order = np.argsort(-np.array(sizes), kind="stable")
+        size = np.array(sizes)[order]
+        first = (np.cumsum(sizes) - sizes)[order]
+        running = np.searchsorted(-size, -np.arange(size[0]), side="left")
+        back = np.zeros((len(emissions), k), dtype=np.int8)
+        best = emissions[first] + self.pairs[0]
+        into = np.ascontiguousarray(self.pairs.T)
+        for t in range(1, int(size[0])):
+            n = running[t]
+            scores = best[:n, None, :] + into
+            at = first[:n] + t
+            back[at] = scores.argmax(axis=2)
+            best[:n] = scores.max(axis=2) + emissions[at]
+        label = (best + self.pairs[:, 0]).argmax(axis=1)
+        path = np.zeros(len(emissions), dtype=np.int8)
+        for t in range(int(size[0]) - 1, -1, -1):
+            n = running[t]
+            at = first[:n] + t
+            path[at] = label[:n]
+            label[:n] = back[at, label[:n]]
+        out: list[np.ndarray] = [path[:0]] * len(sizes)
+        for i, a, n in zip(order, first, size):
+            out[i] = path[a : a + n]
+        return out

@@ -2,8 +2,8 @@
 
 The patterns find e-mail and IP addresses, card and phone numbers.  The field labels words from
 their shapes and neighbours; it adds spans such as spelled-out addresses and national phone
-numbers.  Its chains are the words within two of a word with a digit or an ``@``; all other words
-are outside by definition, so chains may be decoded apart and the result is that of whole texts.
+numbers.  It decodes whole texts, every word of them; what a word and its neighbours add to the labels
+is looked up once for each different word.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import fresh, in_batches
+from loopwright.llm.common import fresh, in_batches, worker_state
 from loopwright.llm.crf import ChainModel
 
 KINDS = ("email", "ip", "card", "phone")
@@ -169,7 +170,16 @@ def parse_labelled(line: str) -> tuple[str, list[Span]]:
     return text + line[at:], spans
 
 
+_ASCII_SHAPE = {
+    c: "9" if chr(c).isdigit() else "a" if chr(c).islower() else "A"
+    for c in range(128)
+    if chr(c).isalnum()
+}
+
+
 def _shape(word: str) -> str:
+    if word.isascii():
+        return word[:60].translate(_ASCII_SHAPE)
     return "".join(
         "9" if c.isdigit() else "a" if c.islower() else "A" if c.isalpha() else c
         for c in word[:60]
@@ -185,24 +195,27 @@ def _describe(word: str) -> tuple[list[str], str]:
     core = word.strip(_EDGES)
     shape = _shape(core)
     squeezed = _squeezed(shape)
+    opening = f"open={word[:1] if not word[:1].isalnum() else ''}"
+    if core.isalpha():
+        # The same features as below, for most words.
+        low = core.lower()
+        own = [f"q={squeezed}", "n=0", "dots=0", "at=False", "runs=", opening, f"w={low[:12]}"]
+        return own, low
     digits = "".join(c for c in core if c in "0123456789")
-    near = core.lower() if core.isalpha() else squeezed
     own = [
         f"q={squeezed}",
         f"n={min(len(digits), 20)}",
         f"dots={min(core.count('.'), 5)}",
         f"at={'@' in core}",
         f"runs={'-'.join(str(len(r)) for r in re.findall('9+', shape))}",
-        f"open={word[:1] if not word[:1].isalnum() else ''}",
+        opening,
     ]
-    if core.isalpha():
-        own.append(f"w={core.lower()[:12]}")
     if 13 <= len(digits) <= 19:
         own.append(f"luhn={luhn(digits)}")
     parts = core.split(".")
     if len(parts) == 4 and all(p.isdigit() and p.isascii() for p in parts):
         own.append(f"bytes={all(len(p) < 4 and int(p) <= 255 for p in parts)}")
-    return own, near
+    return own, squeezed
 
 
 def word_features(words: list[str]) -> list[list[int]]:
@@ -219,8 +232,98 @@ def word_features(words: list[str]) -> list[list[int]]:
     return out
 
 
+class Field:
+    """The model over whole texts: what words add to the labels is kept, up to so many words."""
+
+    KEPT = 150_000
+    # Words that are decoded together (but one text at least).
+    TOGETHER = 1 << 16
+
+    def __init__(self, model: ChainModel):
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        # Per word what its own features add, and the number of what neighbours see of it.
+        self.own = np.zeros((0, self.model.weights.shape[1]))
+        self.near_of = np.zeros(0, dtype=np.int64)
+        # Per sight its features at -2, -1, 1 and 2, and its two parts of the hash of both neighbours.
+        self.nears: dict[str, int] = {}
+        self.near_at = np.zeros((0, 4), dtype=np.int64)
+        self.heads: list[int] = []
+        self.tails: list[bytes] = []
+        self._learn([], ["^", "$"])
+
+    def _learn(self, words: list[str], nears: list[str] = ()) -> None:
+        described = [_describe(w) for w in words]
+        old = len(self.nears)
+        for near in [*nears, *(n for _, n in described)]:
+            self.nears.setdefault(near, len(self.nears))
+        new = list(self.nears)[old:]
+        at = [[zlib.crc32(f"{j}:{n}".encode()) for j in (-2, -1, 1, 2)] for n in new]
+        at = 1 + np.array(at, dtype=np.int64).reshape(-1, 4) % (DIMENSIONS - 1)
+        self.near_at = np.concatenate([self.near_at, at])
+        self.heads += [zlib.crc32(f"<>{n}|".encode()) for n in new]
+        self.tails += [n.encode() for n in new]
+        if words:
+            flat = [zlib.crc32(f.encode()) for own, _ in described for f in ("bias", *own)]
+            first = np.cumsum([0, *(1 + len(own) for own, _ in described)])[:-1]
+            weights = self.model.weights[1 + np.array(flat) % (DIMENSIONS - 1)]
+            self.own = np.concatenate([self.own, np.add.reduceat(weights, first, axis=0)])
+            near = np.array([self.nears[n] for _, n in described], dtype=np.int64)
+            self.near_of = np.concatenate([self.near_of, near])
+            known = len(self.words)
+            self.words.update((w, known + i) for i, w in enumerate(words))
+
+    def emissions(self, texts: list[list[str]]) -> np.ndarray:
+        """What each word's features add to each label, all words of the texts end to end."""
+        if len(self.words) > self.KEPT:
+            self._forget()
+        self._learn(list(dict.fromkeys(w for t in texts for w in t if w not in self.words)))
+        ids = np.array([self.words[w] for t in texts for w in t], dtype=np.int64)
+        sizes = np.array([len(t) for t in texts])
+        # Two marks before (number 0) and after (number 1) each text.
+        at = np.arange(len(ids)) + 4 * np.repeat(np.arange(len(texts)), sizes) + 2
+        around = np.zeros(len(ids) + 4 * len(texts), dtype=np.int64)
+        ends = np.cumsum(sizes + 4)
+        around[ends - 1] = around[ends - 2] = 1
+        around[at] = self.near_of[ids]
+        weights, out = self.model.weights, self.own[ids]
+        for column, j in enumerate((-2, -1, 1, 2)):
+            out += weights[self.near_at[around[at + j], column]]
+        first, second = around[at - 1].tolist(), around[at + 1].tolist()
+        heads, tails, crc = self.heads, self.tails, zlib.crc32
+        both = np.array([crc(tails[b], heads[a]) for a, b in zip(first, second)], dtype=np.int64)
+        return out + weights[1 + both % (DIMENSIONS - 1)]
+
+    def labels(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
+        """The best labels of the words of each text."""
+        part, held = [], 0
+        for words in texts:
+            if part and held + len(words) > self.TOGETHER:
+                yield from self._labels(part)
+                part, held = [], 0
+            part.append(words)
+            held += len(words)
+        if part:
+            yield from self._labels(part)
+
+    def _labels(self, texts: list[list[str]]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(texts)
+        some = [i for i, t in enumerate(texts) if t]
+        if some:
+            emit = self.emissions([texts[i] for i in some])
+            for i, path in zip(some, self.model.best_paths(emit, [len(texts[i]) for i in some])):
+                out[i] = path
+        return out
+
+
 def chains(text: str) -> list[list[tuple[int, int]]]:
-    """The words (start, end) of every stretch within two words of a digit or an ``@``."""
+    """The words (start, end) of every stretch within two words of a digit or an ``@``.
+
+    The field decodes whole texts and does not use these.
+    """
     stretches: list[list[int]] = []
     done = 0
     for m in _TRIGGER.finditer(text):
@@ -329,15 +432,17 @@ def _read(labels: list[int], words: list[tuple[int, int]], text: str) -> list[Sp
 def spans_of(texts: list[str | None], model: ChainModel) -> list[tuple[list[Span], list[Span]]]:
     """For each text its pattern spans and all spans, the field's added where none overlap."""
     base = [base_spans(t) if t else [] for t in texts]
-    owners, words, sequences = [], [], []
-    for i, text in enumerate(texts):
-        for chain in chains(text) if text else []:
-            owners.append(i)
-            words.append(chain)
-            sequences.append(word_features([text[a:b] for a, b in chain]))
-    added: list[list[Span]] = [[] for _ in texts]
-    for i, chain, labels in zip(owners, words, model.decode(sequences)):
-        added[i] += _read(labels, chain, texts[i])
+    words = [[m.span() for m in _WORD.finditer(t or "")] for t in texts]
+    field = worker_state("personal data field", lambda: Field(model))
+    if field.model is not model and not (
+        np.array_equal(field.model.weights, model.weights)
+        and np.array_equal(field.model.pairs, model.pairs)
+    ):
+        field = Field(model)
+    shown = [[t[a:b] for a, b in w] for t, w in zip(texts, words)]
+    added: list[list[Span]] = []
+    for text, where, labels in zip(texts, words, field.labels(shown)):
+        added.append(_read(labels.tolist(), where, text) if labels.any() else [])
     out = []
     for own, more in zip(base, added):
         whole = list(own)

@@ -10,6 +10,7 @@ from loopwright.llm.crf import ChainModel
 from loopwright.llm.pii import (
     KINDS,
     LABELLED,
+    Field,
     base_spans,
     chains,
     find_personal_data,
@@ -103,6 +104,29 @@ def test_labelled_table_is_learnt(field):
     assert right >= len(LABELLED) - 3
 
 
+def test_every_labelled_span_is_found(field):
+    for line in LABELLED:
+        text, spans = parse_labelled(line)
+        base, found = spans_of([text], field)[0]
+        for span in spans:
+            assert span in found or any(a < span[2] and b > span[1] for _, a, b in base), line
+        assert spans or found == base, line
+
+
+def test_whole_texts_are_decoded(field):
+    """Every word of a text, also far from digits, and with its true neighbours."""
+    far = "some words before it, " * 5 + "contact jon (at) example (dot) com before monday"
+    start = far.index("jon")
+    assert spans_of([far], field)[0][1] == [(0, start, start + len("jon (at) example (dot) com"))]
+    draw = random.Random(9)
+    pool = [w for line in LABELLED for w in parse_labelled(line)[0].split()] + ["été", "Ω7", "x²"]
+    texts = [draw.choices(pool, k=draw.randint(0, 60)) for _ in range(300)]
+    keeper = Field(field)
+    keeper.KEPT, keeper.TOGETHER = 150, 700
+    labels = [path.tolist() for path in keeper.labels(texts)]
+    assert labels == field.decode([word_features(t) for t in texts])
+
+
 def test_unseen_forms_and_clean_text(field):
     found = spans_of(["please mail tom7 (at) host9.example.net or call (415) 555-2671 now"], field)[0][1]
     assert {KINDS[k] for k, *_ in found} == {"email", "phone"}
