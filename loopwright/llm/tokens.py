@@ -45,7 +45,8 @@ class WordTokenizer:
     The text is cut at white space and each chunk's ids are looked up.  Unknown Latin-1 chunks
     are cut into words, numbers and marks, which are looked up or go to the tokenizer's model;
     other chunks go to the tokenizer as they are.  Texts with control characters that Python,
-    but not the tokenizer, takes for white space are encoded whole.
+    but not the tokenizer, takes for white space are encoded whole, and so are texts that hold one of
+    the tokenizer's added tokens.
     """
 
     # Characters that str.split takes for white space and the tokenizer does not.
@@ -56,6 +57,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = [*self.ODD_SPACE, *(t.content for t in added)]
         self.known: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.marks = _byte_marks()
@@ -83,7 +86,7 @@ class WordTokenizer:
         known, out = self.known, []
         for text in texts:
             text = text or ""
-            if any(c in text for c in self.ODD_SPACE):
+            if any(c in text for c in self.whole):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 out.append(np.array(ids, dtype="<u4"))
                 continue

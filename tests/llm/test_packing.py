@@ -26,6 +26,13 @@ def test_cached_ids_are_the_tokenizers(words):
         assert words.tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
+def test_added_tokens_are_the_tokenizers(words):
+    texts = ["cat <|endoftext|> dog", "a<|startoftext|>b c", "<|ENDOFTEXT|> x", "<| endoftext |> y", "z"]
+    for text, ids in zip(texts, words.encode(texts)):
+        assert words.tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist()
+    assert words.encode(["cat <|endoftext|> dog"])[0].tolist() == [2368, 49407, 1929]
+
+
 def test_pieces_go_to_the_cheapest_sequence_with_room():
     placed = assign([5, 4, 3], [6, 6])
     assert placed == [(0, 0, 5, 0, 0), (1, 0, 4, 1, 0), (2, 0, 2, 1, 4), (2, 2, 1, 0, 5)]
