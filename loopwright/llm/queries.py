@@ -207,3 +207,10 @@ def masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loopwright.llm.lm_scoring import train_and_score
 
     return train_and_score(table(spark, sf_dir, "documents"))
+
+
+@query("op11_diagonal_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopwright.llm.token_alignment import align_tokenizers
+
+    return align_tokenizers(table(spark, sf_dir, "documents"))

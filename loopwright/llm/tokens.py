@@ -22,14 +22,16 @@ _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PARTS = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
 
 
+def byte_values() -> dict[str, int]:
+    """The printable marks of byte-level vocabularies, and the byte that each stands for."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
+
+
 def _byte_marks() -> dict[int, str]:
     """Latin-1 characters as the printable marks that stand for their UTF-8 bytes."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    marks, extra = {b: chr(b) for b in shown}, 0
-    for byte in range(256):
-        if byte not in marks:
-            marks[byte] = chr(256 + extra)
-            extra += 1
+    marks = {byte: mark for mark, byte in byte_values().items()}
     return {c: "".join(marks[b] for b in chr(c).encode()) for c in range(256)}
 
 
