@@ -248,3 +248,10 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
     return mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op13_containment_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loopwright.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("found")
