@@ -6,6 +6,7 @@ from loopwright.checked import (  # noqa: F401
     inference,
     joins,
     ordering,
+    predictor_flow,
     projections,
     registry_flow,
     scans,

@@ -72,12 +72,18 @@ SPLIT = """
         FROM predictions)"""
 
 
-def demo_sets(count: int, bootstrapped: int, labeled: int) -> str:
+def demo_sets(
+    count: int,
+    bootstrapped: int,
+    labeled: int,
+    passed: str = "pred_flag = gold_flag",
+    inputs: str = "gold_status",
+) -> str:
     """Demo sets of candidates 1 to ``count - 1`` as SQL views."""
     seeds = ", ".join(f"('{i}')" for i in range(1, count))
     return f"""
     draws AS (
-        SELECT s.seed, p.example_id, gold_status, gold_flag, pred_flag = gold_flag AS passed,
+        SELECT s.seed, p.example_id, {inputs}, gold_flag, {passed} AS passed,
                sha256(s.seed || '-' || p.example_id) AS draw
         FROM placed p, (VALUES {seeds}) s(seed) WHERE train),
     made AS (
@@ -93,12 +99,12 @@ def demo_sets(count: int, bootstrapped: int, labeled: int) -> str:
         SELECT *, row_number() OVER (PARTITION BY seed ORDER BY kind, place) AS position
         FROM (SELECT * FROM made UNION ALL SELECT * FROM labelled)),
     demo_rows AS (
-        SELECT CAST(seed AS INTEGER) AS candidate_id, position, example_id, gold_status, gold_flag,
+        SELECT CAST(seed AS INTEGER) AS candidate_id, position, example_id, {inputs}, gold_flag,
                kind = 0 AS augmented
         FROM picks WHERE kind = 0 OR position <= {labeled}),
     answers AS (
-        SELECT candidate_id, gold_status, arg_min(gold_flag, position) AS answer
-        FROM demo_rows GROUP BY candidate_id, gold_status)"""
+        SELECT candidate_id, {inputs}, arg_min(gold_flag, position) AS answer
+        FROM demo_rows GROUP BY candidate_id, {inputs})"""
 
 
 MARKED = """

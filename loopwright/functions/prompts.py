@@ -67,12 +67,24 @@ def row_block(spec: TaskSpec, inputs: Mapping[str, Column]) -> Column:
     return F.concat_ws("\n\n", *lines)
 
 
-def render_prompt(spec: TaskSpec, demos: Column, inputs: Mapping[str, Column]) -> Column:
-    """The full prompt of one row; ``demos`` is an array of ``DEMO_TYPE`` structs."""
+def no_demos() -> Column:
+    return F.array().cast(f"array<{DEMO_TYPE}>")
+
+
+def render_prompt(
+    spec: TaskSpec,
+    demos: Column,
+    inputs: Mapping[str, Column],
+    instructions: Column | None = None,
+) -> Column:
+    """The full prompt of one row; ``demos`` is an array of ``DEMO_TYPE`` structs.
+
+    ``instructions`` stand in for those of the task.
+    """
     shown = F.array_join(F.transform(demos, lambda d: demo_block(spec, d)), SECTION_BREAK)
     return F.concat_ws(
         SECTION_BREAK,
-        F.lit(spec.instructions),
+        F.lit(spec.instructions) if instructions is None else instructions,
         F.lit(format_block(spec)),
         F.when(F.length(shown) > 0, shown),
         row_block(spec, inputs),
