@@ -169,15 +169,18 @@ class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
         self.a, self.b = ByteTokens(byte_path), PieceTokens(piece_path)
         self.lengths = [np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (self.a, self.b)]
-        self.decimals = [str(i) for i in range(max(self.a.size, self.b.size))]
+        # Decimals of ids, and what follows them: inside a group, after A's part, after B's part.
+        ids = range(max(self.a.size, self.b.size))
+        self.inside, self.after_a, self.after_b = ([f"{i}{mark}" for i in ids] for mark in ",|;")
 
     def tokens(self, texts: Sequence[str | None]) -> Iterator[tuple[list[int], list[int]]]:
         """Both id lists of each text; none where a stream does not spell space and text."""
         given = [t or "" for t in texts]
         for text, a, b in zip(given, self.a.encode(given), self.b.encode(given)):
             whole = b" " + text.encode()
-            spelt = all(
-                b"".join(map(t.bytes.__getitem__, ids)) == whole for t, ids in ((self.a, a), (self.b, b))
+            spelt = (
+                self.a.encoding.decode_bytes(a) == whole
+                and b"".join([self.b.bytes[i] for i in b]) == whole
             )
             yield (a, b) if text and spelt else ([], [])
 
@@ -188,22 +191,25 @@ class Aligner:
 
     def spelled(self, found: Alignment, a: list[int], b: list[int]) -> str:
         """``a1,a2|b1;a3|b2,b3``: the ids of all groups, in order."""
-        text_a = list(map(self.decimals.__getitem__, a))
-        text_b = list(map(self.decimals.__getitem__, b))
-        parts, odd = [], iter(found.odd)
-        runs = iter(found.runs)
-        run, group = next(runs, None), next(odd, None)
-        while run or group:
-            if group is None or run and run[0] < group[0]:
-                i, j, n = run
-                alone = zip(text_a[i : i + n], text_b[j : j + n])
-                parts.append(";".join([x + "|" + y for x, y in alone]))
-                run = next(runs, None)
-            else:
-                i, i_end, j, j_end = group
-                parts.append(",".join(text_a[i:i_end]) + "|" + ",".join(text_b[j:j_end]))
-                group = next(odd, None)
-        return ";".join(parts)
+        end_a = list(map(self.after_a.__getitem__, a))
+        end_b = list(map(self.after_b.__getitem__, b))
+        inside, parts = self.inside, []
+        odd, at = found.odd, 0
+        # Irregular groups come between stretches, so both lists are walked in order.
+        for i, j, n in [*found.runs, (len(a), len(b), 0)]:
+            while at < len(odd) and odd[at][0] < i:
+                i0, i1, j0, j1 = odd[at]
+                at += 1
+                if i1 - i0 > 1:
+                    parts += [inside[x] for x in a[i0 : i1 - 1]]
+                parts.append(end_a[i1 - 1])
+                if j1 - j0 > 1:
+                    parts += [inside[x] for x in b[j0 : j1 - 1]]
+                parts.append(end_b[j1 - 1])
+            alone = [""] * (2 * n)
+            alone[::2], alone[1::2] = end_a[i : i + n], end_b[j : j + n]
+            parts += alone
+        return "".join(parts)[:-1]
 
 
 def aligner(byte_path: str, piece_path: str) -> Aligner:
