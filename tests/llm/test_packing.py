@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from loopwright.llm.packing import assign, capacities_of, cost, pack_documents
 from loopwright.llm.tokens import WordTokenizer, vocabulary_path
@@ -33,6 +35,46 @@ def test_added_tokens_are_the_tokenizers(words):
     assert words.encode(["cat <|endoftext|> dog"])[0].tolist() == [2368, 49407, 1929]
 
 
+def test_every_ascii_and_latin_character_keeps_its_ids(words):
+    texts = [f"x {chr(c)} y{chr(c)}z {chr(c)}{chr(c)}'s" for c in range(256)]
+    texts += ["".join(map(chr, range(256))), "".join(map(chr, range(256))) * 3]
+    for text, ids in zip(texts, words.encode(texts)):
+        assert words.tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist(), repr(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text_keeps_its_ids(words, text):
+    (ids,) = words.encode([text])
+    assert words.tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist()
+
+
+def greedy(lengths, sizes):
+    """The rule spelt out: the longest piece left, the cheapest sequence with room, else a cut."""
+    left = sorted((-n, i, 0) for i, n in enumerate(lengths) if n)
+    room, spent, out = list(sizes), [0.0] * len(sizes), []
+    while left:
+        n, i, start = left.pop(0)
+        fits = [s for s in range(len(sizes)) if room[s] >= -n]
+        if fits:
+            s, take = min(fits, key=lambda s: (spent[s], s)), -n
+        else:
+            s = max(range(len(sizes)), key=lambda s: (room[s], -s))
+            take = room[s]
+            left = sorted([*left, (n + take, i, start + take)])
+        out.append((i, start, take, s, sizes[s] - room[s]))
+        room[s] -= take
+        spent[s] += cost(take)
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 70), max_size=30), st.sampled_from([8, 32, 64]))
+def test_assignment_is_the_greedy_one(lengths, capacity):
+    sizes = capacities_of(sum(lengths), capacity)
+    assert assign(lengths, sizes) == greedy(lengths, sizes)
+
+
 def test_pieces_go_to_the_cheapest_sequence_with_room():
     placed = assign([5, 4, 3], [6, 6])
     assert placed == [(0, 0, 5, 0, 0), (1, 0, 4, 1, 0), (2, 0, 2, 1, 4), (2, 2, 1, 0, 5)]
