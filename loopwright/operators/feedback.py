@@ -138,11 +138,8 @@ def first_assessments(assessed: DataFrame, keep: str = "first") -> DataFrame:
     )
 
 
-def first_values(feedback: DataFrame, keep: str = "first") -> DataFrame:
-    """``first_assessments`` straight from the feedback rows.
-
-    The same result without making up to three rows of each before the aggregation.
-    """
+def first_value_columns(keep: str = "first") -> list[Column]:
+    """The first (or latest) rating, correction and comment as aggregates; each has its own row."""
     pick = {"first": F.min_by, "latest": F.max_by}[keep]
     order = F.struct("ts_ms", "feedback_id")
 
@@ -150,11 +147,19 @@ def first_values(feedback: DataFrame, keep: str = "first") -> DataFrame:
         return pick(F.when(given, column), F.when(given, order)).alias(name)
 
     rating, correction, comment = F.col("rating"), F.col("corrected_output"), F.col("comment")
-    return feedback.groupBy("trace_id").agg(
+    return [
         value(RATING_NAME, (rating == "thumbs_up").cast("string"), rating.isNotNull()),
         value(CORRECTION_NAME, correction, ~correction.isin("", "{}")),
         value(COMMENT_NAME, comment, comment != ""),
-    )
+    ]
+
+
+def first_values(feedback: DataFrame, keep: str = "first") -> DataFrame:
+    """``first_assessments`` straight from the feedback rows.
+
+    The same result without making up to three rows of each before the aggregation.
+    """
+    return feedback.groupBy("trace_id").agg(*first_value_columns(keep))
 
 
 def traces_with_feedback(traces: DataFrame, feedback: DataFrame, keep: str = "first") -> DataFrame:

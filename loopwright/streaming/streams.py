@@ -6,22 +6,60 @@ comes in time order (or the watermark delay covers its span).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loopwright.operators.feedback import (
     DEGRADED_PREFIX,
+    RATING_NAME,
     feedback_counts,
+    first_value_columns,
     training_records,
     up_rate,
     valid_feedback,
+    with_feedback_id,
 )
 from loopwright.operators.serving import serving_counts
 from loopwright.sources.writers import records_wide
+from loopwright.streaming.landing import state_settings
+
+
+def _feedback_events(feedback: DataFrame, lateness: str) -> DataFrame:
+    return (
+        valid_feedback(feedback)
+        .withColumn("event_time", F.timestamp_millis("ts_ms"))
+        .withWatermark("event_time", lateness)
+    )
+
+
+def _known_traces(traces: DataFrame, lateness: str, *columns: str) -> DataFrame:
+    return traces.select(
+        F.col("trace_id").alias("known_id"),
+        F.timestamp_millis("timestamp_ms").alias("trace_time"),
+        *columns,
+    ).withWatermark("trace_time", lateness)
+
+
+def _on_trace(earliest: str, latest: str) -> Column:
+    """Feedback from ``earliest`` before its trace to ``latest`` after it: bounds the join state."""
+    return (
+        (F.col("trace_id") == F.col("known_id"))
+        & (F.col("event_time") >= F.col("trace_time") - F.expr(f"INTERVAL {earliest}"))
+        & (F.col("event_time") <= F.col("trace_time") + F.expr(f"INTERVAL {latest}"))
+    )
+
+
+def _once(events: DataFrame) -> DataFrame:
+    # After the filter of its branch: an event is in the state of one branch only.
+    return events.dropDuplicatesWithinWatermark(["feedback_id"])
+
+
+def _event_columns(feedback: DataFrame) -> list[str]:
+    columns = [*feedback.columns]
+    return columns if "feedback_id" in columns else [*columns, "feedback_id"]
 
 
 def accepted_feedback_stream(
@@ -36,31 +74,90 @@ def accepted_feedback_stream(
     Feedback counts for a trace from ``earliest`` before it to ``latest`` after it, which
     bounds the join state together with the watermarks.  Degraded ids pass unjoined.
     """
-    events = (
-        valid_feedback(feedback)
-        .withColumn("event_time", F.timestamp_millis("ts_ms"))
-        .withWatermark("event_time", lateness)
+    events, known = _feedback_events(feedback, lateness), _known_traces(traces, lateness)
+    degraded = F.startswith(F.col("trace_id"), F.lit(DEGRADED_PREFIX))
+    matched = _once(events.filter(~degraded)).join(known, _on_trace(earliest, latest))
+    columns = _event_columns(feedback)
+    return matched.select(*columns).unionByName(_once(events.filter(degraded)).select(*columns))
+
+
+def rejected_feedback_stream(
+    feedback: DataFrame,
+    traces: DataFrame,
+    lateness: str = "1 hour",
+    earliest: str = "0 seconds",
+    latest: str = "7 days",
+) -> DataFrame:
+    """Feedback events for which no trace came, each once: the rest of ``accepted_feedback_stream``.
+
+    An event is rejected when the watermark shows that its trace can no longer come; until then it
+    stays in the state.  So do events without a trace id.
+    """
+    events, known = _feedback_events(feedback, lateness), _known_traces(traces, lateness)
+    degraded = F.coalesce(F.startswith(F.col("trace_id"), F.lit(DEGRADED_PREFIX)), F.lit(False))
+    joined = _once(events.filter(~degraded)).join(known, _on_trace(earliest, latest), "left_outer")
+    return joined.filter(F.col("known_id").isNull()).select(*_event_columns(feedback))
+
+
+def rated_traces_stream(
+    traces: DataFrame,
+    feedback: DataFrame,
+    rating: str = "thumbs_up",
+    lateness: str = "1 hour",
+    earliest: str = "0 seconds",
+    latest: str = "7 days",
+    window: str = "1 hour",
+) -> DataFrame:
+    """Traces of one rating, once no feedback of theirs can come any more, in append mode.
+
+    Feedback meets its trace in a join that times bound; then each trace keeps its first rating,
+    correction and comment, which may come from three events.  Traces leave the state by windows
+    of their own time, so that the state holds no more than the time range and one window.
+    """
+    columns = [c for c in traces.columns if c != "trace_id"]
+    known = _known_traces(traces, lateness, *columns)
+    named = feedback.withColumn("event_time", F.timestamp_millis("ts_ms"))
+    events = with_feedback_id(named).withWatermark("event_time", lateness)
+    given = ["trace_id", "feedback_id", "ts_ms", "rating", "corrected_output", "comment", "event_time"]
+    joined = events.select(*given).join(known, _on_trace(earliest, latest))
+    firsts = joined.groupBy(F.window("trace_time", window), "trace_id", *columns).agg(
+        *first_value_columns()
     )
+    wanted = F.col(RATING_NAME) == ("true" if rating == "thumbs_up" else "false")
+    return firsts.filter(wanted).drop("window")
 
-    def once(rows: DataFrame) -> DataFrame:
-        # After the filter of its branch: an event is in the state of one branch only.
-        return rows.dropDuplicatesWithinWatermark(["feedback_id"])
 
-    known = traces.select(
-        F.col("trace_id").alias("known_id"),
-        F.timestamp_millis("timestamp_ms").alias("trace_time"),
-    ).withWatermark("trace_time", lateness)
-    degraded = F.startswith(F.col("trace_id"), F.lit(DEGRADED_PREFIX))
-    matched = once(events.filter(~degraded)).join(
-        known,
-        (F.col("trace_id") == F.col("known_id"))
-        & (F.col("event_time") >= F.col("trace_time") - F.expr(f"INTERVAL {earliest}"))
-        & (F.col("event_time") <= F.col("trace_time") + F.expr(f"INTERVAL {latest}")),
+def closable(
+    stream: DataFrame, last: Mapping[str, object], path: str
+) -> tuple[DataFrame, Callable[[], None]]:
+    """A finite stream that can be given one last row, and the function that gives it.
+
+    The row moves the watermark past all that came before, so that state that waits for it is given
+    out.  ``last`` gives the row's columns, its time among them; the others are NULL.  It comes by
+    files at ``path`` and must come after all others: see ``run_to_end``.
+    """
+    spark, fields = stream.sparkSession, stream.schema.fields
+    row = spark.range(1).select(
+        *[F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in fields]
     )
-    columns = [*feedback.columns]
-    if "feedback_id" not in columns:
-        columns.append("feedback_id")
-    return matched.select(*columns).unionByName(once(events.filter(degraded)).select(*columns))
+    row.limit(0).write.parquet(path)
+    closing = spark.readStream.schema(row.schema).parquet(path)
+    return stream.unionByName(closing), lambda: row.write.mode("append").parquet(path)
+
+
+def run_to_end(start: Callable[[], StreamingQuery], *closings: Callable[[], None]) -> None:
+    """Run a query through its input, close its streams, and run it on to give out what waits.
+
+    ``start`` starts the query, each time with the same checkpoint folder.
+    """
+    for give in (None, *([closings] if closings else [])):
+        for closing in give or ():
+            closing()
+        query = start()
+        try:
+            query.awaitTermination()
+        finally:
+            query.stop()
 
 
 def feedback_stats_stream(feedback: DataFrame, *by: str) -> DataFrame:
@@ -81,58 +178,9 @@ def serving_metrics_stream(
     )
 
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-@contextmanager
-def state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None]:
-    """Start streams with state on disk, in ``partitions`` parts.
-
-    A stream keeps the number it is first started with, so it is chosen for the state it will
-    hold and not left to the batch setting of the session.
-    """
-    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
-    if partitions:
-        wanted["spark.sql.shuffle.partitions"] = str(partitions)
-    usual = {name: spark.conf.get(name) for name in wanted}
-    try:
-        for name, value in wanted.items():
-            spark.conf.set(name, value)
-        yield
-    finally:
-        for name, value in usual.items():
-            spark.conf.set(name, value)
-
-
-def land_updates(
-    stream: DataFrame, path: str, checkpoint_path: str, partitions: int | None = None
-) -> StreamingQuery:
-    """Write every batch of an update-mode stream to its own folder and stop at the end.
-
-    A batch that is run again replaces its own folder, so the landing is idempotent.
-    """
-
-    def land(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}"
-        )
-
-    writer = (
-        stream.writeStream.outputMode("update")
-        .foreachBatch(land)
-        .option("checkpointLocation", checkpoint_path)
-        .trigger(availableNow=True)
-    )
-    with state_settings(stream.sparkSession, partitions):
-        return writer.start()
-
-
-def latest_values(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The current row per key from a folder that ``land_updates`` filled."""
-    rows = spark.read.parquet(path).drop("batch")
-    rest = [c for c in rows.columns if c not in (*keys, "_batch")]
-    newest: Column = F.max_by(F.struct(*rest), F.col("_batch")).alias("_newest")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
+def serving_totals_stream(requests: DataFrame, *by: str) -> DataFrame:
+    """Running totals of the serving log and each group's first request, for complete mode."""
+    return requests.groupBy(*by).agg(*serving_counts(), F.min("ts").alias("first_seen"))
 
 
 def append_stream(

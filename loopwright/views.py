@@ -169,9 +169,14 @@ class Tables:
 
     @cached_property
     def traces(self) -> DataFrame:
+        return self.document_traces(self.table("documents"))
+
+    @staticmethod
+    def document_traces(documents: DataFrame) -> DataFrame:
+        """A trace of each row of a table (or stream) of documents."""
         doc = F.col("doc_id")
         made = _text('{"n_chars":"', F.col("n_chars"), '","lang":"out-', F.col("lang"), '"}')
-        return self.table("documents").select(
+        return documents.select(
             _text("tr-", doc).alias("trace_id"),
             F.col("source").alias("model_name"),
             (doc % 3 + 1).cast("string").alias("model_version"),
