@@ -18,7 +18,7 @@ from loopwright.operators.scoring import (
 )
 from loopwright.plans import compile as compiling
 from loopwright.plans import search
-from loopwright.plans.programs import student_of, teacher_of
+from loopwright.plans.programs import proposer_of, student_of, teacher_of
 from loopwright.spec import TaskSpec
 
 FLAGS = TaskSpec(("gold_status", "pred_status"), ("gold_flag",), "Give the flag of the line")
@@ -149,6 +149,54 @@ def predictor_instructions(t):
     return search.instruction_search(rows, instructions, instructions.count(), student)
 
 
+class Improver:
+    """Proposes the best text shown, which comes last, with one more mark for each proposal."""
+
+    def __call__(self, inputs):
+        tried, number = shown_values(inputs["prompt"].split(SECTION_BREAK)[-1])[:2]
+        best = tried.split("; ")[-1].partition(" ")[2]
+        return f"Output:\ninstructions: {best}{'+' * int(number)}\n"
+
+
+def scored_round(number: int, texts: str) -> str:
+    """SQL of one round: new texts with their ids, and all scores so far."""
+    before = "" if not number else f"SELECT * FROM scored{number - 1} UNION ALL "
+    return f"""
+    new{number} AS ({texts}),
+    scored{number} AS (
+        {before}SELECT {number} AS round, n.candidate_id, instructions,
+               round(100 * avg(CASE WHEN {rule('instructions')} = gold_flag THEN 1 ELSE 0 END), 2)
+                 AS percent, count(*) AS examples
+        FROM predictions p, new{number} n GROUP BY n.candidate_id, instructions)"""
+
+
+def proposed_round(number: int) -> str:
+    before = f"scored{number - 1}"
+    return scored_round(number, f"""
+        SELECT CAST((SELECT count(*) FROM {before}) + row_number() OVER (ORDER BY text) - 1 AS INTEGER)
+                 AS candidate_id, text AS instructions
+        FROM (SELECT DISTINCT best || repeat('+', k) AS text
+              FROM (SELECT arg_max(instructions, (percent, -candidate_id)) AS best FROM {before}),
+                   (SELECT unnest([1, 2, 3]) AS k))
+        WHERE text NOT IN (SELECT instructions FROM {before})""")
+
+
+@query(
+    "K3_instruction_rounds",
+    uses=["predictions"],
+    sql=f"""
+    WITH {scored_round(0, "SELECT r_regionkey AS candidate_id, r_name AS instructions FROM region")},
+    {proposed_round(1)}, {proposed_round(2)}
+    SELECT *, candidate_id = arg_max(candidate_id, (percent, -candidate_id)) OVER () AS best
+    FROM scored2""",
+)
+def instruction_rounds(t):
+    _, student = program_runner(t)
+    rows = t.predictions.select("example_id", *FLAGS.fields)
+    propose = proposer_of(PromptBook(t.spark, Improver), breadth=3)
+    return search.instruction_rounds(rows, instruction_table(t), student, propose, depth=3)
+
+
 @query(
     "K5_predictor_compile",
     uses=["predictions"],

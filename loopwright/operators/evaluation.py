@@ -27,15 +27,16 @@ def pair_predictions(gold: DataFrame, predictions: DataFrame, key: str) -> DataF
     return gold.join(predictions, key, "left")
 
 
-def fan_out(dev: DataFrame, candidates: DataFrame, count: int) -> DataFrame:
+def fan_out(dev: DataFrame, candidates: DataFrame, count: int | Sequence[int]) -> DataFrame:
     """Every dev row once per candidate.
 
-    ``candidates`` holds ``candidate_id`` 0 to ``count - 1`` and is a written or
-    checkpointed table.  Ids are made in place by a generator, then the programs are looked
+    ``candidates`` holds ``candidate_id`` 0 to ``count - 1`` (or a given list of ids) and is a
+    written or checkpointed table.  Ids are made in place by a generator, then the programs are looked
     up by id: broadcast when their counted bytes are small, else an equi join whose few
     large keys AQE splits.
     """
-    ids = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("candidate_id")
+    wanted = F.sequence(F.lit(0), F.lit(count - 1)) if isinstance(count, int) else F.lit(list(count))
+    ids = F.explode(wanted).alias("candidate_id")
     return dev.select("*", ids).join(broadcast_if_small(candidates), "candidate_id")
 
 

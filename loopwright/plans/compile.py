@@ -56,10 +56,13 @@ def compile_program(
     model: str = "N/A",
     teacher_model: str = "N/A",
     metric_name: str | None = None,
+    propose: search.Proposer | None = None,
+    depth: int = 3,
 ) -> CompiledProgram:
     """Split, score the baseline, optimise, score again, and store the results.
 
-    ``instructions`` (``candidate_id, instructions``) is needed by the instruction searches.
+    ``instructions`` (``candidate_id, instructions``) is needed by the instruction searches; with
+    ``propose`` the first of them goes on for ``depth`` rounds with the texts that it proposes.
     Below ``path`` of the result, in the shared folder, are then the dataset (``dataset`` as CSV,
     ``examples`` with the keys), the program (``program``, for ``read_programs``), its prompt
     document (``prompt``, for ``read_prompts``), the score of each dev example (``evaluation``) and
@@ -106,8 +109,12 @@ def compile_program(
         )
         scores = search.random_search(dev, candidates, num_candidates, student)
     elif optimizer == INSTRUCTIONS:
-        candidates = checkpoint(instructions.withColumn("demos", no_demos))
-        scores = search.instruction_search(train, instructions, candidates.count(), student)
+        if propose is None:
+            candidates = checkpoint(instructions.withColumn("demos", no_demos))
+            scores = search.instruction_search(train, instructions, candidates.count(), student)
+        else:
+            scores = search.instruction_rounds(train, instructions, student, propose, depth)
+            candidates = scores.select("candidate_id", "instructions", no_demos.alias("demos"))
     else:
         sets = search.candidate_programs(
             train,
@@ -119,7 +126,7 @@ def compile_program(
             search.JOINT_MAX_LABELED,
         )
         candidates = search.joint_candidates(instructions, sets, num_candidates)
-        scores = search.joint_search(
+        scores = search.racing_search(
             dev, candidates, candidates.count(), key, student, num_batches
         )
     if scores is not None:

@@ -9,14 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.functions.prompts import render_prompt
+from loopwright.functions.prompts import no_demos, render_prompt
 from loopwright.operators.asking import PromptBook, with_answers
 from loopwright.operators.scoring import PRED, Scorer, program_columns
-from loopwright.plans.search import Student, Teacher
+from loopwright.plans.search import Proposer, Student, Teacher
 from loopwright.spec import TaskSpec
 
 REASONING = "reasoning"
 
+# The task of a proposer: the best texts so far, worst first, and the number of the proposal.
+PROPOSAL = TaskSpec(
+    ("tried", "proposal"),
+    ("instructions",),
+    "Propose better instructions than those that were tried",
+    ("Instructions that were tried, each with its score",),
+)
+
 
 def _fields(spec: TaskSpec) -> list[str]:
     return [REASONING, *spec.outputs] if spec.reasons else list(spec.outputs)
@@ -56,3 +64,22 @@ def student_of(spec: TaskSpec, book: PromptBook, scorer: Scorer) -> Student:
         return scorer(answered.drop(PRED + REASONING) if spec.reasons else answered)
 
     return study
+
+
+def proposer_of(book: PromptBook, breadth: int, shown: int = 10, spec: TaskSpec = PROPOSAL) -> Proposer:
+    """Proposals from a predictor: it is shown the ``shown`` best texts and asked ``breadth`` times."""
+
+    def propose(scored: DataFrame) -> DataFrame:
+        best = scored.orderBy(F.desc("percent"), "candidate_id").limit(shown)
+        lines = F.array_sort(
+            F.collect_list(F.struct("percent", (-F.col("candidate_id")).alias("last"), "instructions"))
+        )
+        line = lambda x: F.concat(F.format_number(x["percent"], 2), F.lit(" "), x["instructions"])
+        tried = best.agg(F.transform(lines, line).alias("lines"))
+        tried = tried.select(F.array_join("lines", "; ").alias("tried"))
+        asked = tried.select("tried", F.explode(F.sequence(F.lit(1), F.lit(breadth))).alias("proposal"))
+        prompt = render_prompt(spec, no_demos(), {f: F.col(f) for f in spec.inputs})
+        answered = with_answers(asked, prompt, book, spec.outputs)
+        return answered.select(F.col(PRED + spec.outputs[0]).alias("instructions"))
+
+    return propose

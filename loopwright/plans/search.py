@@ -8,19 +8,27 @@ DataFrame functions: a column expression or a batch prediction.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopwright.functions.prompts import DEMO_TYPE
-from loopwright.operators.evaluation import best_candidate, dataset_score, fan_out
-from loopwright.operators.ordinal import sample_per_seed
+from loopwright.operators.evaluation import (
+    best_candidate,
+    dataset_score,
+    fan_out,
+    percent_score,
+)
+from loopwright.operators.ordinal import key_at_rank, sample_per_seed, seeded_rank
 from loopwright.session import checkpoint
 from loopwright.spec import TaskSpec
 
 Teacher = Callable[[DataFrame], DataFrame]
 Student = Callable[[DataFrame], DataFrame]
+# Takes scored instructions (candidate_id, instructions, percent), returns new ones as a column.
+Proposer = Callable[[DataFrame], DataFrame]
 
 # Demo caps, candidate and batch counts used by default.
 MAX_BOOTSTRAPPED = 4
@@ -30,8 +38,13 @@ JOINT_MAX_LABELED = 16
 NUM_CANDIDATES = 10
 NUM_BATCHES = 30
 
-# Rows tried, round by round, before the teacher is run over the whole train split.
-PROBE_ROWS = (256, 4096)
+# Rows that the teacher tries first, and how much more it tries from round to round.
+PROBE_ROWS, PROBE_GROWTH = 256, 16
+# Heads up to so many rows are sorted at once; longer ones are cut at a key.
+SORTED_ROWS = 10_000
+
+# Chance that racing drops the candidate whose true mean is best.
+RACE_RISK = 0.05
 
 
 def demo_of(spec: TaskSpec, predicted: bool, has_reasoning: bool) -> Column:
@@ -53,31 +66,45 @@ def _passing(scored: DataFrame, spec: TaskSpec, key: str, threshold: float) -> D
     return scored.filter(F.col("score") >= threshold).select(key, demo.alias("demo"))
 
 
+def _probe_sizes(total: int) -> Iterator[int]:
+    """How many rows are tried in all after each round; the last number is ``total``."""
+    size = PROBE_ROWS
+    while size < total:
+        yield size
+        size *= PROBE_GROWTH
+    yield total
+
+
+def _head(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """The first rows in key order; a long head is found by its last key, not by sorting."""
+    if size <= SORTED_ROWS:
+        return checkpoint(rows.orderBy(key).limit(size))
+    _, cut = key_at_rank(rows, [key], rank=size)
+    return rows if cut is None else rows.filter(F.col(key) < F.lit(cut[key]))
+
+
 def first_passing(
     train: DataFrame, spec: TaskSpec, key: str, teacher: Teacher, count: int, threshold: float
 ) -> DataFrame:
     """The first ``count`` rows in key order that the teacher gets right.
 
-    Teacher calls are dear, so growing heads of the split are tried first, each row once; what
-    is left is answered in one distributed pass, only when the heads do not give enough.
+    Teacher calls are dear, so growing heads of the split are tried, each row once, until enough
+    pass: it answers at most some sixteen times the rows that were needed.
     """
 
     def best(rows: DataFrame) -> DataFrame:
         return rows.orderBy(key).limit(count)
 
-    found, missing, rest = None, count, train
-    for size in (*PROBE_ROWS, None):
-        part = rest if size is None else checkpoint(rest.orderBy(key).limit(size))
+    total, found, rest, tried = train.count(), None, train, 0
+    for size in _probe_sizes(total):
+        part = _head(rest, key, size - tried)
         passed = checkpoint(best(_passing(teacher(part), spec, key, threshold)))
-        found = passed if found is None else found.unionByName(passed)
-        missing -= passed.count()
-        if missing <= 0 or size is None:
+        found = passed if found is None else checkpoint(best(found.unionByName(passed)))
+        if size == total or found.count() >= count:
             break
-        tried = part.agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("last")).first()
-        if tried["n"] < size:
-            break
-        rest = rest.filter(F.col(key) > F.lit(tried["last"]))
-    return checkpoint(best(found))
+        rest = rest.filter(F.col(key) > F.lit(part.agg(F.max(key).alias("last")).first()["last"]))
+        tried = size
+    return found
 
 
 def first_passing_per_seed(
@@ -91,26 +118,37 @@ def first_passing_per_seed(
 ) -> DataFrame:
     """The same for several seeds at once, each with its own row order.
 
-    The teacher sees a row once, however many seeds and rounds drew it.
+    A round tries the rows that come early for some seed, told by their draws alone.  The teacher
+    sees a row once, however many seeds and rounds drew it.
     """
-    total, passing, rest = train.count(), None, train
-    order = Window.partitionBy("seed").orderBy("draw")
-    for size in PROBE_ROWS:
-        drawn = checkpoint(sample_per_seed(train.select(key), key, seeds, size))
-        part = rest.join(drawn.select(key).distinct(), key, "left_semi")
+    total, passing, before = train.count(), None, None
+    order = Window.partitionBy("seed").orderBy("_draw", key)
+
+    def early(limit: str | None) -> Column:
+        if limit is None:
+            return F.lit(True)
+        return F.exists(F.lit(list(seeds)), lambda s: seeded_rank(s, F.col(key)) < limit)
+
+    for size in _probe_sizes(total):
+        limit = None if size == total else f"{int(size / total * (1 << 64)):016x}"
+        part = train.filter(early(limit))
+        if before is not None:
+            part = part.filter(~early(before))
         passed = checkpoint(_passing(teacher(part), spec, key, threshold))
         passing = passed if passing is None else passing.unionByName(passed)
-        found = checkpoint(
-            drawn.join(passing, key)
-            .withColumn("draw", F.row_number().over(order))
-            .filter(F.col("draw") <= count)
+        drawn = passing.withColumn("seed", F.explode(F.lit(list(seeds)))).withColumn(
+            "_draw", seeded_rank(F.col("seed"), F.col(key))
         )
+        if limit is not None:
+            # Later rows of a seed may still be untried.
+            drawn = drawn.filter(F.col("_draw") < limit)
+        ranked = drawn.withColumn("draw", F.row_number().over(order))
+        found = checkpoint(ranked.filter(F.col("draw") <= count).drop("_draw"))
         full = found.groupBy("seed").count().filter(F.col("count") >= count).count()
-        if full == len(set(seeds)) or total <= size:
+        if size == total or full == len(set(seeds)):
             return found
-        rest = rest.join(drawn.select(key).distinct(), key, "left_anti")
-    passing = passing.unionByName(checkpoint(_passing(teacher(rest), spec, key, threshold)))
-    return checkpoint(sample_per_seed(passing, key, seeds, count))
+        before = limit
+    return found
 
 
 def bootstrap_demos(
@@ -191,7 +229,11 @@ def candidate_programs(
 
 
 def score_candidates(
-    rows: DataFrame, candidates: DataFrame, count: int, student: Student, *by: str
+    rows: DataFrame,
+    candidates: DataFrame,
+    count: int | Sequence[int],
+    student: Student,
+    *by: str,
 ) -> DataFrame:
     """Score of every candidate over the rows (and per ``by``)."""
     return dataset_score(student(fan_out(rows, candidates, count)), "candidate_id", *by)
@@ -212,6 +254,48 @@ def instruction_search(
     return mark_best(score_candidates(rows, programs, count, student))
 
 
+def instruction_rounds(
+    rows: DataFrame,
+    instructions: DataFrame,
+    student: Student,
+    propose: Proposer,
+    depth: int,
+) -> DataFrame:
+    """Instruction search in rounds: the scores so far make the proposals of the next round.
+
+    Starts from ``instructions`` (``candidate_id`` 0 to n - 1, ``instructions``).  ``propose``
+    takes the scored table and returns rows of ``instructions``; texts that were scored before, NULL
+    and empty ones are left out.  New ids go on from the old ones, in the order of the texts.  Ends after
+    ``depth`` scored rounds, or when nothing new is proposed.  Returns ``round`` (from 0),
+    ``candidate_id``, ``instructions``, ``percent``, ``examples`` and ``best``.
+    """
+    if depth < 1:
+        raise ValueError("at least one round is needed")
+    new = checkpoint(instructions.select("candidate_id", "instructions"))
+    known, scored = 0, None
+    for number in range(depth):
+        count = new.count()
+        if not count:
+            break
+        programs = checkpoint(new.withColumn("demos", F.array().cast(f"array<{DEMO_TYPE}>")))
+        ids = list(range(known, known + count))
+        scores = score_candidates(rows, programs, ids, student)
+        part = new.join(scores, "candidate_id").withColumn("round", F.lit(number))
+        # One row a candidate; the proposer and the next round read it.
+        scored = checkpoint(part if scored is None else scored.unionByName(part))
+        known += count
+        if number + 1 < depth:
+            texts = propose(scored.select("candidate_id", "instructions", "percent"))
+            texts = texts.select("instructions").filter(F.col("instructions") != "").distinct()
+            fresh = texts.join(scored.select("instructions"), "instructions", "left_anti")
+            order = Window.partitionBy(F.lit(0)).orderBy("instructions")
+            place = F.row_number().over(order) + F.lit(known - 1)
+            new = checkpoint(fresh.select(place.cast("int").alias("candidate_id"), "instructions"))
+    if scored is None:
+        raise ValueError("there are no instructions to begin with")
+    return mark_best(scored.select("round", "candidate_id", "instructions", "percent", "examples"))
+
+
 def joint_candidates(
     instructions: DataFrame, demo_sets: DataFrame, num_demo_sets: int
 ) -> DataFrame:
@@ -256,6 +340,78 @@ def joint_search(
     return mark_best(means)
 
 
+def race_radius(mean: float, squares: float, examples: int, risk: float) -> float:
+    """How far the true mean of scores in [0, 1] may lie from that of the examples seen.
+
+    The smaller of Hoeffding's bound and the empirical Bernstein bound, each at half the risk.
+    """
+    if not examples:
+        return math.inf
+    spread = max(0.0, squares / examples - mean * mean)
+    hoeffding = math.sqrt(math.log(4 / risk) / (2 * examples))
+    part = math.log(6 / risk) / examples
+    return min(hoeffding, math.sqrt(2 * spread * part) + 3 * part)
+
+
+def racing_search(
+    dev: DataFrame,
+    candidates: DataFrame,
+    count: int,
+    key: str,
+    student: Student,
+    num_batches: int = NUM_BATCHES,
+    batch_rows: int = 25,
+    risk: float = RACE_RISK,
+) -> DataFrame:
+    """``joint_search`` that stops asking about candidates which can hardly win.
+
+    The mini-batches are those of ``joint_search`` and come in rounds of 1, 1, 2, 4, ... .  After
+    each round a candidate goes when the upper bound of its mean lies below the best lower bound; the
+    bounds hold for all candidates and rounds together but for a chance of ``risk``.  Scores must
+    lie in [0, 1].  Survivors see all batches, so their ``percent`` is that of ``joint_search``; that
+    of the others is over the ``batches`` they saw.  The best survivor is marked.
+    """
+    seeds = [f"batch{i}" for i in range(num_batches)]
+    drawn = sample_per_seed(dev, key, seeds, batch_rows).withColumnRenamed("seed", "batch")
+    drawn = checkpoint(drawn)
+    rounds, done = [], 0
+    while done < num_batches:
+        size = min(max(1, done), num_batches - done)
+        rounds.append(seeds[done : done + size])
+        done += size
+    each_risk = risk / max(1, count * len(rounds))
+    alive, seen = list(range(count)), None
+    for batches in rounds:
+        rows = drawn.filter(F.col("batch").isin(batches))
+        scored = student(fan_out(rows, candidates, alive)).groupBy("candidate_id", "batch").agg(
+            percent_score(F.col("score")).alias("percent"),
+            F.count(F.lit(1)).alias("examples"),
+            F.sum(F.col("score").cast("double")).alias("total"),
+            F.sum(F.pow(F.col("score").cast("double"), 2)).alias("squares"),
+        )
+        # A row for each candidate and batch.
+        part = checkpoint(scored)
+        seen = part if seen is None else seen.unionByName(part)
+        bounds = {}
+        sums = seen.filter(F.col("candidate_id").isin(alive)).groupBy("candidate_id")
+        for row in sums.agg(*[F.sum(c).alias(c) for c in ("total", "squares", "examples")]).collect():
+            mean = (row["total"] or 0.0) / row["examples"]
+            radius = race_radius(mean, row["squares"] or 0.0, row["examples"], each_risk)
+            bounds[row["candidate_id"]] = (mean - radius, mean + radius)
+        least = max((low for low, _ in bounds.values()), default=-math.inf)
+        alive = [c for c in alive if c not in bounds or bounds[c][1] >= least]
+    means = seen.groupBy("candidate_id").agg(
+        F.round(F.avg("percent"), 4).alias("percent"),
+        F.sum("examples").alias("examples"),
+        F.count(F.lit(1)).cast("int").alias("batches"),
+    )
+    means = checkpoint(means)
+    best = best_candidate(means.filter(F.col("candidate_id").isin(alive)))
+    return means.join(
+        best.select("candidate_id", F.lit(True).alias("best")), "candidate_id", "left"
+    ).withColumn("best", F.coalesce("best", F.lit(False)))
+
+
 def mark_best(scores: DataFrame) -> DataFrame:
     """Flag the best candidate.  The scores, one row per candidate, are computed once."""
     scores = checkpoint(scores)

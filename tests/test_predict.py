@@ -188,7 +188,7 @@ def test_bootstrap_goes_on_past_the_probe(spark):
     found = search.bootstrap_demos(df, QA, "key", late).orderBy("position").collect()
     assert [r["key"] for r in found] == [5400, 5401, 5402, 5403]
     # Three rounds, and no row was asked twice.
-    assert [part.count() for part in asked] == [256, 4096, 6000 - 256 - 4096]
+    assert [part.count() for part in asked] == [256, 4096 - 256, 6000 - 4096]
     asked.clear()
     seeded = search.first_passing_per_seed(df, QA, "key", late, ["1", "2"], 4, 1.0)
     assert seeded.count() == 8 and seeded.filter("key < 5400").count() == 0
@@ -203,16 +203,106 @@ def test_seeded_rounds_equal_one_pass(spark, monkeypatch):
         right = F.col("key") % 97 == 0
         return rows.withColumns({"pred_answer": F.col("answer"), "score": right.cast("int")})
 
-    def picked(rounds):
-        monkeypatch.setattr(search, "PROBE_ROWS", rounds)
+    def picked(first, growth):
+        monkeypatch.setattr(search, "PROBE_ROWS", first)
+        monkeypatch.setattr(search, "PROBE_GROWTH", growth)
         rows = search.first_passing_per_seed(df, QA, "key", rare, ["a", "b", "c"], 5, 1.0)
         return sorted((r["seed"], r["draw"], r["key"]) for r in rows.collect())
 
-    assert picked((8, 64)) == picked((1000,)) == picked((5000,))
+    assert picked(8, 8) == picked(100, 3) == picked(1000, 100) == picked(5000, 16)
+    monkeypatch.setattr(search, "SORTED_ROWS", 10)  # heads are cut at keys
     ordered = search.first_passing(df, QA, "key", rare, 5, 1.0).collect()
     assert sorted(r["key"] for r in ordered) == [0, 97, 194, 291, 388]
 
 
+def test_heads_stop_when_enough_pass(spark):
+    df = spark.createDataFrame([(i, "q", "yes") for i in range(20_000)], "key long, question string, answer string")
+    asked = []
+
+    def some(rows):
+        asked.append(rows)
+        right = (F.col("key") % 100 == 99).cast("int")
+        return rows.withColumns({"pred_answer": F.col("answer"), "score": right})
+
+    found = search.first_passing(df, QA, "key", some, 4, 1.0).collect()
+    assert sorted(r["key"] for r in found) == [99, 199, 299, 399]
+    assert sum(part.count() for part in asked) == 4096
+    asked.clear()
+    assert search.first_passing_per_seed(df, QA, "key", some, ["a", "b"], 4, 1.0).count() == 8
+    assert sum(part.count() for part in asked) < 12_000
+
+
+def candidates_of(spark, chances):
+    rows = [(i, str(c)) for i, c in enumerate(chances)]
+    df = spark.createDataFrame(rows, "candidate_id int, instructions string")
+    return df.withColumn("demos", F.array().cast(f"array<{DEMO_TYPE}>"))
+
+
+def test_racing_finds_the_winner_with_fewer_rows(spark):
+    dev = spark.createDataFrame([(i, "q", "a") for i in range(4000)], "key long, question string, answer string")
+    asked = []
+
+    def chance(rows):
+        asked.append(rows.count())
+        draw = F.pmod(F.xxhash64("key", "candidate_id"), F.lit(1000)) / 1000
+        return rows.withColumn("score", (draw < F.col("instructions").cast("double")).cast("int"))
+
+    chances = [0.1, 0.2, 0.85, 0.5, 0.8, 0.15, 0.3, 0.05]
+    programs = candidates_of(spark, chances)
+    full = {r["candidate_id"]: r for r in search.joint_search(dev, programs, 8, "key", chance, 30, 40).collect()}
+    rows_of_full = sum(asked)
+    asked.clear()
+    raced = {r["candidate_id"]: r for r in search.racing_search(dev, programs, 8, "key", chance, 30, 40).collect()}
+    assert [c for c, r in raced.items() if r["best"]] == [c for c, r in full.items() if r["best"]] == [2]
+    assert raced[2]["percent"] == full[2]["percent"] and raced[2]["batches"] == 30
+    assert rows_of_full == 8 * 30 * 40 and sum(asked) < 0.6 * rows_of_full
+    assert raced[7]["batches"] < 30 and sum(r["examples"] for r in raced.values()) == sum(asked)
+
+
+def test_racing_keeps_equals_and_odd_inputs(spark):
+    dev = spark.createDataFrame([(i, "q", "a") for i in range(30)], "key long, question string, answer string")
+    programs = candidates_of(spark, ["x", "x", "x"])
+    found = search.racing_search(dev, programs, 3, "key", lambda r: r.withColumn("score", F.lit(1)), 5, 10)
+    rows = sorted(found.collect())
+    assert [(r["candidate_id"], r["percent"], r["batches"], r["best"]) for r in rows] == [
+        (0, 100.0, 5, True), (1, 100.0, 5, False), (2, 100.0, 5, False),
+    ]
+    none = search.racing_search(dev.limit(0), programs, 3, "key", lambda r: r.withColumn("score", F.lit(1)), 5, 10)
+    assert none.collect() == []
+
+
+def test_bounds_shrink_and_hold():
+    assert search.race_radius(0.5, 0, 0, 0.01) == float("inf")
+    wide, narrow = search.race_radius(0.5, 50, 100, 0.01), search.race_radius(0.5, 5000, 10_000, 0.01)
+    assert narrow < wide < 0.5
+    assert search.race_radius(0.0, 0, 10_000, 0.01) < narrow / 5  # no spread: the Bernstein bound
+
+
+def test_instruction_rounds_go_on_from_the_scores(spark):
+    rows = spark.createDataFrame([(i, "q", "a") for i in range(10)], "key long, question string, answer string")
+    first = spark.createDataFrame([(0, "a"), (1, "bbb")], "candidate_id int, instructions string")
+    seen = []
+
+    def by_length(rows):
+        return rows.withColumn("score", (F.col("key") < F.length("instructions")).cast("int"))
+
+    def longer(scored):
+        best = scored.orderBy(F.desc("percent")).first()["instructions"]
+        seen.append(best)
+        made = [(best + "+",), (best + "++",), ("a",), (None,), ("",), (best + "+",)]
+        return spark.createDataFrame(made, "instructions string")
+
+    found = search.instruction_rounds(rows, first, by_length, longer, 3).orderBy("candidate_id").collect()
+    assert [(r["round"], r["instructions"], r["percent"]) for r in found] == [
+        (0, "a", 10.0), (0, "bbb", 30.0), (1, "bbb+", 40.0), (1, "bbb++", 50.0), (2, "bbb+++", 60.0), (2, "bbb++++", 70.0),
+    ]
+    assert [r["best"] for r in found] == [False] * 5 + [True] and seen == ["bbb", "bbb++"]
+    stopped = search.instruction_rounds(rows, first, by_length, lambda s: first.select("instructions"), 5)
+    assert stopped.agg(F.max("round")).first()[0] == 0
+    with pytest.raises(ValueError):
+        search.instruction_rounds(rows, first, by_length, longer, 0)
+
+
 @pytest.mark.parametrize("optimizer", compiling.OPTIMIZERS)
 def test_compile_with_each_optimizer(spark, labelled, optimizer):
     texts = spark.createDataFrame([(0, "Answer"), (1, "Answer well")], "candidate_id int, instructions string")

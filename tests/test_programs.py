@@ -18,7 +18,7 @@ from loopwright.operators.scoring import (
     scorer_named,
 )
 from loopwright.plans import compile as compiling
-from loopwright.plans.programs import student_of, teacher_of
+from loopwright.plans.programs import proposer_of, student_of, teacher_of
 from loopwright.spec import TaskSpec
 
 # Workers cannot import this file.
@@ -179,6 +179,35 @@ def test_a_compile_asks_each_prompt_once(spark, optimizer):
     assert len(evaluation) == 12 and all(r["actual_output"] for r in evaluation)
 
 
+def test_compile_with_proposed_instructions(spark):
+    def study(prompt):
+        instructions, _, row = prompt.split(SECTION_BREAK)
+        question = row.split("\n")[0].partition(": ")[2]
+        known = question in instructions
+        return f"Output:\nanswer: {'yes' if known else 'no'}\n"
+
+    def improve(prompt):
+        row = prompt.split(SECTION_BREAK)[-1]
+        tried, number = (line.partition(": ")[2] for line in row.split("\n\n")[:2])
+        return f"Output:\ninstructions: {tried.split('; ')[-1].partition(' ')[2]} q{number}\n"
+
+    rows = questions(spark, [f"q{i % 4}" for i in range(40)], ["yes"] * 40)
+    make, calls = counted(spark, study)
+    book = PromptBook(spark, make)
+    proposals, asked = counted(spark, improve)
+    first = spark.createDataFrame([(0, "Answer")], "candidate_id int, instructions string")
+    done = compiling.compile_program(
+        rows, QA, "id", compiling.INSTRUCTIONS, teacher_of(QA, book, exact_scorer(QA)),
+        student_of(QA, book, exact_scorer(QA)), instructions=first, run_id="c",
+        propose=proposer_of(PromptBook(spark, proposals), breadth=3), depth=4,
+    )
+    assert done.scores.agg(F.max("round")).first()[0] == 3 and asked.value == 9
+    best = done.scores.filter("best").first()
+    assert best["percent"] == 75.0 and done.program.first()["instructions"] == best["instructions"]
+    assert done.summary.first()["evaluation_score"] == 75.0  # q1, q2 and q3, not q0
+    assert calls.value == book.answers().count()
+
+
 def test_an_empty_table_asks_nothing(spark):
     make, calls = counted(spark, echo)
     book = PromptBook(spark, make)
