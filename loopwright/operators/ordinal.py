@@ -7,65 +7,84 @@ here sorts a whole table, or a whole group, inside one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from loopwright.session import broadcast_if_small, checkpoint, lookup_side
+from loopwright.session import broadcast_if_small, checkpoint
 
 # A rank is looked up directly among this many keys; more are narrowed down first.
 _GATHER_ROWS = 100_000
 _PIVOTS = 10_000
 _MAX_ROUNDS = 24
 
-# monotonically_increasing_id keeps the partition in the bits above 33.
-_LOCAL_BITS = 33
 
+# Sampled keys for each range; with so many, ranges differ little in size.
+_SAMPLED = 100
 
-def _ranged(df: DataFrame, keys: Sequence[str], partitions: int | None) -> DataFrame:
-    """Rows in key order across partitions, each with its partition-local slot.
 
-    The checkpoint pins the range bounds, so that the count and the use of the
-    slots see the same partitions, also when tasks are run again.
+def _bounds(df: DataFrame, keys: Sequence[str], ranges: int) -> list[Row]:
+    """Keys that cut the table into some ``ranges`` ranges of like size, from a sample of its keys."""
+    found = df.select(*keys)
+    total = found.count()
+    if ranges < 2 or not total:
+        return []
+    share = min(1.0, ranges * _SAMPLED / total)
+    sample = found.sample(share, seed=1) if share < 1 else found
+    # About _SAMPLED keys a range come to the driver, whatever the table's size.
+    taken = sample.orderBy(*keys).collect()
+    cuts = [taken[len(taken) * i // ranges] for i in range(1, ranges)] if taken else []
+    return list(dict.fromkeys(cuts))
+
+
+def _range_number(df: DataFrame, keys: Sequence[str], bounds: Sequence[Row]) -> Column:
+    """How many bounds are at or below the row's key: a binary search in a literal array.
+
+    A row's range follows from its key alone, so tasks that are run again agree.
     """
-    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpoint(
-        df.repartitionByRange(count, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_slot", F.monotonically_increasing_id())
-    )
+    if not bounds:
+        return F.lit(0)
+    cuts = F.array(*[_key_literal(df, keys, row) for row in bounds])
+    bits = [1 << b for b in range(len(bounds).bit_length() - 1, -1, -1)]
+    key = _key_struct(keys)
 
+    def step(below: Column, bit: Column) -> Column:
+        cut = F.get(cuts, below + bit - 1)
+        return F.when(cut.isNotNull() & (cut <= key), below + bit).otherwise(below)
 
-def _partition() -> Column:
-    return F.shiftright("_slot", _LOCAL_BITS)
+    return F.aggregate(F.lit(bits), F.lit(0), step)
 
 
-def _local() -> Column:
-    return F.col("_slot").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+def _range_count(df: DataFrame, partitions: int | None) -> int:
+    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _offsets(ranged: DataFrame) -> list[int]:
-    """Rows before each partition, plus the total at the end (one number per partition)."""
-    counts = {
-        row["part"]: row["n"]
-        for row in ranged.groupBy(_partition().alias("part"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    }
-    last = max(counts, default=-1)
-    return list(accumulate((counts.get(i, 0) for i in range(last + 1)), initial=0))
+def _fresh(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def with_ordinal(
     df: DataFrame, keys: Sequence[str], name: str = "ordinal", partitions: int | None = None
 ) -> DataFrame:
-    """Add the 0-based position of each row in key order."""
-    ranged = _ranged(df, keys, partitions)
-    offsets = _offsets(ranged)
-    start = F.element_at(F.lit(offsets), (_partition() + 1).cast("int"))
-    return ranged.withColumn(name, (start + _local()).cast("long")).drop("_slot")
+    """Add the 0-based position of each row in key order.
+
+    Rows fall into ranges by literal bounds; a narrow scan counts each range.  Then every row
+    is shuffled once, to its range, and numbered there.  Nothing but counts is kept.
+    """
+    bounds = _bounds(df, keys, _range_count(df, partitions))
+    place = _fresh(df, "_range")
+    ranged = df.withColumn(place, _range_number(df, keys, bounds))
+    counts = {r[place]: r["count"] for r in ranged.groupBy(place).count().collect()}
+    starts = list(accumulate((counts.get(i, 0) for i in range(len(bounds))), initial=0))
+    order = Window.partitionBy(place).orderBy(*keys)
+    start = F.element_at(F.lit(starts), F.col(place) + 1)
+    return ranged.withColumn(
+        name, (start + F.row_number().over(order) - 1).cast("long")
+    ).drop(place)
 
 
 def with_group_ordinal(
@@ -77,23 +96,28 @@ def with_group_ordinal(
 ) -> DataFrame:
     """Add the 0-based position of each row inside its group, in key order.
 
-    A group may span any number of partitions: positions are global ones minus
-    the group's first, so a hot group is never gathered.
+    A group may span any number of ranges, so a hot group is never gathered: a row's position
+    is that in its part of the group, plus the sizes of the group's earlier parts.  At most one
+    group goes on from one range into the next, so there are fewer such sums than ranges.
     """
-    ordered = with_ordinal(df, [*groups, *keys], "_position", partitions)
-    starts = lookup_side(
-        ordered.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups]).agg(
-            F.min("_position").alias("_start")
-        )
-    )
-    same = reduce(
-        lambda a, b: a & b, [ordered[g].eqNullSafe(starts[f"_g_{g}"]) for g in groups]
-    )
-    return (
-        ordered.join(starts, same)
-        .withColumn(name, F.col("_position") - F.col("_start"))
-        .select(*df.columns, name)
+    both = [*groups, *keys]
+    bounds = _bounds(df, both, _range_count(df, partitions))
+    place = _fresh(df, "_range")
+    ranged = df.withColumn(place, _range_number(df, both, bounds))
+    parts = ranged.groupBy(place, *groups).count()
+    earlier = Window.partitionBy(*groups).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.withColumn("_before", F.sum("count").over(earlier)).filter("_before > 0")
+    sums = sums.select(
+        F.col(place).alias("_at"), *[F.col(g).alias(f"_g_{g}") for g in groups], "_before"
     )
+    same = ranged[place] == F.col("_at")
+    for g in groups:
+        same = same & ranged[g].eqNullSafe(F.col(f"_g_{g}"))
+    order = Window.partitionBy(place, *groups).orderBy(*keys)
+    # Fewer rows than ranges.
+    joined = ranged.join(F.broadcast(checkpoint(sums)), same, "left")
+    position = F.row_number().over(order) - 1 + F.coalesce("_before", F.lit(0))
+    return joined.withColumn(name, position.cast("long")).select(*df.columns, name)
 
 
 def _key_struct(keys: Sequence[str]) -> Column:

@@ -22,26 +22,52 @@ PROMPT_TEXTS = ("dspy_module", "llm_model", "teacher_model", "optimizer", "instr
 DEMO_MARKS = ("augmented", "reasoning", "rationale")
 
 
+def files_with_breaks(spark: SparkSession, path: str) -> list[str]:
+    """The CSV files whose cells may hold line breaks; of all others it is proved that none does.
+
+    A cell with a break leaves a quote open at the end of its line, so the line has an odd number of
+    quotes.  Lines are counted by many tasks; a name a file comes to the driver, which lists them
+    anyway.  A lone carriage return also counts as a break.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lone = F.contains(F.rtrim("value", F.lit("\r")), F.lit("\r"))
+    odd = lines.filter((quotes % 2 == 1) | lone)
+    return [r[0] for r in odd.select("_metadata.file_path").distinct().collect()]
+
+
 def read_csv(
-    spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = True
+    spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool | None = None
 ) -> DataFrame:
     """A CSV dataset, all text.  The file's header must name ``columns``, in order.
 
-    An explicit schema saves the inference pass, and text keeps values as written.  With
-    ``multi_line`` a cell may hold line breaks and each file is one task; set it to False for
-    large files without such cells, which are then read by many tasks.
+    An explicit schema saves the inference pass, and text keeps values as written.  Cells may
+    hold line breaks.  Files that have such cells (see ``files_with_breaks``) are read by one task
+    each, all others are split over many.  ``multi_line`` set to True or False leaves out the
+    count, for files that are known to have such cells or not.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        # A quoted empty cell is an empty text; only a bare one is NULL.
-        .option("nullValue", "\u0000")
-        .csv(path)
-    )
+
+    def scan(whole: bool) -> DataFrame:
+        return (
+            spark.read.schema(schema)
+            .option("header", True)
+            .option("enforceSchema", False)
+            .option("multiLine", whole)
+            .option("escape", '"')
+            # A quoted empty cell is an empty text; only a bare one is NULL.
+            .option("nullValue", "\u0000")
+            .csv(path)
+        )
+
+    if multi_line is not None:
+        return scan(multi_line)
+    broken = files_with_breaks(spark, path)
+    if not broken:
+        return scan(False)
+    file = F.col("_metadata.file_path")
+    whole, split = scan(True).filter(file.isin(broken)), scan(False).filter(~file.isin(broken))
+    return whole.select(*columns).unionByName(split.select(*columns))
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loopwright.session import checkpoint
+from loopwright.session import new_shared_path
 from loopwright.sources.readers import folder_of_model
 
 
@@ -35,8 +35,11 @@ def record_fields(records: DataFrame, column: str = "record") -> list[str]:
     as many as the export has columns, and more than ``MAX_COLUMNS`` are refused.  Pass the
     declared names to ``records_wide`` where they are known, and this pass is not needed.
     """
-    distinct = records.select(F.explode(F.map_keys(column)).alias("name")).distinct()
-    names = [row["name"] for row in distinct.limit(MAX_COLUMNS + 1).collect()]
+    return _sorted_names(records.select(F.explode(F.map_keys(column)).alias("name")))
+
+
+def _sorted_names(names: DataFrame) -> list[str]:
+    names = [row["name"] for row in names.distinct().limit(MAX_COLUMNS + 1).collect()]
     if len(names) > MAX_COLUMNS:
         raise ValueError(f"the records have over {MAX_COLUMNS} field names; name those to export")
     return sorted(n for n in names if not n.startswith("_")) + sorted(
@@ -54,6 +57,18 @@ def records_wide(
     return records.select(*[F.col(column)[n].alias(n) for n in names])
 
 
+def _columnar(records: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The records read from a written table of their names and texts, and all names in order."""
+    spark, path = records.sparkSession, new_shared_path(records.sparkSession, "records")
+    parts = records.select(
+        F.map_keys("record").alias("names"), F.map_values("record").alias("texts")
+    )
+    parts.write.parquet(path)
+    stored = spark.read.schema(parts.schema).parquet(path)
+    fields = _sorted_names(stored.select(F.explode("names").alias("name")))
+    return stored.select(F.map_from_arrays("names", "texts").alias("record")), fields
+
+
 def export_records(
     records: DataFrame,
     path: str,
@@ -64,8 +79,9 @@ def export_records(
     """Write training records as CSV or JSON lines, in files of at most ``chunk_rows``.
 
     The returned observation holds ``total_records``, counted by the write itself.  Without
-    ``fields`` a CSV export stores the records once, so that finding their names and writing
-    them do not both run the plan behind them.  JSON lines need no common columns: each record is
+    ``fields`` a CSV export first writes the records' names and texts as two columns: the plan
+    behind them runs once, the header is found in the column of names alone, and the
+    export is a projection of that file.  JSON lines need no common columns: each record is
     written as it is, its fields sorted, in one pass.
     """
     if form not in ("csv", "json"):
@@ -83,7 +99,7 @@ def export_records(
         ).text(path)
         return counted
     if fields is None:
-        records = checkpoint(records.select("record"))
+        records, fields = _columnar(records)
     write_csv(records_wide(records, fields).observe(counted, total), path, chunk_rows)
     return counted
 

@@ -91,3 +91,52 @@ def test_samples_are_reproducible(skewed):
         assert len(picked) == len(set(picked)) == 20
     one = ordinal.random_rows(skewed, "k", "s", 3).collect()
     assert sorted(one) == sorted(ordinal.random_rows(skewed, "k", "s", 3).collect())
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), "ExistingRDD" in plan
+
+
+def test_wide_rows_are_shuffled_once_and_not_stored(spark, tmp_path):
+    path = f"{tmp_path}/rows"
+    spark.range(5000).selectExpr("id % 3 AS g", "id AS k", "repeat('x', 50) AS wide").write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert exchanges(ordinal.with_ordinal(rows, ["k"], partitions=20)) == (1, False)
+    grouped = ordinal.with_group_ordinal(rows, ["g"], ["k"], partitions=20)
+    assert exchanges(grouped)[0] == 1
+    assert all(r["ordinal"] == r["k"] // 3 for r in grouped.collect())
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 3, 7, 64, 1000])
+def test_any_number_of_ranges(spark, skewed, ranges):
+    keys = sorted(r["k"] for r in skewed.collect())
+    bounds = ordinal._bounds(skewed, ["k"], ranges)
+    number = ordinal._range_number(skewed, ["k"], bounds)
+    cuts = [r["k"] for r in bounds]
+    for row in skewed.select("k", number.alias("n")).collect():
+        assert row["n"] == sum(c <= row["k"] for c in cuts)
+    found = ordinal.with_ordinal(skewed, ["k"], partitions=ranges).collect()
+    assert [r["ordinal"] for r in sorted(found, key=lambda r: r["k"])] == list(range(len(keys)))
+    grouped = ordinal.with_group_ordinal(skewed, ["grp"], ["k"], partitions=ranges).collect()
+    places = {}
+    for row in sorted(grouped, key=lambda r: r["k"]):
+        assert row["ordinal"] == places.setdefault(row["grp"], 0)
+        places[row["grp"]] += 1
+
+
+def test_ordinals_of_empty_tables_and_clashing_names(spark):
+    df = spark.createDataFrame([], "_range int, k long, g string")
+    assert ordinal.with_ordinal(df, ["k"]).collect() == []
+    assert ordinal.with_group_ordinal(df, ["g"], ["k"]).collect() == []
+    df = spark.createDataFrame([(9, 2, "a"), (8, 1, "a"), (7, 5, None)], "_range int, k long, g string")
+    found = ordinal.with_group_ordinal(df, ["g"], ["k"]).collect()
+    assert sorted((r["_range"], r["ordinal"]) for r in found) == [(7, 0), (8, 0), (9, 1)]
+
+
+def test_sampled_bounds_give_even_ranges(spark):
+    rows = spark.range(40_000).selectExpr("id * id % 1000003 AS a", "id AS b")
+    bounds = ordinal._bounds(rows, ["a", "b"], 8)
+    number = ordinal._range_number(rows, ["a", "b"], bounds)
+    sizes = [r["count"] for r in rows.groupBy(number.alias("n")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
