@@ -7,13 +7,14 @@ import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loopwright.session import configure, new_shared_path
 
 # Rows and bytes of one Arrow batch: a task holds one batch of texts at a time.
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -44,10 +45,30 @@ def in_batches(
         each = make()
         for batch in batches:
             yield each(batch)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def of_text(text: str, make: Callable[[], Callable[[pa.Array], pa.Array]], kind: str) -> Column:
+    """A column made of a text column; nothing else of the row goes to Python and back."""
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        each = make()
+        for batch in batches:
+            yield each(batch)
+        give_back()
+
+    return run(F.col(text))
+
+
+def give_back() -> None:
+    """Return a worker's unused memory to the system, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def worker_state(name: str, make: Callable[[], object]) -> object:
     """One object a Python worker, kept from task to task (caches only: never results)."""
     holder = sys.modules.setdefault("_loopwright_worker", types.ModuleType("_loopwright_worker"))

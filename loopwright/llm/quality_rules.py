@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import fresh, in_batches, stored
+from loopwright.llm.common import fresh, of_text, stored
 from loopwright.session import broadcast_if_small
 
 WINDOW = 5
@@ -34,7 +34,6 @@ MIN_GROUP = 200
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_loud",
 ]
-STATS_TYPE = pa.struct([(c, pa.int64()) for c in COUNTS])
 STATS_SQL = f"struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>"
 
 
@@ -107,34 +106,19 @@ def text_counts(text: bytes | None, points: int | None) -> tuple[int, ...]:
     )
 
 
-def with_counts(docs: DataFrame, name: str, keep_text: bool = True) -> DataFrame:
-    """Add a struct of the counts of ``text``; the other columns pass through."""
-    where = docs.columns.index("text")
-    passed = [i for i in range(len(docs.columns)) if keep_text or i != where]
-    schema = ", ".join(
-        f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in passed
-    ) + f", {name} {STATS_SQL}"
-
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(where)
-            points = pc.utf8_length(texts).to_pylist()
-            found = [
-                text_counts(None if t is None else t.encode(), n)
-                for t, n in zip(texts.to_pylist(), points)
-            ]
-            columns = [pa.array(c, type=pa.int64()) for c in zip(*found)] or [
-                pa.array([], type=pa.int64()) for _ in COUNTS
-            ]
-            stats = pa.StructArray.from_arrays(columns, names=COUNTS)
-            return pa.record_batch(
-                [*(batch.column(i) for i in passed), stats],
-                names=[*(batch.schema.names[i] for i in passed), name],
-            )
+def _count(texts: pa.Array) -> pa.Array:
+    points = pc.utf8_length(texts).to_pylist()
+    found = [text_counts(None if t is None else t.encode(), n) for t, n in zip(texts.to_pylist(), points)]
+    columns = [pa.array(c, type=pa.int64()) for c in zip(*found)] or [
+        pa.array([], type=pa.int64()) for _ in COUNTS
+    ]
+    return pa.StructArray.from_arrays(columns, names=COUNTS)
 
-        return each
 
-    return in_batches(docs, make, schema)
+def with_counts(docs: DataFrame, name: str, keep_text: bool = True) -> DataFrame:
+    """Add a struct of the counts of ``text``; only the texts go to Python."""
+    counted = docs.withColumn(name, of_text("text", lambda: _count, STATS_SQL))
+    return counted if keep_text else counted.drop("text")
 
 
 def base_failed(stats: str) -> Column:
