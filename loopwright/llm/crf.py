@@ -25,7 +25,7 @@ class ChainModel:
         labels: list[list[int]],
         allowed: np.ndarray,
         dimensions: int,
-        steps: int = 150,
+        steps: int = 80,
         rate: float = 0.5,
         penalty: float = 1e-3,
     ) -> ChainModel:
@@ -86,41 +86,6 @@ class ChainModel:
             pairs += rate * grad_pairs / np.sqrt(seen_pairs)
         return cls(w, pairs + barred)
 
-    def decode(self, sequences: list[list[list[int]]], together: int = 256) -> list[list[int]]:
-        """The best labels of each sequence of feature lists (Viterbi over batches of like length)."""
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-        out: list[list[int]] = [[] for _ in sequences]
-        for at in range(0, len(order), together):
-            part = [i for i in order[at : at + together] if sequences[i]]
-            if part:
-                for i, path in zip(part, self._decode([sequences[i] for i in part])):
-                    out[i] = path
-        return out
-
-    def _decode(self, sequences: list[list[list[int]]]) -> list[list[int]]:
-        k, count = len(self.pairs), len(sequences)
-        sizes = np.array([len(s) for s in sequences])
-        flat = np.array([i for s in sequences for f in s for i in f])
-        words = [len(f) for s in sequences for f in s]
-        emissions = np.add.reduceat(self.weights[flat], np.cumsum([0, *words])[:-1], axis=0)
-        emit = np.zeros((count, sizes.max(), k))
-        emit[np.arange(sizes.max())[None, :] < sizes[:, None]] = emissions
-        back = np.zeros((count, sizes.max(), k), dtype=np.int8)
-        best = emit[:, 0] + self.pairs[0]
-        for t in range(1, sizes.max()):
-            scores = best[:, :, None] + self.pairs
-            back[:, t] = scores.argmax(axis=1)
-            new = scores.max(axis=1) + emit[:, t]
-            best = np.where((t < sizes)[:, None], new, best)
-        ends = (best + self.pairs[:, 0]).argmax(axis=1)
-        out = []
-        for i, size in enumerate(sizes):
-            path = [int(ends[i])]
-            for t in range(size - 1, 0, -1):
-                path.append(int(back[i, t, path[-1]]))
-            out.append(path[::-1])
-        return out
-
     def best_paths(self, emissions: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
         """The best labels of sequences (each of one place at least) whose emissions lie end to end.
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from loopwright.llm.near_dedup import find_groups
 from loopwright.llm.packing import pack_documents
-from loopwright.llm.pii import spans_of, redacted, trained
+from loopwright.llm.pii import Field, redacted, spans_of, trained
 from loopwright.llm.quality_rules import judge
 from loopwright.llm.decontamination import words_of
 
@@ -36,7 +36,7 @@ def test_stages_keep_the_columns_and_decide(llm, sf_dir):
     rows = docs.collect()
     expected = {
         r["doc_id"]: redacted(r["text"], spans)
-        for r, (_, spans) in zip(rows, spans_of([r["text"] for r in rows], trained()))
+        for r, (_, spans) in zip(rows, spans_of([r["text"] for r in rows], Field(*trained())))
     }
     docs = stages["personal_data"](llm, docs, sf_dir).cache()
     found = docs.collect()
