@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopwright.llm.common import table
+from loopwright.session import new_shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,22 +31,19 @@ OLD_SHARDS, NEW_SHARDS, ROW_OVERHEAD = 20, 40, 16
 
 @query("op2_min_cost_resharding")
 def resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loopwright.llm.sharding import plan_shards
+    """The documents written as old shards, moved, and read from the files of the new ones."""
+    from loopwright.llm.sharding import reshard
 
     text = F.coalesce("text", F.lit(""))
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(OLD_SHARDS))
-        .cast("int")
-        .alias("old_shard"),
-    )
-    planned = plan_shards(rows, "old_shard", "size", ["doc_id", "text_crc32"], NEW_SHARDS)
-    return planned.select(
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(OLD_SHARDS))
+    found = reshard(
+        table(spark, sf_dir, "documents"), old, F.octet_length(text) + ROW_OVERHEAD,
+        new_shared_path(spark, "shards"), NEW_SHARDS,
+    )
+    return found.select(
         "doc_id",
         "size",
-        "text_crc32",
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
         "slot",

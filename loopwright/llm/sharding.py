@@ -1,24 +1,26 @@
-"""Resharding at least cost: which byte ranges of the old shards go to which new shards.
+"""Resharding at least cost: which blocks of the old shards' files go to which new shards.
 
 The plan is a minimum-cost flow between old shard sizes and new capacities.  A byte that stays
 costs nothing, a moved one costs what the cost table says (1 by default), so the flow moves the
-fewest bytes.  The driver sees one number per shard; rows are placed by distributed running sums.
+fewest bytes.  Rows keep the order of their shard's files, so each shard is cut at a few rows; only
+files that a cut divides or that change their shard are written again.  The driver sees one number a
+file, and the rows that are large against a capacity, of which there are few.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loopwright.llm.common import stored
+from loopwright.session import broadcast_if_small
 
-# Rows of one block: the unit in which running sums are taken.
-BLOCK_ROWS = 20_000
-MAX_BLOCKS = 1 << 16
-# Rows over this share of a capacity are placed first, by size; so cuts fall among small rows.
+# Rows over this share of a capacity are placed one by one, the largest first; so cuts fall among
+# small rows.  A new shard has fewer of them than the share's inverse.
 LARGE_SHARE = 1 / 64
 
 
@@ -91,163 +93,326 @@ def least_cost_flow(
     return flow
 
 
-def _ranges(flow: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each old shard the ends of its byte ranges and the shards they go to."""
-    found = []
-    for row in flow:
-        ends, at = [], 0
-        for j in np.flatnonzero(row):
-            at += int(row[j])
-            ends.append((at, int(j)))
-        found.append(ends)
+Flow = list[tuple[int, int, int]]  # from, to, amount
+
+
+def unit_cost_flow(supply: Sequence[int], demand: Sequence[int]) -> Flow:
+    """``least_cost_flow`` for the costs of ``move_costs``, without a table of all pairs.
+
+    What can stay stays: those arcs cost nothing.  All others cost the same, so the surpluses fill the
+    gaps in the order of their numbers.
+    """
+    if sum(supply) != sum(demand):
+        raise ValueError(f"sizes add up to {sum(supply)}, capacities to {sum(demand)}")
+    stay = [min(s, d) for s, d in zip(supply, demand)]
+    kept = [*stay, *[0] * (max(len(supply), len(demand)) - len(stay))]
+    found = [(i, i, n) for i, n in enumerate(stay) if n]
+    gaps = [[j, d - kept[j]] for j, d in enumerate(demand) if d > kept[j]]
+    at = 0
+    for i, s in enumerate(supply):
+        left = s - kept[i]
+        while left:
+            take = min(left, gaps[at][1])
+            found.append((i, gaps[at][0], take))
+            left -= take
+            gaps[at][1] -= take
+            at += not gaps[at][1]
+    return sorted(found)
+
+
+def flow_of(supply: Sequence[int], demand: Sequence[int], costs: np.ndarray | None) -> Flow:
+    if costs is None:
+        return unit_cost_flow(supply, demand)
+    table = least_cost_flow(supply, demand, costs)
+    return [(int(i), int(j), int(table[i, j])) for i, j in zip(*np.nonzero(table))]
+
+
+# ---- shards as files -------------------------------------------------------------------------
+
+# Columns that the files of a shard have besides the rows' own, and those made while they are read.
+SHARD, SIZE = "_shard", "_shard_bytes"
+_FILE, _ROW, _FIRST = "_shard_file", "_shard_row", "_shard_first"
+_PIECES, _LARGE = "_shard_pieces", "_shard_large"
+_TAKEN = {SHARD, SIZE, _FILE, _ROW, _FIRST, _PIECES, _LARGE}
+
+
+@dataclass(frozen=True)
+class Manifest:
+    """Which files make up each shard, in order, with their rows: ``{shard: [(path, rows)]}``."""
+
+    files: Mapping[int, list[tuple[str, int]]]
+
+    def paths(self) -> list[str]:
+        return [path for files in self.files.values() for path, _ in files]
+
+
+def _listed(rows: DataFrame) -> dict[int, list[tuple[str, int]]]:
+    """The files of a table by shard, sorted by name, with their rows."""
+    found: dict[int, list[tuple[str, int]]] = {}
+    counted = rows.groupBy(SHARD, F.col("_metadata.file_path").alias("file")).count()
+    for row in sorted(counted.collect(), key=lambda r: (r[SHARD], r["file"])):  # a row a file
+        found.setdefault(row[SHARD], []).append((row["file"], row["count"]))
     return found
 
 
-def _by_old(values: Sequence[int]) -> Column:
-    return F.element_at(F.lit([int(x) for x in values]), F.col("_old") + 1)
+def write_shards(docs: DataFrame, shard: Column, size: Column, folder: str) -> Manifest:
+    """Write the rows by shard (0-based, NULL counts as 0), with their sizes (NULL: 0).
+
+    Each task writes its own rows of each shard: nothing is shuffled.
+    """
+    if taken := _TAKEN & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns of these names are the shards' own: {sorted(taken)}")
+    number = F.coalesce(shard, F.lit(0)).cast("int")
+    rows = docs.select("*", number.alias(SHARD), F.coalesce(size, F.lit(0)).cast("long").alias(SIZE))
+    rows.write.partitionBy(SHARD).parquet(folder)
+    written = docs.sparkSession.read.schema(rows.schema).parquet(folder)
+    found = _listed(written)
+    if found and min(found) < 0:
+        raise ValueError("shard numbers start at 0")
+    return Manifest(found)
+
+
+def read_shards(spark: SparkSession, manifest: Manifest, schema) -> DataFrame:
+    """The rows of all shards with ``shard`` and ``slot``: their place in the shard, gapless from 0.
+
+    A slot is the number of rows in the shard's earlier files and the row's place in its file.
+    """
+    paths = manifest.paths()
+    table = []
+    for shard, files in manifest.files.items():
+        at = 0
+        for path, rows in files:
+            table.append((path, shard, at))
+            at += rows
+    names = [f.name for f in schema.fields]
+    if not paths:
+        empty = spark.createDataFrame([], schema)
+        return empty.select(*names, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    places = spark.createDataFrame(table, f"{_FILE} string, shard int, {_FIRST} long")
+    rows = spark.read.schema(schema).parquet(*paths).select(
+        *names, F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW)
+    )
+    # A row a file.
+    found = rows.join(broadcast_if_small(stored(places, "shard-files")), _FILE)
+    return found.select(*names, "shard", (F.col(_FIRST) + F.col(_ROW)).alias("slot"))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Block transfers: for each file the rows at which a new target begins, and large rows' targets."""
+
+    pieces: Mapping[str, list[tuple[int, int]]]  # file: (first row, new shard)
+    large: Mapping[str, list[tuple[int, int]]]  # file: (row, new shard)
+    old: Mapping[str, int]
 
+    def unchanged(self, path: str) -> bool:
+        """Whether all rows of a file stay in their shard."""
+        targets = {s for _, s in self.pieces[path]} | {s for _, s in self.large.get(path, [])}
+        return targets <= {self.old[path]}
 
-def _target(ranges: list[list[tuple[int, int]]], position: Column) -> Column:
-    """The shard of the range that a position of an old shard lies in; the last one beyond."""
-    ends = F.lit([[float(e) for e, _ in r] or [0.0] for r in ranges])
-    shards = F.lit([[s for _, s in r] or [0] for r in ranges])
-    own = F.element_at(ends, F.col("_old") + 1)
-    passed = F.size(F.filter(own, lambda end: end <= position))
-    return F.element_at(
-        F.element_at(shards, F.col("_old") + 1), F.least(passed + 1, F.size(own))
-    ).cast("int")
+
+def _cut_rows(rows: DataFrame, cuts: list[tuple[str, int, bool]]) -> list[tuple[int, int]]:
+    """For each cut (file, bytes, by middles) the row it falls at and the bytes of the rows before it.
+
+    Only the files with cuts are read, and of them sizes alone.
+    """
+    if not cuts:
+        return []
+    spark = rows.sparkSession
+    asked = [(i, path, float(at), middle) for i, (path, at, middle) in enumerate(cuts)]
+    table = spark.createDataFrame(asked, "cut int, file string, at double, middle boolean")
+    before = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.filter(F.col("file").isin(sorted({c[0] for c in cuts}))).withColumn(
+        "_end", F.sum("size").over(before)
+    )
+    # As many rows as there are cuts: fewer than old and new shards together.
+    met = ends.join(F.broadcast(table), "file")
+    inside = F.when(F.col("middle"), F.col("_end") - F.col("size") / 2 < F.col("at")).otherwise(
+        F.col("_end") <= F.col("at")
+    )
+    found = met.groupBy("cut").agg(
+        F.max(F.when(inside, F.col("row") + 1)).alias("row"), F.max(F.when(inside, F.col("_end"))).alias("sum")
+    )
+    by_cut = {r["cut"]: (r["row"] or 0, r["sum"] or 0) for r in found.collect()}
+    return [by_cut[i] for i in range(len(cuts))]
 
 
 def plan_shards(
-    docs: DataFrame,
-    old_shard: str,
-    size: str,
-    order: Sequence[str],
-    new_shards: int | None = None,
-    capacities: Sequence[int] | None = None,
-    costs: np.ndarray | None = None,
-) -> DataFrame:
-    """Place every row in a new shard: adds ``shard``, ``slot`` and ``moved``.
-
-    ``old_shard`` holds 0-based shard numbers (NULL counts as 0), ``size`` the bytes of a row
-    (NULL: 0).  Capacities default to equal ones; they must add up to all bytes.  Rows of a
-    shard are taken in an order drawn from the ``order`` columns, large ones first; a row goes where its middle goes, so each shard is off its capacity
-    by half a row at most at each of its cuts.  Rows that stay fit the capacity wholly.  Slots are
-    gapless from 0 in each shard.
-
-    Rows with equal ``order`` values and sizes are interchangeable; an empty table stays empty;
-    columns of ``docs`` with the names of the new ones give way to them.
-    Pass narrow rows: everything in ``docs`` is shuffled.  No shard is gathered: running sums go
-    over blocks of about 20,000 rows, then over the rows of a block.
+    rows: DataFrame, manifest: Manifest, new_shards: int | None = None,
+    capacities: Sequence[int] | None = None, costs: np.ndarray | None = None,
+) -> Plan:
+    """Solve which blocks of the shards' files go where.
+
+    ``rows`` is the written table (its shard and size columns are read).  Capacities default to
+    equal ones; they must add up to all bytes.  Large rows come first in a shard, then the others in the
+    order of the files.  First what stays, in whole rows; then the rest flows to the room that is
+    really left, each row to where its middle goes: a shard is off by half a small row at each cut.
     """
-    names = [c for c in docs.columns if c not in ("shard", "slot", "moved")]
-    rows = stored(
-        docs.select(
-            F.struct(*names).alias("_row"),
-            F.coalesce(F.col(old_shard), F.lit(0)).cast("int").alias("_old"),
-            F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"),
-            F.struct(*order).alias("_key"),
-            F.xxhash64(*order).alias("_draw"),
-        ),
-        "shard-rows",
+    narrow = rows.select(
+        F.col(SHARD).alias("old"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row"), F.col(SIZE).alias("size"),
     )
-    totals = rows.groupBy("_old").agg(F.sum("_size"), F.count("*")).collect()
-    if any(r["_old"] < 0 for r in totals):
-        raise ValueError("shard numbers start at 0")
-    if not totals:
-        empty = [F.lit(None).cast(k).alias(c) for c, k in
-                 (("shard", "int"), ("slot", "long"), ("moved", "boolean"))]
-        return docs.select(*names, *empty)
-    old = 1 + max(r["_old"] for r in totals)
-    supply, most = [0] * old, max(r[2] for r in totals)
-    for r in totals:
-        supply[r["_old"]] = r[1]
+    sums = {r["old"]: r["n"] for r in narrow.groupBy("old").agg(F.sum("size").alias("n")).collect()}
+    count = 1 + max(manifest.files, default=-1)
+    supply = [sums.get(i) or 0 for i in range(count)]
     if capacities is None:
         capacities = even_capacities(sum(supply), new_shards)
     new = len(capacities)
-    costs = move_costs(old, new) if costs is None else costs
-    blocks = min(MAX_BLOCKS, max(16, -(-most // BLOCK_ROWS)))
-
-    # Where each row begins in its old shard: the blocks before it, then the rows before it.
-    # Large rows are few (under 64 a new shard) and form a block of their own before the others.
-    large = F.col("_size") > F.lit(min(capacities) * LARGE_SHARE)
-    rows = rows.withColumn(
-        "_block", F.when(large, F.lit(-1)).otherwise(F.pmod("_draw", F.lit(blocks)))
-    ).withColumn("_rank", F.when(large, -F.col("_size")).otherwise(0))
-    earlier = Window.partitionBy("_old").orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = rows.groupBy("_old", "_block").agg(F.sum("_size").alias("_sum")).select(
-        "_old", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start")
-    )
-    inside = Window.partitionBy("_old", "_block").orderBy("_rank", "_draw", "_key", "_size")
-    placed = stored(
-        rows.join(starts, ["_old", "_block"]).withColumn(
-            "_at",
-            F.col("_start") - F.col("_size")
-            + F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-        ),
-        "shard-positions",
-    )
+    large_size = sum(supply) / max(1, new) * LARGE_SHARE
+    is_large = F.col("size") > F.lit(large_size)
+    # At most the share's inverse for each new shard.
+    large = sorted((r["old"], -r["size"], r["file"], r["row"]) for r in narrow.filter(is_large).collect())
+    small = narrow.filter(~is_large)
+    totals = {r["file"]: r["n"] for r in small.groupBy("file").agg(F.sum("size").alias("n")).collect()}
+    old_of = {path: i for i, files in manifest.files.items() for path, _ in files}
+
+    # Where each file's small rows begin in its shard, after the shard's large rows.
+    ahead, starts = [0] * count, {}
+    for i, negative, _, _ in large:
+        ahead[i] -= negative
+    for i, files in manifest.files.items():
+        at = ahead[i]
+        for path, _ in files:
+            starts[path] = at
+            at += totals.get(path, 0)
+
+    def file_at(i: int, position: float) -> str | None:
+        """The file of a shard whose small rows a position lies in."""
+        for path, _ in manifest.files.get(i, []):
+            if starts[path] <= position < starts[path] + totals.get(path, 0):
+                return path
+        return None
+
+    stay = [0] * count
+    for i, j, amount in flow_of(supply, capacities, costs):
+        if i == j:
+            stay[i] = amount
+    kept, stays, at = [0] * count, {}, [0] * count
+    for i, negative, path, row in large:
+        at[i] -= negative
+        if at[i] <= stay[i]:
+            kept[i] = at[i]
+            stays[path, row] = True
+    # The first row of each shard that does not stay: its file and place there.
+    cut_files = {i: file_at(i, stay[i]) for i in range(count) if stay[i] > ahead[i]}
+    asked = [(i, path) for i, path in cut_files.items() if path is not None]
+    found = _cut_rows(small, [(path, stay[i] - starts[path], False) for i, path in asked])
+    borders: dict[int, tuple[str | None, int]] = {}
+    for i in range(count):
+        if i in cut_files and cut_files[i] is None:
+            kept[i], borders[i] = supply[i], (None, 0)  # all of it stays
+    for (i, path), (row, inside) in zip(asked, found):
+        kept[i], borders[i] = starts[path] + inside, (path, row)
 
-    # First what stays, in whole rows; then the rest flows to the room that is really left.
-    flow = least_cost_flow(supply, capacities, costs)
-    stay = [int(flow[i, i]) if i < new else 0 for i in range(old)]
-    stays = F.col("_at") + F.col("_size") <= _by_old(stay)
-    kept = [0] * old
-    for r in placed.filter(stays).groupBy("_old").agg(F.sum("_size")).collect():
-        kept[r[0]] = r[1]
     rest = [s - k for s, k in zip(supply, kept)]
-    room = [c - (kept[j] if j < old else 0) for j, c in enumerate(capacities)]
-    flow = least_cost_flow(rest, room, costs)
-    shard = F.when(stays & (F.col("_old") < new), F.col("_old")).otherwise(
-        _target(_ranges(flow), F.col("_at") + F.col("_size") / 2 - _by_old(kept))
-    )
-    placed = placed.withColumn("shard", shard.cast("int"))
+    room = [c - (kept[j] if j < count else 0) for j, c in enumerate(capacities)]
+    flow = flow_of(rest, room, costs)
+    targets: dict[int, list[tuple[int, int]]] = {}
+    for i, j, amount in flow:
+        end = targets[i][-1][0] if i in targets else kept[i]
+        targets.setdefault(i, []).append((end + amount, j))
 
-    # Slots: the rows of earlier blocks, then those before in the block.
-    before = Window.partitionBy("shard").orderBy("_old", "_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    firsts = placed.groupBy("_old", "_block", "shard").agg(F.count("*").alias("_n")).select(
-        "_old", "_block", "shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")
+    def target(i: int, middle: float) -> int:
+        for end, j in targets.get(i, []):
+            if middle < end:
+                return j
+        return targets[i][-1][1] if i in targets else min(i, new - 1)
+
+    placed: dict[str, list[tuple[int, int]]] = {}
+    at = [0] * count
+    for i, negative, path, row in large:
+        # Large rows that do not stay follow what is kept in the flow's order.
+        goes = i if (path, row) in stays else target(i, max(kept[i], at[i]) - negative / 2)
+        at[i] -= negative
+        placed.setdefault(path, []).append((row, goes))
+
+    cuts: list[tuple[int, str, float, int]] = []
+    pieces: dict[str, list[tuple[int, int]]] = {}
+    for i, files in manifest.files.items():
+        border, passed = borders.get(i, (files[0][0] if files else None, 0)), False
+        for path, _ in files:
+            low, high = starts[path], starts[path] + totals.get(path, 0)
+            first = border[1] if path == border[0] else 0
+            if border[0] is None or (not passed and path != border[0]):
+                pieces[path] = [(0, i)]
+                continue
+            passed = True
+            pieces[path] = [(0, i)] if first else []
+            begin = max(low, kept[i]) if path == border[0] else low
+            pieces[path].append((first, target(i, begin + 0.5)))
+            ends = targets.get(i, [])
+            cuts += [(i, path, e - low, j) for (e, _), (_, j) in zip(ends, ends[1:]) if begin < e < high]
+    for (i, path, _, j), (row, _) in zip(cuts, _cut_rows(small, [(p, o, True) for _, p, o, _ in cuts])):
+        pieces[path].append((row, j))
+    for path, found in pieces.items():
+        found.sort(key=lambda p: p[0])
+    return Plan(pieces, placed, old_of)
+
+
+def rewrite_affected(rows: DataFrame, manifest: Manifest, plan: Plan, folder: str) -> Manifest:
+    """Write the rows of the files that change, each to its new shard; all other files stay.
+
+    ``rows`` is the written table.  Each task writes its own rows of each shard; nothing is
+    shuffled and the old files are not touched, so a failed run can be repeated with another
+    folder.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+    kept: dict[int, list[tuple[str, int]]] = {}
+    changed = []
+    for shard, files in manifest.files.items():
+        for path, n in files:
+            if plan.unchanged(path):
+                kept.setdefault(shard, []).append((path, n))
+            else:
+                changed.append(path)
+    if not changed:
+        return manifest
+    table = [(p, plan.pieces[p], plan.large.get(p, [])) for p in changed]
+    pair = "array<struct<row:long,shard:int>>"
+    targets = spark.createDataFrame(table, f"{_FILE} string, {_PIECES} {pair}, {_LARGE} {pair}")
+    source = spark.read.schema(schema).parquet(*changed).select(
+        *[c for c in schema.names if c != SHARD],
+        F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW),
     )
-    within = Window.partitionBy("_old", "_block", "shard").orderBy("_at", "_draw", "_key")
-    return (
-        placed.join(firsts, ["_old", "_block", "shard"])
-        .withColumn("slot", (F.col("_first") + F.row_number().over(within) - 1).cast("long"))
-        .withColumn("moved", F.col("_old") != F.col("shard"))
-        .select("_row.*", "shard", "slot", "moved")
+    # A row a file.
+    met = source.join(broadcast_if_small(stored(targets, "shard-targets")), _FILE)
+    own = F.filter(_LARGE, lambda x: x["row"] == F.col(_ROW))
+    piece = F.filter(_PIECES, lambda x: x["row"] <= F.col(_ROW))
+    goes = F.when(F.size(own) > 0, F.get(own, F.lit(0))["shard"]).otherwise(
+        F.element_at(piece, -1)["shard"]
     )
+    named = met.withColumn(SHARD, goes).select(*schema.names)
+    named.write.partitionBy(SHARD).parquet(folder)
+    for shard, files in _listed(spark.read.schema(schema).parquet(folder)).items():
+        kept.setdefault(shard, []).extend(files)
+    return Manifest(kept)
 
 
-def rewrite_affected(
-    plan: DataFrame, rows: DataFrame, key: str, manifest: dict[int, str], folder: str
-) -> dict[int, str]:
-    """Write the files of the shards that lose or gain rows; the others keep their files.
+def reshard(
+    docs: DataFrame, old_shard: Column, size: Column, folder: str, new_shards: int,
+    capacities: Sequence[int] | None = None, costs: np.ndarray | None = None,
+) -> DataFrame:
+    """Write the rows as old shards, rewrite what must move, and read the new shards back.
 
-    ``plan`` has ``key`` (unique), the old shard in ``old_shard``, and ``shard``, ``slot``;
-    ``rows`` the full rows by ``key``.  ``manifest`` gives each old shard's folder.  Returns the
-    new manifest.  A shard is written by many tasks; the old files are not touched, so a
-    failed run can be repeated with another folder.
+    Adds ``old_shard``, ``size``, ``shard``, ``slot`` and ``moved`` to the columns of ``docs``; columns
+    of those names give way.  Repeated rows and NULLs are rows like others (see ``write_shards``);
+    an empty table stays empty; rows of size 0 go with their neighbours.
     """
-    moved = plan.filter(F.col("old_shard") != F.col("shard"))
-    changed = sorted(
-        r[0]
-        for r in moved.select(F.explode(F.array("old_shard", "shard")).alias("s"))
-        .distinct()
-        .collect()
+    spark = docs.sparkSession
+    made = ("old_shard", "size", "shard", "slot", "moved")
+    names = [c for c in docs.columns if c.lower() not in made]
+    # Under the writer's own names nothing clashes.
+    packed = docs.select(
+        F.struct(*names).alias("_document"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("_old"), size.alias("_size")
     )
-    shards = sorted(r[0] for r in plan.select("shard").distinct().collect())
-    changed = [s for s in shards if s in set(changed) or s not in manifest]
-    wanted = plan.filter(F.col("shard").isin(changed)).select(key, "shard", "slot")
-    (
-        rows.join(wanted, key)
-        .repartition(F.col("shard"), F.floor(F.col("slot") / 100_000))
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(folder)
+    manifest = write_shards(packed, F.col("_old"), F.col("_size"), f"{folder}/old")
+    schema = packed.select("*", F.lit(0).alias(SHARD), F.lit(0).cast("long").alias(SIZE)).schema
+    rows = spark.read.schema(schema).parquet(f"{folder}/old")
+    if manifest.files:
+        plan = plan_shards(rows, manifest, new_shards, capacities, costs)
+        manifest = rewrite_affected(rows, manifest, plan, f"{folder}/new")
+    found = read_shards(spark, manifest, schema)
+    return found.select(
+        "_document.*", F.col("_old").alias("old_shard"), F.col(SIZE).alias("size"), "shard", "slot",
+        (F.col("_old") != F.col("shard")).alias("moved"),
     )
-    return {
-        s: f"{folder}/shard={s}" if s in set(changed) else manifest[s] for s in shards
-    }
