@@ -1,13 +1,15 @@
 """Masked pseudo-likelihood: a small network predicts every word from both sides.
 
 Words (white-space cut, A-Z in lower case) are numbered by their counts over the corpus; rarer
-ones share hashed numbers.  The network takes the two words before and the two after a place and
-predicts the word there, first its class, then its member of the class.  A document's score is
-the sum of the log-probabilities of all its words, each given its neighbours.
-
-Training is data-parallel: a fixed share of all places of the corpus is written out, shuffled over
-trainers, and each round every trainer goes through its windows from the same weights; the
-trainers' weights are averaged by distributed sums.
+ones share numbers.  The network takes the two words before and the two after a place and
+predicts the number there, first its class, then its member of the class.  Behind a shared number
+stands a row of cells with the counts of the words in them over the whole corpus: a rare word's chance is
+that of its number times the share of its cell.  A document's score is the sum of the log-probabilities of
+all its words, each given its neighbours.  Words that fall into one cell are not told apart.
+
+Training is data-parallel and goes over every place of the corpus once: each round takes a part
+of the documents, every trainer goes through those of its own partitions from the same weights, and
+the trainers' weights are averaged by distributed sums.  Nothing of the texts is written.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ CLASSES, MEMBERS = 32, 32
 NUMBERS = CLASSES * MEMBERS
 # Numbers of frequent words; the rest is shared by all other words.
 FREQUENT = 768
+# Cells that the other words fall into, by hash; each shared number has as many.
+CELLS = 1 << 20
 SIDE = 2
 WIDTH, HIDDEN = 16, 24
-# One place in so many is trained on.
-EVERY = 16
-ROUNDS, MINIBATCH, RATE = 2, 256, 0.08
-# Trainers of a round at most, and the steps each should have at least.
-MAX_TRAINERS, LEAST_STEPS = 256, 64
+ROUNDS, MINIBATCH, RATE = 2, 4096, 0.08
+# Windows that a trainer shuffles, and the steps each trainer of a round should have at least.
+SHUFFLED, LEAST_STEPS = 1 << 17, 64
 PAD = NUMBERS
 CHUNK = 1 << 14
 
@@ -98,8 +100,9 @@ class Trainer:
         """One step on windows of word numbers, the middle one being the target; the mean loss."""
         w, n = self.w, len(windows)
         around, target = np.delete(windows, SIDE, axis=1), windows[:, SIDE]
-        known = w["words"][around]
-        hidden = np.tanh(np.einsum("npw,pwh->nh", known, w["mix"], optimize=True) + w["bias"])
+        known = w["words"][around].reshape(n, -1)
+        mix = w["mix"].reshape(-1, HIDDEN)
+        hidden = np.tanh(known @ mix + w["bias"])
         grad = {k: np.zeros_like(v) for k, v in w.items()}
         classes = target // MEMBERS
         logs = _log_softmax(hidden @ w["classes"] + w["class_bias"])
@@ -109,21 +112,23 @@ class Trainer:
         grad["classes"], grad["class_bias"] = hidden.T @ slope, slope.sum(axis=0)
         back = slope @ w["classes"].T
         for c, at in _by_class(target):
-            own = target[at] % MEMBERS
-            logs = _log_softmax(hidden[at] @ w["members"][c] + w["member_bias"][c])
+            own, mine = target[at] % MEMBERS, hidden[at]
+            logs = _log_softmax(mine @ w["members"][c] + w["member_bias"][c])
             loss -= logs[np.arange(len(at)), own].sum()
             slope = np.exp(logs)
             slope[np.arange(len(at)), own] -= 1
-            grad["members"][c], grad["member_bias"][c] = hidden[at].T @ slope, slope.sum(axis=0)
+            grad["members"][c], grad["member_bias"][c] = mine.T @ slope, slope.sum(axis=0)
             back[at] += slope @ w["members"][c].T
         back *= 1 - hidden * hidden
         grad["bias"] = back.sum(axis=0)
-        grad["mix"] = np.einsum("npw,nh->pwh", known, back, optimize=True)
-        pulled = np.einsum("nh,pwh->npw", back, w["mix"], optimize=True).reshape(-1, WIDTH)
-        flat_ids = around.ravel()
-        order = np.argsort(flat_ids, kind="stable")
-        ids, firsts = np.unique(flat_ids[order], return_index=True)
-        grad["words"][ids] = np.add.reduceat(pulled[order], firsts, axis=0)
+        grad["mix"] = (known.T @ back).reshape(w["mix"].shape)
+        pulled = (back @ mix.T).reshape(-1, WIDTH)
+        # Sixteen bits sort by counting.
+        ids = around.ravel().astype(np.int16)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        firsts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        grad["words"][ids[firsts]] = np.add.reduceat(pulled[order], firsts, axis=0)
         for k, g in grad.items():
             g /= n
             self.seen[k] += g * g
@@ -177,19 +182,41 @@ def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Numbers of hashed words: the frequent ones have their own, others share."""
+    """Numbers of hashed words: the frequent ones have their own, others share.
+
+    ``rare`` gives each cell's log share of its number's words.
+    """
 
-    def __init__(self, frequent: list[int]):
+    def __init__(self, frequent: list[int], rare: np.ndarray | None = None):
         hashes = np.array(frequent, dtype=np.int64).view(np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], order.astype(np.int16)
+        self.rare = np.zeros(CELLS, dtype=np.float32) if rare is None else rare
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        shared = (FREQUENT + mixed(hashes) % np.uint64(NUMBERS - FREQUENT)).astype(np.int16)
+    def _own(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have a number of their own, and those numbers."""
         if not len(self.hashes):
-            return shared
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int16)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], shared)
+        return self.hashes[at] == hashes, self.numbers[at]
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        own, numbers = self._own(hashes)
+        return np.where(own, numbers, number_of(cell_of(hashes)))
+
+    def inside(self, hashes: np.ndarray) -> np.ndarray:
+        """The log share of each word's cell in its shared number; 0 for words with one of their own."""
+        own, _ = self._own(hashes)
+        return np.where(own, np.float32(0), self.rare[cell_of(hashes)])
+
+
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    return (mixed(hashes) % np.uint64(CELLS)).astype(np.int64)
+
+
+def number_of(cells: np.ndarray) -> np.ndarray:
+    """The shared number that a cell stands behind."""
+    return (FREQUENT + cells % (NUMBERS - FREQUENT)).astype(np.int16)
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[list[bytes | None]]:
@@ -206,8 +233,8 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[list[bytes | None]]:
         yield part
 
 
-def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[int]:
-    """Hashes of the most frequent words over all documents, the most frequent first."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word`` (a hash) and ``n`` over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,58 +245,70 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[int]:
                     names=["word", "n"],
                 )
 
-    found = (
-        docs.select("text")
-        .mapInArrow(run, "word long, n long")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word")
-        .limit(most)
-    )
-    return [r["word"] for r in found.collect()]
-
-
-def training_windows(docs: DataFrame, vocabulary: Vocabulary, every: int = EVERY) -> DataFrame:
-    """Windows around one place in ``every`` of all documents, shuffled; ``key`` and ``windows``."""
+    counted = docs.select("text").mapInArrow(run, "word long, n long")
+    return stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _texts(batch, 0):
-                hashes, counts = word_hashes(part)
-                windows = contexts(vocabulary.ids(hashes), counts)
-                place = np.arange(len(hashes), dtype=np.uint64)
-                drawn = mixed(hashes + place * np.uint64(0x9E3779B97F4A7C15))
-                chosen = windows[drawn % np.uint64(every) == 0]
-                # Rows of a few windows each, dealt out by a hash of the first one's draw.
-                cuts = np.array_split(chosen, max(1, len(chosen) // 64))
-                keys = mixed(np.arange(len(cuts), dtype=np.uint64) + drawn[:1].sum(dtype=np.uint64))
-                yield pa.record_batch(
-                    [
-                        pa.array(keys.view(np.int64)),
-                        pa.array([c.tobytes() for c in cuts], type=pa.binary()),
-                    ],
-                    names=["key", "windows"],
-                )
 
-    rows = docs.select("text").mapInArrow(run, "key long, windows binary")
-    return stored(rows.repartition("key"), "windows")
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list[int]:
+    """Hashes of the most frequent words over all documents, the most frequent first."""
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
-def trained_round(windows: DataFrame, weights: Weights, part: int, parts: int) -> Weights:
-    """Weights after one round: the trainers' weights, averaged by the windows each has seen."""
+def rare_shares(counts: DataFrame, frequent: list[int]) -> np.ndarray:
+    """Log share of each cell among the words behind its number, each cell counting one more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, seen, held = Trainer(weights), 0, np.zeros((0, 2 * SIDE + 1), dtype=np.int16)
+        known = np.sort(np.array(frequent, dtype=np.int64))
         for batch in batches:
-            raw = b"".join(batch.column(0).to_pylist())
-            new = np.frombuffer(raw, dtype=np.int16).reshape(-1, 2 * SIDE + 1)
-            held = np.concatenate([held, new])
-            while len(held) >= MINIBATCH:
-                trainer.step(held[:MINIBATCH].astype(np.int64))
-                seen, held = seen + MINIBATCH, held[MINIBATCH:]
-        if len(held):
-            trainer.step(held.astype(np.int64))
-            seen += len(held)
+            words, n = batch.column(0).to_numpy(), batch.column(1)
+            rest = np.flatnonzero(~np.isin(words, known))
+            cells = cell_of(words[rest].view(np.uint64))
+            yield pa.record_batch([pa.array(cells), n.take(pa.array(rest))], names=["cell", "n"])
+
+    cells = counts.select("word", "n").mapInArrow(run, "cell long, n long")
+    # One row a cell at most, whatever the corpus.
+    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    held = np.ones(CELLS)
+    held[found["cell"].to_numpy(dtype=np.int64)] += found["n"].to_numpy(dtype=np.float64)
+    numbers = number_of(np.arange(CELLS)).astype(np.int64)
+    totals = np.bincount(numbers, weights=held, minlength=NUMBERS)
+    return (np.log(held) - np.log(totals[numbers])).astype(np.float32)
+
+
+def _windows(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[np.ndarray]:
+    """Minibatches of the windows around all places, shuffled in blocks of bounded size."""
+    held, size, number = [], 0, 0
+
+    def shuffled() -> Iterator[np.ndarray]:
+        whole = np.concatenate(held)
+        whole = whole[np.random.default_rng(number).permutation(len(whole))]
+        for at in range(0, len(whole), MINIBATCH):
+            yield whole[at : at + MINIBATCH]
+
+    for batch in batches:
+        for part in _texts(batch, 0):
+            hashes, counts = word_hashes(part)
+            if len(hashes):
+                held.append(contexts(vocabulary.ids(hashes), counts))
+                size += len(hashes)
+            if size >= SHUFFLED:
+                yield from shuffled()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield from shuffled()
+
+
+def trained_round(docs: DataFrame, vocabulary: Vocabulary, weights: Weights, places: int) -> Weights:
+    """Weights after one round: the trainers' weights, averaged by the windows each has seen.
+
+    ``places`` is about how many places the documents have; few places get few trainers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, seen = Trainer(weights), 0
+        for windows in _windows(batches, vocabulary):
+            trainer.step(windows)
+            seen += len(windows)
         if seen:
             values = flat(trainer.w).astype(np.float64) * seen
             yield pa.record_batch(
@@ -281,12 +320,10 @@ def trained_round(windows: DataFrame, weights: Weights, part: int, parts: int) -
                 names=["place", "value", "seen"],
             )
 
-    own = windows.filter(F.pmod(F.col("key"), F.lit(parts)) == part).select("windows")
-    size = 2 * (2 * SIDE + 1)
-    held = own.agg(F.sum(F.octet_length("windows"))).first()[0] or 0
-    many = max(1, min(MAX_TRAINERS, held // (size * MINIBATCH * LEAST_STEPS)))
+    many = max(1, places // (MINIBATCH * LEAST_STEPS))
     rows = (
-        own.coalesce(many)
+        docs.select("text")
+        .coalesce(many)
         .mapInArrow(run, "place long, value double, seen long")
         .groupBy("place")
         .agg((F.sum("value") / F.sum("seen")).alias("value"))
@@ -296,14 +333,16 @@ def trained_round(windows: DataFrame, weights: Weights, part: int, parts: int) -
     return unflat(rows["value"].to_numpy()) if len(rows) else weights
 
 
-def train(
-    docs: DataFrame, rounds: int = ROUNDS, every: int = EVERY
-) -> tuple[Vocabulary, Weights]:
-    """The vocabulary and the weights after so many rounds over parts of the windows."""
-    vocabulary = Vocabulary(frequent_words(docs))
-    windows, weights = training_windows(docs, vocabulary, every), first_weights()
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Weights]:
+    """The vocabulary, and the weights after so many rounds over parts of the documents."""
+    counts = word_counts(docs)
+    frequent = frequent_words(counts)
+    vocabulary = Vocabulary(frequent, rare_shares(counts, frequent))
+    places = counts.agg(F.sum("n")).first()[0] or 0
+    weights = first_weights()
     for part in range(rounds):
-        weights = trained_round(windows, weights, part, rounds)
+        own = docs.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == part)
+        weights = trained_round(own, vocabulary, weights, places // rounds)
     return vocabulary, weights
 
 
@@ -314,14 +353,22 @@ def score(docs: DataFrame, vocabulary: Vocabulary, weights: Weights) -> DataFram
     rows get equal answers; an empty table gives no rows; other columns are ignored.
     """
 
+    given = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
+
     def make():
+        vocabulary, weights = given.value
         scorer = Scorer(weights)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sums, tokens = [], []
             for part in _texts(batch, 1):
                 hashes, counts = word_hashes(part)
-                sums.append(scorer.sums(vocabulary.ids(hashes), counts))
+                inside = np.bincount(
+                    np.repeat(np.arange(len(counts)), counts),
+                    weights=vocabulary.inside(hashes),
+                    minlength=len(counts),
+                )
+                sums.append(scorer.sums(vocabulary.ids(hashes), counts) + inside)
                 tokens.append(counts)
             total = np.concatenate(sums) if sums else np.zeros(0)
             n = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int64)
@@ -346,4 +393,5 @@ def score(docs: DataFrame, vocabulary: Vocabulary, weights: Weights) -> DataFram
 
 
 def train_and_score(docs: DataFrame) -> DataFrame:
+    """Scores of all documents under the model trained on all of them (see ``score``)."""
     return score(docs, *train(docs))
