@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: documents have labels, sentences get scores.
 
 A sentence's score is a logistic function of the sum of its words' values, and a word's value is
-the sum of the weights of its hashed pieces (the word and its letter n-grams).  A document is
+the sum of the weights of its pieces (the word and its letter n-grams).  Few pieces have a weight: all
+places where one of them stands are found by one automaton over the text.  A document is
 toxic if any sentence is: its score is the noisy-or of its sentences' scores.  The weights are
 trained from document labels alone, by gradients of the documents' log-likelihood; the sentences
 that carry a score are found on the way.
@@ -13,13 +14,14 @@ import math
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import in_batches, stored, worker_state
+from loopwright.llm.common import in_batches, stored
 
 # Bounds of the training sample: labelled documents of each class, and the longest one's length.
 TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 1000, 2000, 50_000
@@ -29,20 +31,25 @@ GRAMS = (3, 4, 5)
 # standard errors; others are noise that long texts would add up.
 SCREEN = 6.0
 THRESHOLD = 0.3
-CACHE_WORDS = 300_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def pieces(word: str) -> list[int]:
-    """Hashed pieces of a lower-cased word: the word itself and its letter n-grams."""
-    raw = f"<{word}>".encode()
-    found = {zlib.crc32(raw)}
+def grams(word: str) -> list[tuple[str, int]]:
+    """A lower-cased word's pieces, as text and as hashed number: the word and its letter n-grams."""
+    marked = f"<{word}>"
+    found = {(marked, zlib.crc32(marked.encode()) % PIECES)}
     for n in GRAMS:
-        for at in range(len(raw) - n + 1):
-            found.add(zlib.crc32(raw[at : at + n], n))
-    return [h % PIECES for h in found]
+        for at in range(len(marked) - n + 1):
+            gram = marked[at : at + n]
+            found.add((gram, zlib.crc32(gram.encode(), n) % PIECES))
+    return sorted(found)
+
+
+def pieces(word: str) -> list[int]:
+    """The hashed numbers of a word's pieces."""
+    return [number for _, number in grams(word)]
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -86,13 +93,14 @@ def _association(
 
 
 class SentenceModel:
-    """Weights of word pieces and a bias."""
+    """Weights of the word pieces that were learnt, by their text, and a bias."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
+    def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
 
     def value(self, word: str) -> float:
-        return float(self.weights[pieces(word)].sum())
+        """The sum over a word's different pieces."""
+        return sum(self.weights.get(g, 0.0) for g in sorted({g for g, _ in grams(word)}))
 
     @classmethod
     def train(
@@ -124,13 +132,13 @@ class SentenceModel:
         y = np.array(kept)
         if not len(y) or y.min() == y.max():
             rate_of = (sum(labels) + 0.5) / (len(labels) + 1.0) if labels else 0.01
-            return cls(np.zeros(PIECES), math.log(rate_of / (1 - rate_of)))
+            return cls({}, math.log(rate_of / (1 - rate_of)))
         pieces_of, sizes = array("i"), array("i")
         for word in number:
             own = pieces(word)
             pieces_of.extend(own)
             sizes.append(len(own))
-        count = len(number)
+        count, vocabulary = len(number), list(number)
         del number
         word_ids, sizes = np.array(words), np.array(sizes)
         held = np.unique(np.repeat(np.arange(len(y)), document_words) * count + word_ids)
@@ -139,7 +147,13 @@ class SentenceModel:
         told = np.abs(z)[piece] >= SCREEN
         owner = np.repeat(np.arange(count, dtype=np.int32), sizes)[told]
         piece = piece[told]
-        del held, told, pieces_of
+        known, named = set(piece.tolist()), {}
+        for w in np.unique(owner):
+            for gram, n in grams(vocabulary[w]):
+                # A short word is also an n-gram: its text has two numbers.
+                if n in known:
+                    named.setdefault(gram, set()).add(n)
+        del held, told, pieces_of, vocabulary
         word_at = np.cumsum([0, *sentence_sizes])[:-1]
         in_sentence = np.repeat(np.arange(len(sentence_sizes), dtype=np.int32), sentence_sizes)
         at = np.cumsum([0, *document_sizes])[:-1]
@@ -162,7 +176,31 @@ class SentenceModel:
             theta += rate * grad / np.sqrt(seen)
             seen_bias += slope.sum() ** 2
             bias += rate * slope.sum() / math.sqrt(seen_bias)
-        return cls(theta, bias)
+        return cls({g: float(sum(theta[n] for n in sorted(own))) for g, own in named.items()}, bias)
+
+
+def finder(weights: dict[str, float]) -> Callable[[list[str]], float]:
+    """The sum of the values of a sentence's words, by an automaton of the pieces with weights."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for gram, weight in weights.items():
+        if weight:
+            automaton.add_word(gram, (gram, weight))
+    if not len(automaton):
+        return lambda words: 0.0
+    automaton.make_automaton()
+
+    def total(words: list[str]) -> float:
+        shown = "<" + "><".join(words) + ">"
+        found = list(automaton.iter(shown))
+        if len(found) < 2:
+            return found[0][1][1] if found else 0.0
+        # A piece counts once in a word, however often it stands there.
+        each = {(shown.rfind("<", 0, end + 1), gram): weight for end, (gram, weight) in found}
+        return math.fsum(each.values())
+
+    return total
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -200,7 +238,9 @@ def training_sample(
         docs.select("doc_id", "text")
         .filter(F.length("text") <= longest)
         .join(wanted, "doc_id")
-        .dropDuplicates(["doc_id"])
+        # Of several texts under one id the one whose hash comes first.
+        .groupBy("doc_id", "toxic")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
         .select("text", "toxic", "doc_id")
         .toPandas()
         .sort_values("doc_id")
@@ -220,25 +260,16 @@ def score(
     Texts without words (NULL, empty) score 0: no sentence, no offence.  Whole texts are read.
     Repeated rows get equal answers; other columns are ignored; an empty table gives no rows.
     """
-    weights, bias = model.weights.astype(np.float32), model.bias
-    name = f"toxic words {zlib.crc32(weights.tobytes())} {bias}"
+    weights, bias = dict(model.weights), model.bias
 
     def make():
-        values: dict[str, float] = worker_state(name, dict)
-
-        def value(word: str) -> float:
-            found = values.get(word)
-            if found is None:
-                found = float(weights[pieces(word)].sum())
-                if len(values) < CACHE_WORDS and len(word) < 40:
-                    values[word] = found
-            return found
+        values = finder(weights)
 
         def one(text: str | None) -> tuple[float, str]:
             z = []
             for sentence in _SENTENCE.findall(text or ""):
                 words = _WORD.findall(sentence.lower())
-                z.append(bias + sum([value(w) for w in words]) if words else -math.inf)
+                z.append(bias + values(words) if words else -math.inf)
             z = np.array(z)
             with np.errstate(over="ignore"):
                 whole = float(-np.expm1(-np.logaddexp(0.0, z).sum())) if len(z) else 0.0
@@ -276,5 +307,9 @@ def score(
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Scores of all documents by a model of the labelled ones (see ``training_sample``, ``score``).
+
+    Without labels of both classes every text with words gets the base rate.
+    """
     texts, marks, weights = training_sample(docs, labels)
     return score(docs, SentenceModel.train(texts, marks, weights), threshold)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loopwright.llm.toxicity import (
     SentenceModel,
+    finder,
     held_out,
     score,
     sentences,
@@ -54,6 +55,20 @@ def test_noisy_or_matches_brute_force(model, make_docs):
     assert abs(row["score"] - expected) < 1e-5
 
 
+def test_automaton_adds_up_the_words_values(model):
+    draw = random.Random(4)
+    weights = {"<ab>": 1.5, "ab>": 0.25, "aba": -0.5, "bab": 2.0, "abab": 0.125, "zzz": 9.0, "<éa": 3.0}
+    small, values = SentenceModel(weights, 0.0), finder(weights)
+    for _ in range(500):
+        words = ["".join(draw.choice("abzé") for _ in range(draw.randint(1, 9))) for _ in range(draw.randint(1, 6))]
+        plain = sum(w for word in words for g, w in weights.items() if g in f"<{word}>")
+        assert abs(values(words) - plain) < 1e-9 and abs(sum(map(small.value, words)) - plain) < 1e-9
+    trained = finder(model.weights)
+    words = "a vileword there nastiest nastiest".split()
+    assert abs(trained(words) - sum(map(model.value, words))) < 1e-9
+    assert finder({})(["x"]) == 0.0
+
+
 def test_labels_of_held_out_rows_are_not_learnt(llm, make_docs):
     docs = make_docs([(i, f"text {i}") for i in range(40)])
     labels = llm.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")
