@@ -1,9 +1,11 @@
 """Quality rules whose thresholds come from the data: quantile sketches per language and source.
 
-Each document gets a few ratios.  A sketch of a ratio counts documents per logarithmic bin (bins
-``RELATIVE_WIDTH`` wide), so sketches merge by adding counts: sources merge to a language, the
-languages to one.  From its group's sketch each ratio gets a fence, the median plus a multiple of
-the distance to a quartile; documents beyond a fence go.
+Each document gets a few ratios.  A sketch of a ratio counts the documents that pass the base rule
+per logarithmic bin (bins ``RELATIVE_WIDTH`` wide), so sketches merge by adding counts.  A group's
+sketch is its own counts and a fixed weight of its language's, which in turn has a fixed weight of
+that of all documents: small groups lean on their language, large ones hardly notice it, and no size
+is a switch.  From its sketch each ratio gets a fence: the median plus a multiple of the
+distance to an outer quantile.  Documents beyond a fence go.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ MAX_REPEAT_PERCENT = 20
 # Width of a sketch bin in relation to its lower end, and the value below which all is zero.
 RELATIVE_WIDTH = 0.02
 ZERO_BELOW = 1e-4
-# Documents a group needs for fences of its own; smaller ones use their language's, then all's.
-MIN_GROUP = 200
+# Documents that the sketch above a group's counts for in it, and parts of one in which weights count.
+LENT, PARTS = 200, 1000
 
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_loud",
@@ -40,24 +42,28 @@ STATS_SQL = f"struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>"
 class Rule(NamedTuple):
     """A ratio, how far from the median it may lie, and which sides are bad.
 
-    The fence is ``reach`` times the distance from the median to the quartile on that side; that
-    distance counts as ``least`` at least, so that groups of like documents keep room.
+    ``free`` of the part do not count, so that one or two in a short text are no share.  The fence is
+    ``reach`` times the distance from the median to the quantile ``outer``; where more documents than
+    that have the very same value, the distance is 0 and counts as ``least``.
     """
 
     name: str
     part: str
     whole: str
+    outer: float
     reach: float
     least: float
+    free: int = 0
     both_sides: bool = False
 
 
 RULES = [
-    Rule("word_length", "word_chars", "n_words", 6.0, 0.8, both_sides=True),
-    Rule("symbol_share", "n_symbols", "word_chars", 5.0, 0.012),
-    Rule("dup_line_share", "n_dup_lines", "n_lines", 5.0, 0.08),
-    Rule("repeat_share", "n_repeat_words", "n_words", 5.0, 0.04),
-    Rule("loud_share", "n_loud", "n_words", 5.0, 0.06),
+    Rule("word_length", "word_chars", "n_words", 0.9, 18.0, 0.1, both_sides=True),
+    # Ordinary text has no symbols, and junk may be a tenth of a source.
+    Rule("symbol_share", "n_symbols", "word_chars", 0.75, 5.0, 0.012),
+    Rule("dup_line_share", "n_dup_lines", "n_lines", 0.99, 4.0, 0.08, free=1),
+    Rule("repeat_share", "n_repeat_words", "n_words", 0.99, 3.0, 0.04, free=25),
+    Rule("loud_share", "n_loud", "n_words", 0.99, 5.0, 0.01, free=2),
 ]
 
 
@@ -129,8 +135,9 @@ def base_failed(stats: str) -> Column:
 
 
 def _ratio(stats: str, rule: Rule) -> Column:
-    whole = F.col(stats)[rule.whole]
-    return F.when(whole > 0, F.col(stats)[rule.part] / whole).otherwise(F.lit(0.0))
+    part, whole = F.col(stats)[rule.part], F.col(stats)[rule.whole]
+    counted = F.greatest(part - rule.free, F.lit(0))
+    return F.when(whole > 0, counted / whole).otherwise(F.lit(0.0))
 
 
 def _bin(value: Column) -> Column:
@@ -147,14 +154,17 @@ def _middle(index: Column) -> Column:
 
 
 def sketches(rows: DataFrame, stats: str, groups: list[str], rules: list[Rule]) -> DataFrame:
-    """One row a group, rule and filled bin: ``rule``, ``bin``, ``n``.  Sketches merge by sums."""
+    """One row a group, rule and filled bin: ``rule``, ``bin``, ``n``.  Sketches merge by sums.
+
+    Documents that fail the base rule count 0, so that their groups still have a row.
+    """
     values = F.array(*[
         F.struct(F.lit(r.name).alias("rule"), _bin(_ratio(stats, r)).alias("bin")) for r in rules
     ])
     return (
-        rows.select(*groups, F.explode(values).alias("v"))
+        rows.select(*groups, base_failed(stats).alias("_failed"), F.explode(values).alias("v"))
         .groupBy(*groups, "v.rule", "v.bin")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count_if(~F.col("_failed")).alias("n"))
     )
 
 
@@ -162,66 +172,61 @@ def merged(sketch: DataFrame, groups: list[str]) -> DataFrame:
     return sketch.groupBy(*groups, "rule", "bin").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """``total``, ``q1``, ``q2`` and ``q3`` of each group and rule, from its bins alone."""
+def leaning(own: DataFrame, above: DataFrame, groups: list[str], shared: list[str]) -> DataFrame:
+    """Each group's sketch with that above it counting as ``LENT`` documents, in ``PARTS`` of one.
+
+    ``above`` is a sketch per ``shared``, a part of ``groups``; weights are whole numbers, so that
+    sums do not depend on their order.  A group adds as many rows as the sketch above has bins.
+    """
+    every = Window.partitionBy(*shared, "rule")
+    total = F.sum("n").over(every)
+    lent = above.withColumn("n", F.round(F.col("n") * (LENT * PARTS) / total).cast("long"))
+    given = own.select(*groups, "rule").distinct().join(lent, [*shared, "rule"])
+    columns = [*groups, "rule", "bin", "n"]
+    counted = own.withColumn("n", F.col("n") * PARTS).select(*columns)
+    return merged(counted.union(given.select(*columns)), groups)
+
+
+def quantiles(sketch: DataFrame, groups: list[str], fractions: dict[str, float]) -> DataFrame:
+    """``total`` and the named quantiles of each group and rule, from its bins alone."""
     each = Window.partitionBy(*groups, "rule")
     running = each.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    counted = sketch.select(
+    counted = sketch.filter("n > 0").select(
         "*", F.sum("n").over(running).alias("_up_to"), F.sum("n").over(each).alias("total")
     )
-    at = [
-        F.min(F.when(F.col("_up_to") * 4 >= F.col("total") * k, F.col("bin")))
-        for k in (1, 2, 3)
-    ]
+    at = [F.min(F.when(F.col("_up_to") >= F.col("total") * q, F.col("bin"))) for q in fractions.values()]
     return counted.groupBy(*groups, "rule").agg(
-        F.first("total").alias("total"),
-        *[_middle(a).alias(f"q{k}") for k, a in zip((1, 2, 3), at)],
+        F.first("total").alias("total"), *[_middle(a).alias(n) for n, a in zip(fractions, at)]
     )
 
 
-def fences(sketch: DataFrame, rules: list[Rule], min_group: int = MIN_GROUP) -> DataFrame:
+def fences(sketch: DataFrame, rules: list[Rule]) -> DataFrame:
     """Per language and source: a map from rule to its lowest and highest allowed value."""
-    limits = []
-    for groups in (["_lang", "_source"], ["_lang"], []):
-        found = quartiles(merged(sketch, groups), groups)
-        table = F.lit(None)
-        for r in rules:
-            above = F.greatest(F.col("q3") - F.col("q2"), F.lit(r.least)) * r.reach
-            below = F.greatest(F.col("q2") - F.col("q1"), F.lit(r.least)) * r.reach
-            table = F.when(
-                F.col("rule") == r.name,
-                F.struct(
-                    (F.col("q2") - below if r.both_sides else F.lit(-1.0)).alias("low"),
-                    (F.col("q2") + above).alias("high"),
-                ),
-            ).otherwise(table)
-        limits.append(
-            found.withColumn("limit", table)
-            .groupBy(*groups)
-            .agg(
-                F.map_from_entries(F.collect_list(F.struct("rule", "limit"))).alias(
-                    f"limits_{len(groups)}"
-                ),
-                F.max("total").alias(f"total_{len(groups)}"),
-            )
-        )
-    own, lang, every = limits
-    # All documents are one group: its one row is looked up by a constant.
-    own, every = own.withColumn("_all", F.lit(0)), every.withColumn("_all", F.lit(0))
-    return own.join(lang, "_lang").join(F.broadcast(every), "_all").select(
-        "_lang",
-        "_source",
-        F.when(F.col("total_2") >= min_group, F.col("limits_2"))
-        .when(F.col("total_1") >= min_group, F.col("limits_1"))
-        .otherwise(F.col("limits_0"))
-        .alias("_limits"),
-    )
+    both = ["_lang", "_source"]
+    every = merged(sketch, [])
+    lang = leaning(merged(sketch, ["_lang"]), every, ["_lang"], [])
+    whole = leaning(sketch, lang, both, ["_lang"])
+    outers = {f"q_{q}".replace(".", "_"): q for r in rules for q in (r.outer, 1 - r.outer)}
+    found = quantiles(whole, both, {"middle": 0.5, **outers})
+    table = F.lit(None)
+    for r in rules:
+        high, low = (f"q_{q}".replace(".", "_") for q in (r.outer, 1 - r.outer))
+        above, below = F.col(high) - F.col("middle"), F.col("middle") - F.col(low)
+        above, below = (F.when(d > 0, d).otherwise(F.lit(r.least)) * r.reach for d in (above, below))
+        table = F.when(
+            F.col("rule") == r.name,
+            F.struct(
+                (F.col("middle") - below if r.both_sides else F.lit(-1.0)).alias("low"),
+                (F.col("middle") + above).alias("high"),
+            ),
+        ).otherwise(table)
+    limits = found.withColumn("limit", table).groupBy(*both)
+    return limits.agg(F.map_from_entries(F.collect_list(F.struct("rule", "limit"))).alias("_limits"))
 
 
 def judge(
     docs: DataFrame,
     rules: list[Rule] = RULES,
-    min_group: int = MIN_GROUP,
     lang: str = "lang",
     source: str = "source",
 ) -> tuple[DataFrame, str]:
@@ -233,14 +238,13 @@ def judge(
     counts are written to the shared folder (``judge_counted`` goes without the texts).
     """
     stats = fresh(docs, "_rule_counts")
-    return judge_counted(with_counts(docs, stats), stats, rules, min_group, lang, source), stats
+    return judge_counted(with_counts(docs, stats), stats, rules, lang, source), stats
 
 
 def judge_counted(
     counted: DataFrame,
     stats: str,
     rules: list[Rule] = RULES,
-    min_group: int = MIN_GROUP,
     lang: str = "lang",
     source: str = "source",
 ) -> DataFrame:
@@ -257,16 +261,17 @@ def judge_counted(
         "rule-counts",
     )
     sketch = stored(sketches(keyed, "_stats", ["_lang", "_source"], rules), "rule-sketches")
-    limits = broadcast_if_small(stored(fences(sketch, rules, min_group), "rule-fences"))
+    limits = broadcast_if_small(stored(fences(sketch, rules), "rule-fences"))
     inside = F.lit(True)
     for r in rules:
         value, limit = _ratio("_stats", r), F.col("_limits")[r.name]
         inside = inside & (value >= limit.low) & (value <= limit.high)
     failed = base_failed("_stats")
-    return keyed.join(limits, ["_lang", "_source"]).select(
+    # Where no document passes there are no fences, and none is needed.
+    return keyed.join(limits, ["_lang", "_source"], "left").select(
         "_row.*",
         F.struct(
-            "_stats.*", failed.alias("base_failed"), (~failed & inside).alias("kept")
+            "_stats.*", failed.alias("base_failed"), F.coalesce(~failed & inside, F.lit(False)).alias("kept")
         ).alias(stats),
     )
 

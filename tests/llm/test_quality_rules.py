@@ -4,10 +4,13 @@ import re
 from pyspark.sql import functions as F
 
 from loopwright.llm.quality_rules import (
+    LENT,
+    PARTS,
     keep_good,
     judge,
+    leaning,
     merged,
-    quartiles,
+    quantiles,
     repeated_words,
     sketches,
     text_counts,
@@ -45,18 +48,58 @@ def test_repeats_in_long_text():
     assert repeated_words(words) == 12000
 
 
-def test_sketch_quartiles_merge_and_are_close(llm):
-    rule = Rule("r", "n_words", "n_lines", 1, 1)
-    rows = llm.range(1, 4001).select(
+def counted_rows(llm, count=4000):
+    """Rows whose ratio runs evenly from 0.1 to 40, in groups x (a third) and y."""
+    zero = [F.lit(0).alias(c) for c in ("n_repeat_words",)]
+    return llm.range(1, count + 1).select(
         F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("g"),
-        F.struct(F.col("id").alias("n_words"), F.lit(100).alias("n_lines")).alias("s"),
+        F.struct((F.col("id") * 100).alias("n_words"), F.lit(10_000).alias("n_lines"), *zero).alias("s"),
     )
-    sketch = sketches(rows, "s", ["g"], [rule])
-    (whole,) = quartiles(merged(sketch, []), []).collect()
+
+
+EVEN = Rule("r", "n_words", "n_lines", 0.9, 1, 1)
+
+
+def test_sketch_quantiles_merge_and_are_close(llm):
+    sketch = sketches(counted_rows(llm), "s", ["g"], [EVEN])
+    wanted = {"q1": 0.25, "q2": 0.5, "q3": 0.75, "last": 0.99}
+    (whole,) = quantiles(merged(sketch, []), [], wanted).collect()
     assert whole["total"] == 4000
-    for name, exact in (("q1", 10.0), ("q2", 20.0), ("q3", 30.0)):
-        assert abs(whole[name] / exact - 1) < 0.02
-    assert quartiles(merged(sketch, ["g"]), ["g"]).count() == 2
+    for name, q in wanted.items():
+        assert abs(whole[name] / (40 * q) - 1) < 0.02
+    assert quantiles(merged(sketch, ["g"]), ["g"], wanted).count() == 2
+
+
+def test_small_groups_lean_on_the_sketch_above(llm):
+    """A group's quantiles are those of its values and of LENT values of the whole, at any size."""
+    rows = counted_rows(llm).filter("g = 'y' OR s.n_words % 30000 = 0")
+    sketch = sketches(rows, "s", ["g"], [EVEN])
+    found = leaning(sketch, merged(sketch, []), ["g"], [])
+    half = {r["g"]: r for r in quantiles(found, ["g"], {"half": 0.5}).collect()}
+    values = [(r["g"], r["s"]["n_words"] / 10_000) for r in rows.collect()]
+    for g in "xy":
+        own = sorted(v for k, v in values if k == g)
+        weighted = sorted([(v, 1.0) for v in own] + [(v, LENT / len(values)) for _, v in values])
+        total, up_to = sum(w for _, w in weighted), 0.0
+        for value, weight in weighted:
+            up_to += weight
+            if up_to >= total / 2:
+                break
+        assert abs(half[g]["half"] / value - 1) < 0.03
+        assert abs(half[g]["total"] / PARTS - len(own) - LENT) < 1
+
+
+def test_sources_have_fences_of_their_own(make_docs):
+    """The same text is kept among its like and dropped where all others differ."""
+    def texts(first, count, source, length):
+        words = lambda i: " ".join(f"{'x' * length(i)}{k}" for k in range(60))
+        return [(first + i, words(i), "en", source, 1) for i in range(count)]
+
+    rows = texts(0, 900, "long", lambda i: 8 + i % 12) + texts(5000, 900, "short", lambda i: 3 + i % 2)
+    text = " ".join(f"{'q' * 24}{k}" for k in range(60))
+    rows += [(9001, text, "en", "long", 1), (9002, text, "en", "short", 1)]
+    kept = {r["doc_id"] for r in keep_good(make_docs(rows)).select("doc_id").collect()}
+    assert 9001 in kept and 9002 not in kept and len(kept) == 1801
 
 
 def junk_and_prose(make_docs):
