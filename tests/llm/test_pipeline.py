@@ -48,5 +48,34 @@ def test_stages_keep_the_columns_and_decide(llm, sf_dir):
     assert {r["doc_id"] for r in packed.collect()} == clean
 
 
+def test_stages_take_odd_rows(llm, odd, none, sf_dir):
+    """NULLs, blank texts, repeated rows, a long text and clashing names, stage by stage."""
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=str)
+    given = odd.collect()
+    left = {
+        "quality_rules": [5, 5, 6, 7, 8, None],
+        "near_dedup": [1, 2, 3, 4, 5, 7, 8, None],
+        "decontamination": [r["doc_id"] for r in given],
+        "personal_data": [r["doc_id"] for r in given],
+    }
+    for name, expected in left.items():
+        found = stages[name](llm, odd, sf_dir)
+        assert found.columns == odd.columns and ids(found) == sorted(expected, key=str), name
+        assert found.exceptAll(odd).count() == 0
+        assert stages[name](llm, none, sf_dir).collect() == []
+    packed = stages["packing"](llm, odd, sf_dir).collect()
+    assert sorted({str(r["doc_id"]) for r in packed}) == sorted({str(r["doc_id"]) for r in given})
+    assert sum(r["length"] for r in packed if r["doc_id"] in (1, 2, 3)) == 3
+    assert stages["packing"](llm, none, sf_dir).collect() == []
+
+
+def test_stages_follow_each_other_on_odd_rows(llm, odd, sf_dir):
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(llm, docs, sf_dir)
+    assert {r["doc_id"] for r in docs.collect()} == {5, 7, 8}
+
+
 def test_run_ends_in_pieces(llm, sf_dir):
     assert corpus_pipeline.run(llm, sf_dir).count() > 0
