@@ -148,27 +148,41 @@ def likely(
     return joined.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node`` and the whole shingle set (sorted hashes) of the documents with a ``rep`` id."""
+def full_sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``node`` and the whole shingle set (sorted hashes) of the classes wanted, each once.
+
+    ``wanted`` has ``node``, its document ``rep`` and both halves of its set's name; ``repeated`` the
+    ids (``rep``) that several rows have.
+    """
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [None if t is None else t.encode() for t in batch.column(0).to_pylist()]
+            texts = [None if t is None else t.encode() for t in batch.column(3).to_pylist()]
             sets = shingle_sets(texts)
+            names = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            # One id may have several texts: the set's name tells which one is meant.
+            meant = [i for i, (s, name) in enumerate(zip(sets, names)) if set_key(s) == name]
             return pa.record_batch(
                 [
-                    pa.array([set_key(s)[0] for s in sets], type=pa.int64()),
-                    pa.array([s.tobytes() for s in sets], type=pa.binary()),
+                    batch.column(0).take(pa.array(meant, type=pa.int64())),
+                    pa.array([sets[i].tobytes() for i in meant], type=pa.binary()),
                 ],
                 names=["node", "items"],
             )
 
         return each
 
-    ids = broadcast_if_small(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    found = texts.join(ids, "rep", "left_semi").select("text")
-    return in_batches(found, make, "node long, items binary")
+    found = texts.join(broadcast_if_small(wanted), "rep").select("rep", "node", "c1", "c2", "text")
+
+    def sets(rows: DataFrame) -> DataFrame:
+        return in_batches(rows.select("node", "c1", "c2", "text"), make, "node long, items binary")
+
+    if not repeated.limit(1).count():
+        return sets(found)
+    again = broadcast_if_small(repeated)
+    copies = sets(found.join(again, "rep", "left_semi")).dropDuplicates(["node"])
+    return sets(found.join(again, "rep", "left_anti")).union(copies)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -332,9 +346,12 @@ def find_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             F.first("n_shingles").alias("n"),
             F.first("signature").alias("signature"),
         )
-        .withColumn("node", F.col("c1")),
+        # A number of its own for each class: 64 bits of the name would meet by chance in 10^10.
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
+    again = rows.groupBy(F.col("doc_id").alias("rep")).count().filter("count > 1")
+    repeated = stored(again.filter("rep is not null").select("rep"), "repeated-ids")
     bands = banded(classes)
     shared = (
         bands.groupBy("band")
@@ -345,8 +362,8 @@ def find_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = stored(bands.join(shared, "band", "left_semi"), "bucket-members")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        reps = classes.select("node", "rep").join(nodes, "node", "left_semi").select("rep")
-        return stored(full_sets(docs, stored(reps, "set-documents")), "full-sets")
+        wanted = classes.select("node", "rep", "c1", "c2").join(nodes, "node", "left_semi")
+        return stored(full_sets(docs, stored(wanted, "set-documents"), repeated), "full-sets")
 
     near = stored(likely(hub_pairs(members, percent), classes, percent=percent), "hub-pairs")
     both = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "node")
@@ -361,13 +378,15 @@ def find_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         labels = components(stored(links.union(found), "all-links"))
 
     # A group's name is the smallest document in it; classes without links name themselves.
-    grouped = classes.select("node", "rep").join(
+    grouped = classes.select("node", "rep", "c1", "c2").join(
         labels.withColumnRenamed("id", "node"), "node", "left"
     ).withColumn("component", F.coalesce("component", "node"))
     names = grouped.groupBy("component").agg(F.min("rep").alias("name"))
-    named = grouped.join(names, "component").select(F.col("node").alias("c1"), "name")
+    named = grouped.join(names, "component").select("c1", "c2", "name")
     has_words = F.col("n_shingles") > 0
-    joined = rows.select("doc_id", "text_key", "n_shingles", "c1").join(named, "c1", "left")
+    joined = rows.select("doc_id", "text_key", "n_shingles", "c1", "c2").join(
+        named, ["c1", "c2"], "left"
+    )
     component = F.when(has_words, F.col("name")).otherwise(F.col("doc_id"))
     found = joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
     return found.withColumn(

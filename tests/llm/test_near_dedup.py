@@ -96,6 +96,35 @@ def test_scarce_and_frequent_pairs_match_brute_force(llm, make_docs, monkeypatch
         assert found == expected
 
 
+def test_repeated_rows_are_compared_once(llm, make_docs, monkeypatch):
+    """Two texts, each as many equal rows: one set each, one pair."""
+    (_, one), (_, other) = family(4, 2, 80, 1, 0)
+    assert one != other
+    text = " ".join(f"u{i}" for i in range(40))
+    rows = [(1, one)] * 60 + [(2, other)] * 60 + [(3, text)] * 5 + [(2, text), (4, one), (4, other)]
+    seen = []
+    every = near_dedup.confirmed
+
+    def counted(pairs, sets, percent=75):
+        names = [r["node"] for r in sets.select("node").collect()]
+        assert len(names) == len(set(names))
+        seen.append(pairs.count())
+        return every(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "confirmed", counted)
+    found = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in find_groups(make_docs(rows)).collect()}
+    assert found[(1, 76)] == found[(2, 76)] == found[(4, 76)] == 1
+    assert found[(3, 36)] == found[(2, 36)] == 2
+    assert sum(seen) == 1
+
+
+def test_groups_of_the_given_documents(llm, sf_dir):
+    docs = llm.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    expected = {d: c for (d, _), c in brute(rows).items()}
+    assert {r["doc_id"]: r["component_id"] for r in find_groups(docs).collect()} == expected
+
+
 def test_odd_rows(odd, none):
     found = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in find_groups(odd).collect()]
     assert found.count((5, 9, 5, True)) == 2
