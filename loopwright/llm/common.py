@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -65,16 +66,23 @@ def of_text(text: str, make: Callable[[], Callable[[pa.Array], pa.Array]], kind:
 
 def give_back() -> None:
     """Return a worker's unused memory to the system, so that idle workers hold little."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     pa.system_memory_pool().release_unused()
 
 
 def worker_state(name: str, make: Callable[[], object]) -> object:
-    """One object a Python worker, kept from task to task (caches only: never results)."""
+    """One object a Python worker, kept from task to task (caches only: never results).
+
+    A worker keeps the last one only: what an earlier step has cached gives way to the next step's.
+    """
     holder = sys.modules.setdefault("_loopwright_worker", types.ModuleType("_loopwright_worker"))
-    if not hasattr(holder, name):
-        setattr(holder, name, make())
-    return getattr(holder, name)
+    held = vars(holder).setdefault("held", {})
+    if name not in held:
+        held.clear()
+        give_back()
+        held[name] = make()
+    return held[name]
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import fresh, in_batches, stored
+from loopwright.llm.common import fresh, give_back, in_batches, stored
 from loopwright.llm.graphs import components
 from loopwright.llm.shingles import MinHasher, constants, mixed, set_key, shingle_sets
 from loopwright.session import broadcast_if_small
@@ -140,6 +140,7 @@ def likely(
             yield pa.record_batch(
                 [batch.column(c).take(pa.array(alive)) for c in (0, 1)], names=["a", "b"]
             )
+        give_back()
 
     sides = [
         classes.select(F.col("node").alias(c), F.col("signature").alias(f"s_{c}")) for c in "ab"
@@ -199,6 +200,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             yield pa.record_batch(
                 [batch.column(c).filter(mask) for c in (0, 1)], names=["a", "b"]
             )
+        give_back()
 
     sides = [sets.select(F.col("node").alias(c), F.col("items").alias(f"i_{c}")) for c in "ab"]
     joined = pairs.join(sides[0], "a").join(sides[1], "b")

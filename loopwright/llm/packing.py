@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from loopwright.llm.common import give_back
 from loopwright.llm.tokens import vocabulary_path, word_tokenizer
 
 CAPACITY = 2048
@@ -168,5 +169,6 @@ def pack_documents(
             yield packer.batch(schema)
         packer.pack(last=True)
         yield packer.batch(schema)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -275,7 +275,7 @@ class Field:
     thousand kinds, and only places near a known word get more than their kind's weights.
     """
 
-    KEPT = 300_000
+    KEPT = 150_000
     # Words that are decoded together (but one text at least).
     TOGETHER = 1 << 16
 

@@ -13,7 +13,7 @@ import numpy as np
 from loopwright.llm.common import worker_state
 
 # Words whose ids a worker keeps; beyond that, and for longer ones, ids are made anew each time.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
 CACHE_LENGTH = 40
 
 # Latin-1 as the tokenizer's splitting rule sees it, after lower-casing: contractions, letters,
