@@ -267,9 +267,9 @@ def rare_shares(counts: DataFrame, frequent: list[int]) -> np.ndarray:
 
     cells = counts.select("word", "n").mapInArrow(run, "cell long, n long")
     # One row a cell at most, whatever the corpus.
-    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     held = np.ones(CELLS)
-    held[found["cell"].to_numpy(dtype=np.int64)] += found["n"].to_numpy(dtype=np.float64)
+    held[found.column("cell").to_numpy()] += found.column("n").to_numpy()
     numbers = number_of(np.arange(CELLS)).astype(np.int64)
     totals = np.bincount(numbers, weights=held, minlength=NUMBERS)
     return (np.log(held) - np.log(totals[numbers])).astype(np.float32)
@@ -328,9 +328,9 @@ def trained_round(docs: DataFrame, vocabulary: Vocabulary, weights: Weights, pla
         .groupBy("place")
         .agg((F.sum("value") / F.sum("seen")).alias("value"))
         .orderBy("place")
-        .toPandas()  # one row a weight
+        .toArrow()  # one row a weight
     )
-    return unflat(rows["value"].to_numpy()) if len(rows) else weights
+    return unflat(rows.column("value").to_numpy()) if rows.num_rows else weights
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Weights]:
