@@ -3,7 +3,7 @@
 An alignment that scores at least T has T - 1 of the item's pairs of adjacent words unbroken, as each
 edit costs one point and breaks one run.  So a copy, however it is edited, holds SEEDS of any
 (words - T + SEEDS) pairs of its item: the item's rarest ones are its seeds.  How rare pairs are is
-counted on a share of the documents, which decides on the work alone, never on what is found.  A
+counted over all documents; it decides on the work alone, never on what is found.  A
 stretch with enough seeds, then with enough pairs, is aligned with the item (Smith-Waterman on
 words), which scores edited and paraphrased copies.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import fresh, in_batches, stored
+from loopwright.llm.common import fresh, give_back, in_batches, stored
 from loopwright.session import BROADCAST_BYTES, broadcast_if_small
 
 # Items of fewer words are not looked for.
@@ -29,10 +29,10 @@ MIN_SHARE, MIN_SCORE = 0.5, 8
 MATCH, MISMATCH, GAP = 1, -1, -1
 # Seeds that a stretch must have to be looked at; FEWEST - 1 at most.
 SEEDS = 3
-# One document in so many is counted to tell rare pairs.
-SAMPLE = 8
 # Words that are searched together.
 PART_WORDS = 1 << 18
+# Counted pairs that a task gives out at once.
+PART_PAIRS = 1 << 16
 
 _WORD = re.compile(r"\w+")
 _FOUND = (
@@ -161,23 +161,24 @@ def _among(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def pair_counts(docs: DataFrame, items: Items) -> dict[int, int]:
-    """How often a share of the documents has each pair of the items."""
+    """How often all documents together have each pair of the items."""
 
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            total = np.zeros(len(items.keys), dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(items.keys), dtype=np.int64)
+        for batch in batches:
             for ids, _ in _numbered(batch.column(0).to_pylist(), items.vocabulary):
                 _, place = _among(items.pair_keys(ids), items.keys)
-                total += np.bincount(place, minlength=len(total))
-            some = np.flatnonzero(total)
-            return pa.record_batch(
-                [pa.array(items.keys[some]), pa.array(total[some])], names=["pair", "n"]
+                np.add.at(total, place, 1)
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), PART_PAIRS):
+            part = some[at : at + PART_PAIRS]
+            yield pa.record_batch(
+                [pa.array(items.keys[part]), pa.array(total[part])], names=["pair", "n"]
             )
+        give_back()
 
-        return each
-
-    share = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counted = in_batches(share, make, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    each = docs.select("text").mapInArrow(run, "pair long, n long")
+    counted = each.groupBy("pair").agg(F.sum("n").alias("n"))
     # As many rows as the block's items have pairs at most.
     return {r["pair"]: r["n"] for r in counted.toLocalIterator()}
 
@@ -267,7 +268,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     enough score is found.  Items of one text under one id are one;
     repeated rows give one answer.  Empty tables give no rows; other columns are ignored.
 
-    Documents are read once per block of items, and a share of them before; no text is kept.
+    Documents are read twice per block of items, to count and to search; no text is kept.
     """
     found = None
     for items in item_blocks(benchmark):

@@ -3,7 +3,14 @@ import random
 import numpy as np
 
 from loopwright.llm import decontamination
-from loopwright.llm.decontamination import align, drop_leaks, find_leaks, item_blocks
+from loopwright.llm.decontamination import (
+    Items,
+    align,
+    drop_leaks,
+    find_leaks,
+    item_blocks,
+    pair_counts,
+)
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
 
@@ -52,6 +59,16 @@ def test_an_item_in_most_documents_is_still_found(llm, make_docs):
     assert len(leaks(llm, docs)) == 400
 
 
+def test_pairs_are_counted_over_all_documents(llm, make_docs, none):
+    block = Items([(1, ITEM), (2, "mu alpha beta gamma")])
+    number = block.vocabulary
+    pair = lambda a, b: number[a] * (len(number) + 1) + number[b]
+    docs = make_docs([(i, f"n{i} alpha beta") for i in range(60)] + [(60, "alpha beta mu alpha beta"),
+                     (61, None), (62, ""), (60, "alpha beta mu alpha beta")])
+    wanted = {pair("alpha", "beta"): 64, pair("mu", "alpha"): 2}
+    assert pair_counts(docs, block) == wanted and pair_counts(none, block) == {}
+
+
 def edits(draw, words, spare):
     """The words with about one in five replaced, left out or preceded by another."""
     out = []
