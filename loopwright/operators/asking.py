@@ -61,6 +61,16 @@ class PromptBook:
         return known.unionByName(self._read([path]))
 
 
+def answers_by_prompt(prompts: DataFrame, book: PromptBook, fields: Sequence[str]) -> DataFrame:
+    """``_prompt_id`` and ``pred_<field>`` of each prompt of a table (see ``PromptBook.ask``)."""
+    answers = book.ask(prompts)
+    entries = response_entries(F.col("output"))
+    good = F.col(STATUS) == SUCCESS
+    return answers.withColumn("_entries", F.when(good, entries)).select(
+        "_prompt_id", *[response_value(F.col("_entries"), f).alias(f"pred_{f}") for f in fields]
+    )
+
+
 def with_answers(
     rows: DataFrame, prompt: Column, book: PromptBook, fields: Sequence[str], drop: Sequence[str] = ()
 ) -> DataFrame:
@@ -72,12 +82,7 @@ def with_answers(
     """
     shown = rows.withColumn("_prompt", prompt)
     digest = F.sha2("_prompt", 256).alias("_prompt_id")
-    answers = book.ask(shown.select(digest, F.col("_prompt").alias("prompt")))
-    entries = response_entries(F.col("output"))
-    good = F.col(STATUS) == SUCCESS
-    parsed = answers.withColumn("_entries", F.when(good, entries)).select(
-        "_prompt_id", *[response_value(F.col("_entries"), f).alias(f"pred_{f}") for f in fields]
-    )
+    parsed = answers_by_prompt(shown.select(digest, F.col("_prompt").alias("prompt")), book, fields)
     made = [f"pred_{f}" for f in fields]
     kept = [c for c in rows.columns if c not in {*drop, *made}]
     return shown.select(*kept, digest).join(parsed, "_prompt_id", "left").select(*kept, *made)

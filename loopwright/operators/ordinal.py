@@ -257,7 +257,8 @@ def _ranked_draws(
     wanted = F.lit(list(seeds))
     if limit is not None:
         # Seeds that rule the row out never become rows.
-        wanted = F.filter(wanted, lambda seed: seeded_rank(seed, F.col(key)) < limit)
+        early = [F.when(seeded_rank(s, F.col(key)) < limit, F.lit(s)) for s in seeds]
+        wanted = F.array_compact(F.array(*early))
     drawn = df.withColumn("seed", F.explode(wanted)).withColumn(
         "_draw", seeded_rank(F.col("seed"), F.col(key))
     )

@@ -137,7 +137,7 @@ def compile_program(
 
     # Baseline and result are two candidates of one scoring pass.
     both = base.unionByName(program.withColumn("candidate_id", F.lit(1)))
-    scored = student(search.fan_out(dev, checkpoint(both), 2))
+    scored = search.studied(dev, checkpoint(both), 2, student)
     answered = [f"pred_{name}" for name in spec.outputs if f"pred_{name}" in scored.columns]
     scored = scored.select("candidate_id", key, *spec.fields, *answered, "score")
     scored.write.parquet(f"{path}/scored")

@@ -3,13 +3,15 @@
 A *teacher* takes example rows and returns them with predicted outputs ``pred_<field>``, a
 ``score`` and, if it gives one, its ``reasoning``.  A *student* takes dev rows joined to a
 candidate (``instructions`` and ``demos``) and returns them with a ``score``.  Both are plain
-DataFrame functions: a column expression or a batch prediction.
+DataFrame functions: a column expression or a batch prediction.  A student may also have
+``over(rows, candidates, count)``, which answers as ``student(fan_out(...))`` does but joins them itself.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,13 +129,18 @@ def first_passing_per_seed(
     def early(limit: str | None) -> Column:
         if limit is None:
             return F.lit(True)
-        return F.exists(F.lit(list(seeds)), lambda s: seeded_rank(s, F.col(key)) < limit)
+        # Written out seed by seed: a lambda is not compiled.
+        draws = [seeded_rank(s, F.col(key)) < limit for s in seeds]
+        return reduce(lambda x, y: x | y, draws, F.lit(False))
 
     for size in _probe_sizes(total):
         limit = None if size == total else f"{int(size / total * (1 << 64)):016x}"
         part = train.filter(early(limit))
         if before is not None:
             part = part.filter(~early(before))
+        if limit is not None:
+            # Few rows, which the teacher reads more than once.
+            part = checkpoint(part)
         passed = checkpoint(_passing(teacher(part), spec, key, threshold))
         passing = passed if passing is None else passing.unionByName(passed)
         drawn = passing.withColumn("seed", F.explode(F.lit(list(seeds)))).withColumn(
@@ -228,6 +235,14 @@ def candidate_programs(
     return checkpoint(empty.unionByName(sets))
 
 
+def studied(
+    rows: DataFrame, candidates: DataFrame, count: int | Sequence[int], student: Student
+) -> DataFrame:
+    """The student's rows for every row with every candidate."""
+    over = getattr(student, "over", None)
+    return student(fan_out(rows, candidates, count)) if over is None else over(rows, candidates, count)
+
+
 def score_candidates(
     rows: DataFrame,
     candidates: DataFrame,
@@ -236,7 +251,7 @@ def score_candidates(
     *by: str,
 ) -> DataFrame:
     """Score of every candidate over the rows (and per ``by``)."""
-    return dataset_score(student(fan_out(rows, candidates, count)), "candidate_id", *by)
+    return dataset_score(studied(rows, candidates, count, student), "candidate_id", *by)
 
 
 def random_search(
@@ -383,7 +398,7 @@ def racing_search(
     alive, seen = list(range(count)), None
     for batches in rounds:
         rows = drawn.filter(F.col("batch").isin(batches))
-        scored = student(fan_out(rows, candidates, alive)).groupBy("candidate_id", "batch").agg(
+        scored = studied(rows, candidates, alive, student).groupBy("candidate_id", "batch").agg(
             percent_score(F.col("score")).alias("percent"),
             F.count(F.lit(1)).alias("examples"),
             F.sum(F.col("score").cast("double")).alias("total"),

@@ -62,15 +62,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the counted bytes are so few; ``df`` is scanned once."""
+    size = df.agg(
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")
+    ).first()["bytes"]
+    return size <= limit
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark for broadcast when the counted bytes allow it, else leave the plan to AQE.
 
     ``df`` is scanned once for the count, so pass a written or checkpointed table.
     """
-    size = df.agg(
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")
-    ).first()["bytes"]
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def lookup_side(df: DataFrame) -> DataFrame:
