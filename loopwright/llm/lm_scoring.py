@@ -74,19 +74,44 @@ def unflat(values: np.ndarray) -> Weights:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _by_class(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of each class's words."""
-    classes = targets // MEMBERS
+def _logs_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row at one place of it; ``x`` is used up."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
+
+
+def _slopes(x: np.ndarray, at: np.ndarray, work: np.ndarray) -> np.float32:
+    """Turn ``x`` into the change of the loss of each row's place with it; returns the losses' sum."""
+    rows = np.arange(len(x))
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x, out=work).sum(axis=1, keepdims=True))
+    loss = -x[rows, at].sum()
+    np.exp(x, out=x)
+    x[rows, at] -= 1
+    return loss
+
+
+def _by_class(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The places class by class, and where in that order each class stands."""
+    # Sixteen bits sort by counting.
     order = np.argsort(classes, kind="stable")
     cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if cuts[c] < cuts[c + 1]:
-            yield c, order[cuts[c] : cuts[c + 1]]
+    return order, [
+        (c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]
+    ]
+
+
+class Rooms:
+    """Work arrays that are used again: fresh ones of this size cost the system's zeroed pages each time."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, rows: int, width: int) -> np.ndarray:
+        if len(self.held.get(name, ())) < rows:
+            self.held[name] = np.empty((rows, width), dtype=np.float32)
+        return self.held[name][:rows]
 
 
 class Trainer:
@@ -95,40 +120,52 @@ class Trainer:
     def __init__(self, weights: Weights):
         self.w = {k: v.copy() for k, v in weights.items()}
         self.seen = {k: np.full(v.shape, 1e-6, dtype=np.float32) for k, v in weights.items()}
+        self.room = Rooms()
 
     def step(self, windows: np.ndarray) -> float:
         """One step on windows of word numbers, the middle one being the target; the mean loss."""
-        w, n = self.w, len(windows)
+        w, n, room = self.w, len(windows), self.room
         around, target = np.delete(windows, SIDE, axis=1), windows[:, SIDE]
-        known = w["words"][around].reshape(n, -1)
+        known = room("known", around.size, WIDTH)
+        w["words"].take(around.ravel(), axis=0, out=known, mode="clip")
+        known = known.reshape(n, -1)
         mix = w["mix"].reshape(-1, HIDDEN)
-        hidden = np.tanh(known @ mix + w["bias"])
+        hidden = np.matmul(known, mix, out=room("hidden", n, HIDDEN))
+        hidden += w["bias"]
+        np.tanh(hidden, out=hidden)
         grad = {k: np.zeros_like(v) for k, v in w.items()}
-        classes = target // MEMBERS
-        logs = _log_softmax(hidden @ w["classes"] + w["class_bias"])
-        loss = -logs[np.arange(n), classes].sum()
-        slope = np.exp(logs)
-        slope[np.arange(n), classes] -= 1
+        classes, work = target // MEMBERS, room("work", n, max(CLASSES, MEMBERS))
+        slope = np.matmul(hidden, w["classes"], out=room("logits", n, CLASSES))
+        slope += w["class_bias"]
+        loss = _slopes(slope, classes, work[:, :CLASSES])
         grad["classes"], grad["class_bias"] = hidden.T @ slope, slope.sum(axis=0)
-        back = slope @ w["classes"].T
-        for c, at in _by_class(target):
-            own, mine = target[at] % MEMBERS, hidden[at]
-            logs = _log_softmax(mine @ w["members"][c] + w["member_bias"][c])
-            loss -= logs[np.arange(len(at)), own].sum()
-            slope = np.exp(logs)
-            slope[np.arange(len(at)), own] -= 1
-            grad["members"][c], grad["member_bias"][c] = mine.T @ slope, slope.sum(axis=0)
-            back[at] += slope @ w["members"][c].T
-        back *= 1 - hidden * hidden
+        back = np.matmul(slope, w["classes"].T, out=room("back", n, HIDDEN))
+        # In the order of their classes, so that each class's places are one slice.
+        order, parts = _by_class(classes)
+        mine = hidden.take(order, axis=0, out=room("mine", n, HIDDEN), mode="clip")
+        slope = room("inner", n, MEMBERS)
+        for c, at in parts:
+            np.matmul(mine[at], w["members"][c], out=slope[at])
+            slope[at] += w["member_bias"][c]
+        loss += _slopes(slope, target[order] % MEMBERS, work[:, :MEMBERS])
+        pulled = room("inner_back", n, HIDDEN)
+        for c, at in parts:
+            grad["members"][c] = mine[at].T @ slope[at]
+            grad["member_bias"][c] = slope[at].sum(axis=0)
+            np.matmul(slope[at], w["members"][c].T, out=pulled[at])
+        back[order] += pulled
+        hidden *= hidden
+        back *= np.subtract(1, hidden, out=hidden)
         grad["bias"] = back.sum(axis=0)
         grad["mix"] = (known.T @ back).reshape(w["mix"].shape)
-        pulled = (back @ mix.T).reshape(-1, WIDTH)
+        pulled = np.matmul(back, mix.T, out=room("pulled", n, len(mix))).reshape(-1, WIDTH)
         # Sixteen bits sort by counting.
         ids = around.ravel().astype(np.int16)
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         firsts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        grad["words"][ids[firsts]] = np.add.reduceat(pulled[order], firsts, axis=0)
+        sorted_pulls = pulled.take(order, axis=0, out=room("sorted", len(order), WIDTH), mode="clip")
+        grad["words"][ids[firsts]] = np.add.reduceat(sorted_pulls, firsts, axis=0)
         for k, g in grad.items():
             g /= n
             self.seen[k] += g * g
@@ -142,6 +179,7 @@ class Scorer:
     def __init__(self, weights: Weights):
         self.w = weights
         self.tables = [weights["words"] @ weights["mix"][p] for p in range(2 * SIDE)]
+        self.room = Rooms()
 
     def sums(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum over each sequence; ``ids`` holds them end to end."""
@@ -154,16 +192,23 @@ class Scorer:
         return out
 
     def _logs(self, windows: np.ndarray) -> np.ndarray:
-        w, target = self.w, windows[:, SIDE]
-        total = np.broadcast_to(w["bias"], (len(windows), HIDDEN)).copy()
+        w, n, room, target = self.w, len(windows), self.room, windows[:, SIDE]
+        hidden, one = room("hidden", n, HIDDEN), room("one", n, HIDDEN)
+        hidden[:] = w["bias"]
         for table, column in zip(self.tables, (0, 1, 3, 4)):
-            total += table[windows[:, column]]
-        hidden = np.tanh(total)
-        logs = _log_softmax(hidden @ w["classes"] + w["class_bias"])
-        out = logs[np.arange(len(windows)), target // MEMBERS]
-        for c, at in _by_class(target):
-            logs = _log_softmax(hidden[at] @ w["members"][c] + w["member_bias"][c])
-            out[at] += logs[np.arange(len(at)), target[at] % MEMBERS]
+            hidden += table.take(windows[:, column], axis=0, out=one, mode="clip")
+        np.tanh(hidden, out=hidden)
+        classes = target // MEMBERS
+        logits = np.matmul(hidden, w["classes"], out=room("logits", n, CLASSES))
+        logits += w["class_bias"]
+        out = _logs_at(logits, classes)
+        order, parts = _by_class(classes)
+        mine = hidden.take(order, axis=0, out=one, mode="clip")
+        inner = room("inner", n, MEMBERS)
+        for c, at in parts:
+            np.matmul(mine[at], w["members"][c], out=inner[at])
+            inner[at] += w["member_bias"][c]
+        out[order] += _logs_at(inner, target[order] % MEMBERS)
         return out
 
 

@@ -131,3 +131,21 @@ def test_odd_rows(odd, none):
     assert len({r["log_likelihood"] for r in rows if r["doc_id"] == 5}) == 1
     assert train_and_score(none).collect() == []
     assert score(odd, Vocabulary([]), first_weights()).count() == odd.count()
+
+
+def test_steps_reuse_their_memory_and_small_steps_after_large_ones_are_right():
+    draw = np.random.default_rng(4)
+    large, small = (draw.integers(0, lm_scoring.NUMBERS, (n, 5)).astype(np.int16) for n in (3000, 70))
+    used, fresh = (lm_scoring.Trainer(lm_scoring.first_weights()) for _ in range(2))
+    used.step(large)
+    before = {k: id(v) for k, v in used.room.held.items()}
+    used.step(large[:1000])
+    assert before and {k: id(v) for k, v in used.room.held.items()} == before
+    used.w = {k: v.copy() for k, v in fresh.w.items()}
+    used.seen = {k: v.copy() for k, v in fresh.seen.items()}
+    assert used.step(small) == fresh.step(small)
+    assert all((used.w[k] == fresh.w[k]).all() for k in fresh.w)
+    ids, counts = large[:, 2], np.array([0, 2900, 1, 99])
+    scorer = lm_scoring.Scorer(used.w)
+    whole = scorer.sums(ids, counts)
+    assert np.allclose(scorer.sums(ids[2901:], counts[3:]), whole[3:])
